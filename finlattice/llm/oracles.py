@@ -1,6 +1,6 @@
 """DuckDB SQL giving the same rows as the queries of the same names."""
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def _grams(n: int) -> str:
@@ -32,7 +32,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="text")}
         CASE WHEN 100 * n_symbols > 30 * n_words THEN 'symbols' END) AS failed_rules FROM a)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, dup_line_chars::BIGINT AS dup_line_chars,
-  list_transform(cs, x -> x::BIGINT) AS dup_gram_chars, failed_rules FROM v
+  list_transform(cs, lambda x: x::BIGINT) AS dup_gram_chars, failed_rules FROM v
 """
 
 ORACLES = {"op1_quality": OP1}
