@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ._tables import load
+from .licenses import scan
 from .oracles import ORACLES
+from .packing import pack, pieces
 from .quality import quality
 
 
@@ -15,8 +18,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(load(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(load(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality,)}
+    return {f.__name__: f for f in (op1_quality, op5_licenses, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
