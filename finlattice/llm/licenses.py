@@ -15,6 +15,7 @@ import re
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -129,17 +130,24 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(made, key=lambda r: r.priority))
 
 
-def detect(padded: bytes, own_rules: tuple[Rule, ...]) -> list[tuple[int, int, Rule]]:
-    """Accepted detections (byte start, byte end, rule) of one text."""
-    present: dict[bytes, bool] = {}
-    licensed = b"licen" in padded  # most keywords hold this
-    hits = []
-    for rule in own_rules:
+@cache
+def _prefilter(own_rules: tuple[Rule, ...]) -> ahocorasick.Automaton:
+    """Finds every keyword in one pass; a keyword's value is the rules that it gates."""
+    gated: dict[bytes, list[int]] = {}
+    for i, rule in enumerate(own_rules):
         for keyword in rule.keywords:
-            if keyword not in present:
-                present[keyword] = (licensed or b"licen" not in keyword) and keyword in padded
-        if any(present[k] for k in rule.keywords):
-            hits += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(padded)]
+            gated.setdefault(keyword, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for keyword, which in gated.items():
+        automaton.add_word(keyword.decode("latin-1"), tuple(which))
+    automaton.make_automaton()
+    return automaton
+
+
+def detect(padded: bytes, own_rules: tuple[Rule, ...], prefilter: ahocorasick.Automaton) -> list[tuple[int, int, Rule]]:
+    """Accepted detections (byte start, byte end, rule) of one text."""
+    found = {i for _, which in prefilter.iter(padded.decode("latin-1")) for i in which}
+    hits = [(m.start(), m.end(), own_rules[i]) for i in sorted(found) for m in own_rules[i].pattern.finditer(padded)]
     hits.sort(key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label))
     kept: list[tuple[int, int, Rule]] = []
     for a, b, rule in hits:
@@ -161,7 +169,8 @@ def scan_text(data: bytes | None, own_rules: tuple[Rule, ...] = ()) -> tuple:
             places.append(at)
             base.add(label)
             at = padded.find(needle, at + 1)
-    kept = detect(padded, own_rules or rules())
+    own_rules = own_rules or rules()
+    kept = detect(padded, own_rules, _prefilter(own_rules))
     labels = base | {r.label for _, _, r in kept}
     score = max([0.95 if base else 0.0, *(r.relevance for _, _, r in kept)])
     first, last = (padded.count(b" ", 0, min(places)), padded.count(b" ", 0, max(places))) if places else (None, None)

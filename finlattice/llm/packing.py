@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._tables import keep, text_batches
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CACHED = 300_000  # words whose ids a task remembers
+_CACHED = 600_000  # words whose ids a task remembers
 _TOGETHER = 1 << 21  # bytes of text that are looked up at once
 
 
@@ -50,18 +50,24 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = sorted(words.difference(self.known))
+        new = words.difference(self.known)
         if len(self.known) + len(new) > _CACHED:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        odd = []
+        tokenize, odd = self.model.tokenize, []
         for word in new:
-            text = word.decode("utf-8", "replace")
-            simple = _SIMPLE.fullmatch(text)
-            if simple is None:
+            if word.isalpha():  # ASCII letters: one pre-token, given to the merges directly
+                ids = [t.id for t in tokenize(word.lower().decode())]
+            elif simple := _SIMPLE.fullmatch(text := word.decode("utf-8", "replace")):  # letters, then punctuation
+                ids = []
+                for part in simple.groups():
+                    if part.isascii():
+                        ids += [t.id for t in tokenize(part.lower())]
+                    elif part:
+                        ids += [t.id for t in tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
+            else:
                 odd.append((word, text))
-            else:  # one run of letters, then one of punctuation: two pre-tokens at most, given to the merges directly
-                ids = [t.id for part in simple.groups() if part for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
-                self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
         for at in range(0, len(odd), 4096):
             part = odd[at : at + 4096]
             starts = np.cumsum([0] + [len(t) + 1 for _, t in part])
