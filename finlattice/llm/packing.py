@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._tables import keep, text_batches
 
@@ -165,7 +166,7 @@ def pack(rows: DataFrame, capacity: Capacity = Capacity(), bucket_rows: int = 20
     """
     kept = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     buckets = max(1, -(-kept.count() // bucket_rows))
-    schema = rows.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = rows.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
