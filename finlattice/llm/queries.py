@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ._tables import load
+from .bpe import encode_documents
+from .language import identify
 from .licenses import scan
 from .oracles import ORACLES
 from .packing import pack, pieces
@@ -22,12 +24,20 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_licenses, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op5_licenses, op7_bpe, op8_language, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
