@@ -35,4 +35,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   list_transform(cs, lambda x: x::BIGINT) AS dup_gram_chars, failed_rules FROM v
 """
 
-ORACLES = {"op1_quality": OP1}
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+  r AS (SELECT payload_digest, max(page_id) AS response FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN r.response <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN r.response <> d.page_id THEN r.response END AS refers_to
+FROM d LEFT JOIN r ON r.payload_digest = d.payload_digest AND d.payload_bytes >= 1000
+"""
+
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+  n AS (SELECT u AS vec_id, count(*) AS n FROM p GROUP BY u),
+  r(vec_id, c) AS (SELECT u, u FROM p UNION SELECT p.v, r.c FROM r JOIN p ON p.u = r.vec_id),
+  c AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+ORACLES = {"op1_quality": OP1, "op2_vectors": OP2, "op3_warc": OP3}

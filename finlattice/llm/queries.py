@@ -9,17 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._tables import load
 from .bpe import encode_documents
+from .html import extract
 from .language import identify
 from .licenses import scan
 from .oracles import ORACLES
 from .packing import pack, pieces
 from .quality import quality
+from .vectors import near_duplicates
+from .warc import round_trip
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(load(spark, sf_dir, "documents"))
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(load(spark, sf_dir, "pages"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents"))
 
@@ -36,8 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(load(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op5_licenses, op7_bpe, op8_language, op9_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op5_licenses, op7_bpe, op8_language, op9_packing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
