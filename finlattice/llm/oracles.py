@@ -57,4 +57,17 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id) AS
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
 
-ORACLES = {"op1_quality": OP1, "op2_vectors": OP2, "op3_warc": OP3}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+  g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS gs FROM d),
+  e AS (SELECT DISTINCT doc_id, len(gs) AS n, unnest(gs) AS s FROM g),
+  p AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
+    GROUP BY ALL HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  r(doc_id, c) AS (SELECT u, u FROM p UNION SELECT p.v, r.c FROM r JOIN p ON p.u = r.doc_id),
+  c AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, coalesce(c.c, g.doc_id) AS component_id FROM g LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op4_jaccard": OP4, "op1_quality": OP1, "op2_vectors": OP2, "op3_warc": OP3}

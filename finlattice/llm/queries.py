@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ._tables import load
 from .bpe import encode_documents
 from .html import extract
+from .jaccard import join as jaccard_join
 from .language import identify
 from .licenses import scan
 from .oracles import ORACLES
@@ -31,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(load(spark, sf_dir, "pages"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op5_licenses, op7_bpe, op8_language, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op7_bpe, op8_language, op9_packing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
