@@ -16,6 +16,7 @@ from .licenses import scan
 from .oracles import ORACLES
 from .packing import pack, pieces
 from .quality import quality
+from .repeats import summary as repeat_summary
 from .vectors import near_duplicates
 from .warc import round_trip
 
@@ -40,6 +41,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_summary(load(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -57,7 +62,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op7_bpe, op8_language, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op6_repeats, op7_bpe, op8_language, op9_packing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
