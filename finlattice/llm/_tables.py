@@ -79,3 +79,13 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
 def id_bucket(column: str, n: int):
     """A spread-out bucket number from an id."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+def without(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """docs whose doc_id is not in ids (a kept table of one column); null ids stay.
+
+    The ids are broadcast only if they are few enough, else both sides are shuffled.
+    """
+    ids = ids.toDF("doc_id")
+    few = ids.count() <= most_broadcast
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_anti")

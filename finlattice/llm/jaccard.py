@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._rolling import Words, mix
-from ._tables import drop, keep, sorted_groups, text_batches
+from ._tables import drop, keep, sorted_groups, text_batches, without
 from .components import components
 
 _BITS = 512
@@ -230,3 +230,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -
     out = table.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """The document of least id of every component; rows of a null id stay."""
+    others = join(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, keep(others, "copies"))

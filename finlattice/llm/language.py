@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import keep
+from ._tables import keep, without
 
 _SPACE = 32
 _ORDER = 4  # characters of 16 bits each make a 64-bit code
@@ -267,3 +267,9 @@ def identify(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -
     judged = scored.withColumn("length", F.floor(F.log2(F.greatest("n_letters", F.lit(1)))).cast("int")).join(F.broadcast(limits), ["lang_pred", "length"], "left")
     rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("most"), F.lit(False))
     return judged.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
+
+
+def keep_identified(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> DataFrame:
+    """docs without the rejected ones; rows of a null id stay."""
+    rejected = identify(docs, settings).where("rejected and doc_id is not null").select("doc_id").distinct()
+    return without(docs, keep(rejected, "rejected"))
