@@ -7,8 +7,8 @@ probed by binary search, which is DivideSkip with the T - 1 remaining lists as t
 1. Documents of equal sets are one class; its smallest id stands for it.
 2. The lists of the first n - T + 1 shingles are merged: ids that share a list with a partner of
    possible size stay.
-3. In each list, candidates are pairs whose 512-bit parity sketches differ in no more bits than the
-   sets may differ in (a bound, so no link is lost).  A pair that also shares the list before is met
+3. In each list, candidates are pairs whose parity sketches (a bit or two for each shingle) differ in
+   no more bits than the sets may differ in (a bound, so no link is lost).  A pair that also shares the list before is met
    there.  A list longer than `tile` is cut into tiles of pairs of blocks.
 4. Each document's nearest earlier candidate in a list is probed exactly: the shingles of one are
    looked up in the sorted array of the other.  Links found so far give components.
@@ -34,7 +34,7 @@ from ._rolling import Words, mix
 from ._tables import drop, keep, sorted_groups, text_batches, without
 from .components import components
 
-_BITS = 512
+_BITS = 512  # of the shortest sketch
 _MOST_BROADCAST = 1_000_000  # rows of (id, keys)
 
 
@@ -49,9 +49,38 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles at each of 512 places: two sketches differ in at most as many bits as the sets have different members."""
-    at = (mix(shingles) >> np.uint64(55)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parities of the numbers of shingles at 2**k places, at least as many as shingles: two sketches differ in at most as many bits as the sets in members."""
+    bits = max(_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class _Sketches:
+    """Sketches by size; one twice as long is folded to the shorter one's places before they are compared."""
+
+    def __init__(self, raw: list[bytes]):
+        size = np.array([len(r) for r in raw])
+        self.kind = np.log2(size).astype(np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.own, self.folded = {}, {}
+        for k in np.unique(self.kind).tolist():
+            rows = np.flatnonzero(self.kind == k)
+            self.place[rows] = np.arange(len(rows))
+            self.own[k] = np.frombuffer(b"".join(raw[r] for r in rows.tolist()), np.uint64).reshape(len(rows), -1)
+            half = self.own[k].shape[1] // 2
+            self.folded[k - 1] = self.own[k][:, :half] ^ self.own[k][:, half:]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of rows i and j (j's sketch not shorter); 0, which rules nothing out, if the lengths are further apart."""
+        out = np.zeros(len(i), np.int64)
+        for k in np.unique(self.kind[i]).tolist():
+            for up, table in ((0, self.own), (1, self.folded)):
+                at = np.flatnonzero((self.kind[i] == k) & (self.kind[j] == k + up))
+                for part in np.array_split(at, 1 + len(at) * self.own[k].shape[1] // (1 << 21)):
+                    if len(part):
+                        x = self.own[k][self.place[i[part]]] ^ table[k][self.place[j[part]]]
+                        out[part] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -103,7 +132,7 @@ def _candidates(percent: int, nearest: bool) -> Callable:
             doc, n, prev, own = (table.column(c).to_numpy() for c in ("doc_id", "n", "prev", "own"))
             component = table.column("component").to_numpy()
             tiled = table.column("tiled").to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(doc), -1)
+            sketches = _Sketches(table.column("sketch").to_pylist())
             best = np.full(len(doc), np.iinfo(np.int64).max)
             partner = np.full(len(doc), -1)
             found = []
@@ -122,7 +151,7 @@ def _candidates(percent: int, nearest: bool) -> Callable:
                 if not nearest:
                     wanted &= component[rows] != component[other]
                 i, j = rows[wanted], other[wanted]
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                differ = sketches.differ(i, j)
                 possible = differ * (100 + percent) <= (100 - percent) * (n[i] + n[j])
                 i, j, differ = i[possible], j[possible], differ[possible]
                 if nearest:
