@@ -102,3 +102,8 @@ def confidence_score(r_squared, correlation, change, confirmed) -> Column:
 
 def confidence_tier(score) -> Column:
     return F.when(_c(score) >= 0.7, "high").when(_c(score) >= 0.4, "medium").otherwise("low")
+
+
+def correlation(a, b) -> Column:
+    """Aggregate correlation of two columns that are null together; null without variance."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import correlation
+
 
 def sector_weights(constituents: DataFrame, mapping: DataFrame, by: list[str], level: str = "l1", weight: str = "weight") -> DataFrame:
     """Weight of each sector within the mapped part of each group, and the share of weight that is mapped."""
@@ -54,5 +56,5 @@ def compare_maps(left: DataFrame, right: DataFrame, by: list[str], key: str, val
     """Correlation of two maps on common keys (null below three), their number and the share of the union they cover."""
     both = left.select(*by, key, F.col(value).alias("a")).join(right.select(*by, key, F.col(value).alias("b")), [*by, key], "full")
     common = F.col("a").isNotNull() & F.col("b").isNotNull()
-    out = both.groupBy(*by).agg(F.count_if(common).alias("common"), F.count(F.lit(1)).alias("keys"), F.corr(F.when(common, F.col("a")), F.when(common, F.col("b"))).alias("c"))
-    return out.select(*by, "common", F.when((F.col("common") >= 3) & ~F.isnan("c"), F.col("c")).alias("correlation"), (F.col("common") / F.col("keys")).alias("coverage"))
+    out = both.groupBy(*by).agg(F.count_if(common).alias("common"), F.count(F.lit(1)).alias("keys"), correlation(F.when(common, F.col("a")), F.when(common, F.col("b"))).alias("c"))
+    return out.select(*by, "common", F.when(F.col("common") >= 3, F.col("c")).alias("correlation"), (F.col("common") / F.col("keys")).alias("coverage"))

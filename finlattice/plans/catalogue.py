@@ -1,6 +1,6 @@
 """All registered queries of the analytics engine."""
 
-from . import market  # noqa: F401  (importing registers)
+from . import corpus, funds, market, research  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
