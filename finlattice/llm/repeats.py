@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from ._rolling import Words, mix
 from ._tables import drop, keep, text_batches
 
-_MOST_BROADCAST = 400_000  # stretches of documents that are read again
-
 
 def minimisers(words: Words, least: int, seed: int) -> tuple[np.ndarray, ...]:
     """lo, hi (first and last window that a position stands for), seed hash and stretch hash of each retained position."""
@@ -65,9 +63,7 @@ def suffixes(docs: DataFrame, least: int, seed: int) -> DataFrame:
 
 def _windows(docs: DataFrame, stretches: DataFrame, least: int) -> DataFrame:
     """window (hash), stretch, at, n, doc_id, start: every window of each stretch, read from the text where it first occurs."""
-    wanted = keep(stretches.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "span", "stretch", "n")).alias("parts")), "stretches")
-    if wanted.select(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0] <= _MOST_BROADCAST:
-        wanted = F.broadcast(wanted)  # else by shuffle
+    wanted = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "span", "stretch", "n")).alias("parts")).hint("merge")
 
     def run(batches):
         for batch, texts in text_batches(batches):
