@@ -67,7 +67,7 @@ def switching_cost_bps(turnover, commission=2.5, stamp=10.0, slippage=2.5, model
     return F.lit(commission + slippage) + F.when(t > 0, stamp).otherwise(0.0) + grown
 
 
-def trade_cost(side, amount_traded, rate=0.0003, least=5.0, stamp_rate=0.0005) -> Column:
+def trade_cost(side, amount_traded, rate=0.00025, least=5.0, stamp_rate=0.0005) -> Column:
     """Commission with a minimum, and stamp duty on sales."""
     amt = _c(amount_traded)
     return F.greatest(amt * rate, F.lit(least)) + F.when(_c(side) == "SELL", amt * stamp_rate).otherwise(0.0)

@@ -12,17 +12,16 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
 class Rules:
     cash: float = 1_000_000.0
     lot: int = 100
-    commission: float = 0.0003
+    commission: float = 0.00025
     least_commission: float = 5.0
     stamp: float = 0.0005
-    limit: float = 0.1
+    limit: float = 0.1  # of the close before, where prices have a column pre_close
 
 
 def validate(prices: DataFrame, signals: DataFrame) -> list[str]:
@@ -42,9 +41,8 @@ def validate(prices: DataFrame, signals: DataFrame) -> list[str]:
 
 
 def with_limits(prices: DataFrame, limit: float) -> DataFrame:
-    """pre_close, limit_up, limit_down and suspended for each row."""
-    before = F.lag("close").over(Window.partitionBy("ts_code").orderBy("trade_date"))
-    rows = prices.withColumn("pre_close", before)
+    """limit_up, limit_down (null without a pre_close) and suspended (no volume, where there is such a column) for each row."""
+    rows = prices if "pre_close" in prices.columns else prices.withColumn("pre_close", F.lit(None).cast("double"))
     at = lambda s: F.rint(F.col("pre_close") * (1 + s * limit) * 100) / 100
     suspended = F.coalesce("volume", F.lit(0.0)) <= 0 if "volume" in prices.columns else F.lit(False)
     return rows.withColumn("limit_up", at(1)).withColumn("limit_down", at(-1)).withColumn("suspended", suspended)

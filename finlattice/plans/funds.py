@@ -91,6 +91,7 @@ def strategies(spark, d):
     ranked = rows.where("past is not null").withColumn("n", F.row_number().over(day.orderBy(F.desc("past"), "ts_code")))
     k = F.explode(F.array(*map(F.lit, (1, 2, 5, 10)))).alias("k")
     chosen = ranked.select("*", k).where("n <= k")
+    p = p.withColumn("pre_close", F.lag("close").over(w))
     return p, chosen.select(F.format_string("top %d of %d months", "k", "months").alias("strategy"), "ts_code", "trade_date", (F.lit(0.95) / F.col("k")).alias("weight"))
 
 

@@ -153,7 +153,7 @@ def inserted_new(spark, d):
     return tables.insert_new(there, e.where("event_type <> 'error'"), ["user_id"], ["event_id"]).select("user_id", "event_id")
 
 
-@query("""SELECT p_partkey AS ts_code, 100 * (p_retailprice - 900) AS raw, round(2.5 + 2.5 + CASE WHEN t > 0 THEN 10 ELSE 0 END + 2.5 * sqrt(least(t, 0.5) / 0.1), 6) AS bps, greatest(p_retailprice * 100 * 0.0003, 5) + p_retailprice * 100 * 0.0005 AS sale_cost,
+@query("""SELECT p_partkey AS ts_code, 100 * (p_retailprice - 900) AS raw, round(2.5 + 2.5 + CASE WHEN t > 0 THEN 10 ELSE 0 END + 2.5 * sqrt(least(t, 0.5) / 0.1), 6) AS bps, greatest(p_retailprice * 100 * 0.00025, 5) + p_retailprice * 100 * 0.0005 AS sale_cost,
   round(greatest(0, least(1, 0.4 * least(t, 1) + 0.3 * least(abs(t - 0.5), 1) - 0.2 * least(abs(t) * 5, 0.2) + 0.1)), 6) AS confidence FROM (SELECT *, p_size / 50.0::DOUBLE AS t FROM part)""")
 def cost_models(spark, d):
     p = V.table(spark, d, "part").withColumn("t", F.col("p_size") / 50.0)
