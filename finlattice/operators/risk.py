@@ -30,12 +30,14 @@ def risk(prices: DataFrame, keys: list[str], value: str = "close", day: str = "t
 def against_benchmark(returns: DataFrame, keys: list[str], own: str = "r", other: str = "b", free: float = 0.02) -> DataFrame:
     """Per key beta, annual alpha and R2 against benchmark returns on common days; null below three days or without variance."""
     both = returns.where(F.col(own).isNotNull() & F.col(other).isNotNull())
-    out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_samp(own, other).alias("c"), F.var_samp(other).alias("v"), correlation(own, other).alias("k"), F.avg(own).alias("a"), F.avg(other).alias("b"))
-    able = (F.col("n") >= 3) & (F.col("v") > 0)
-    beta = F.when(able, F.col("c") / F.col("v"))
+    out = both.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.covar_samp(own, other).alias("_c"), F.var_samp(other).alias("_v"), correlation(own, other).alias("_k"), F.avg(own).alias("_a"), F.avg(other).alias("_b")
+    )
+    able = (F.col("n") >= 3) & (F.col("_v") > 0)
+    beta = F.when(able, F.col("_c") / F.col("_v"))
     daily = free / YEAR
-    alpha = (F.col("a") - daily - beta * (F.col("b") - daily)) * YEAR
-    return out.select(*keys, "n", beta.alias("beta"), alpha.alias("alpha"), F.when(able, F.col("k") * F.col("k")).alias("r_squared"))
+    alpha = (F.col("_a") - daily - beta * (F.col("_b") - daily)) * YEAR
+    return out.select(*keys, "n", beta.alias("beta"), alpha.alias("alpha"), F.when(able, F.col("_k") * F.col("_k")).alias("r_squared"))
 
 
 def performance(equity: DataFrame, keys: list[str], value: str = "equity", day: str = "trade_date", target: float = 0.0) -> DataFrame:
