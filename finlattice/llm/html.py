@@ -46,9 +46,9 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 @dataclass(frozen=True)
 class StyleTreeSettings:
-    least_pages: int = 6  # occurrences of a node on a site below which it tells nothing
+    least_pages: int = 10  # pages of a site, and pages with a node, below which they tell nothing
     least_importance: float = 0.3  # of a node
-    most_share: float = 0.5  # of a node's pages that may hold the same text
+    most_share: float = 0.5  # of a site's pages that may hold the same text
 
 
 def _long(*parts: str) -> int:
@@ -185,10 +185,10 @@ def parse(pages: DataFrame) -> DataFrame:
 def style_tree(parsed: DataFrame, settings: StyleTreeSettings) -> DataFrame:
     """site, key: the nodes (key: node) and the texts of nodes (key: node xor content) of low importance.
 
-    Every occurrence is counted; counts are summed in each task before they are shuffled, and a node's
+    Every page counts a text once, however often it repeats it; counts are summed in each task before they are shuffled, and a node's
     entropy is put together from its sums, so a site with a third of all pages is no single group.
     """
-    seen = parsed.select("site", F.explode(F.arrays_zip("nodes", "contents", "looks")).alias("b")).select("site", "b.*")
+    seen = parsed.select("site", F.explode(F.array_distinct(F.arrays_zip("nodes", "contents", "looks"))).alias("b")).select("site", "b.*")
     per_text = seen.groupBy("site", F.col("nodes").alias("node"), F.col("contents").alias("content"), F.col("looks").alias("look")).agg(F.count(F.lit(1)).alias("n"))
     n_log_n = F.sum(F.col("n") * F.ln("n"))
     texts = per_text.groupBy("site", "node", "content").agg(F.sum("n").alias("n"))
@@ -197,11 +197,10 @@ def style_tree(parsed: DataFrame, settings: StyleTreeSettings) -> DataFrame:
     # entropy of counts n with sum m, as a share of ln m: (ln m - sum(n ln n) / m) / ln m
     share = lambda x: 1 - F.try_divide(F.col(x), F.col("m") * F.ln("m"))
     importance = 1 - (1 - share("c")) * (1 - share("l"))
-    known = nodes.where(F.col("m") >= settings.least_pages)
+    pages = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= settings.least_pages)
+    known = nodes.where(F.col("m") >= settings.least_pages).join(pages, "site")
     dull = known.join(looks, ["site", "node"]).where(importance < settings.least_importance).select("site", F.col("node").alias("key"))
-    repeated = texts.where(F.col("n") >= max(2, settings.least_pages // 2)).join(known.select("site", "node", "m"), ["site", "node"])
-    pages = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    repeated = repeated.join(pages, "site").where(F.col("n") > settings.most_share * F.col("pages"))
+    repeated = texts.join(known.select("site", "node", "pages"), ["site", "node"]).where(F.col("n") > settings.most_share * F.col("pages"))
     return dull.unionAll(repeated.select("site", F.col("node").bitwiseXOR(F.col("content")).alias("key"))).distinct()
 
 
