@@ -48,10 +48,10 @@ def author_counts(spark, d):
     return V.table(spark, d, "documents").groupBy("source").agg(F.count("doc_id").alias("documents"), F.count_if(F.col("lang") == "en").alias("english"), F.max("doc_id").alias("newest"))
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE contains(text, 'License') AND lang IN ('en', 'de') AND doc_id >= 100")
+@query("SELECT doc_id, lang, source FROM documents WHERE contains(text, 'License') AND lang IN ('en', 'de') AND n_chars >= 200")
 def quote_search(spark, d):
     docs = V.table(spark, d, "documents")
-    return search.quotes(docs, "License", ("text",), {"lang": ["en", "de"]}, since=100, time="doc_id").select("doc_id", "lang", "source")
+    return search.quotes(docs, "License", ("text",), {"lang": ["en", "de"]}, since=200, time="n_chars").select("doc_id", "lang", "source")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
