@@ -77,22 +77,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     ordered = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     now = keep(ordered.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-    seen = _mark(now)
-    while seen[0]:
+    while not _is_stars(now):
         new = keep(_step(now), "edges")
-        found = _mark(new)
         drop(now)
         now = new
-        if found == seen and _is_stars(now):
-            break
-        seen = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-
-
 def _is_stars(edges: DataFrame) -> bool:
-    """No node is both a member and a centre, and no node has two centres."""
-    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty()
+    """Every node is either a centre or the member of one centre (which is smaller, as edges point down)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("member"), F.lit(0).alias("centre")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.sum("member").alias("m"), F.max("centre").alias("c"))
+    return roles.where("m > 1 or (m > 0 and c > 0)").isEmpty()
