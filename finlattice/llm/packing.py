@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ._tables import keep, text_batches
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_CACHED = 600_000  # words whose ids a task remembers
+_CACHED = 400_000  # words whose ids a task remembers
 _TOGETHER = 1 << 21  # bytes of text that are looked up at once
 
 
