@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlattice.llm._tables import keep
+from finlattice.llm._tables import bounded, keep
 from finlattice.llm.jaccard import keep_one
 from finlattice.llm.language import keep_identified
 from finlattice.llm.packing import pack, pieces
@@ -22,26 +22,31 @@ WIDTH, PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bounded(spark)
     return keep_good(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told and fits its model."""
+    bounded(spark)
     return keep_identified(docs)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    bounded(spark)
     return keep_one(docs, WIDTH, PERCENT)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated passages cut but for their first place; n_chars follows the text."""
+    bounded(spark)
     return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences that the documents' tokens are packed into."""
+    bounded(spark)
     return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
