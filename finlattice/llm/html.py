@@ -37,7 +37,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs topbar masthead "
     "footer cookie cookies consent gdpr notice notices banner popup modal newsletter subscribe subscription signup login comment comments disqus respond reply replies "
-    "share sharing social related recommended recommendations widget toolbar pagination pager skip".split()
+    "share sharing social related recommended recommendations widget toolbar pagination pager skip alert alerts disclaimer announcement toast overlay teaser toc".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -145,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, str, int, str]]:
         top = stack[-1]
         role = attributes.get("role", "")
         words = set(_SPLIT.split(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
-        bad = top.no_article or tag in _NOT_ARTICLE or role in _ROLES or bool(words & _WORDS) or (tag == "header" and top.inside < 2)
+        bad = top.no_article or tag in _NOT_ARTICLE or role in _ROLES or bool(words & _WORDS) or (top.inside < 2 and (tag == "header" or "header" in words))
         inside = top.inside
         if not bad and (tag == "article" or role == "article"):
             inside = 2

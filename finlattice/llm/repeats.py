@@ -151,7 +151,8 @@ def repeats(docs: DataFrame, least: int = 50, seed: int = 16) -> DataFrame:
     plain = classes.where("not several and n > 1").select("stretch", F.lit(0).alias("a"), F.col("span").alias("b"), F.col("doc_id").alias("first_doc"), F.col("lo").alias("first_start"))
     # neighbours that differ: extension window by window
     windows = keep(_windows(slim, classes.where("several"), least), "windows")
-    twice = windows.groupBy("window").agg(F.sum("n").alias("c"), F.min(F.struct("doc_id", "start")).alias("f")).where("c > 1")
+    place = F.struct("stretch", "at")  # rows of one document that are read twice are one place
+    twice = windows.groupBy("window").agg(F.max("n").alias("n"), F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("doc_id", "start")).alias("f")).where("n > 1 or p <> q")
     matched = windows.select("window", "stretch", "at").join(twice.select("window", F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start")), "window")
     ends = matched.drop("window").repartition("stretch").sortWithinPartitions("stretch", "at").mapInArrow(_runs, "stretch long, a int, b int, first_doc long, first_start int")
     found = keep(plain.unionAll(ends), "runs")

@@ -30,7 +30,7 @@ def edge_texts():
     return [
         (1, base), (2, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, " \n\t "), (7, "One"), (8, "one"), (9, "one two"), (None, base), (10, "a\nb\na\n\n\na b c a b c"),
         (11, prose(3, 70) + " " + passage + " " + prose(4, 30)), (12, prose(5, 20) + " " + passage + " tail"), (13, "x " * 300), (14, prose(6, 12_000)), (15, "Übung, ça va? 日本語 テスト 123 ½ 😀 <|endoftext|>"),
-        (16, "Licensed under the MIT License. Apache License, Version 2.0. CC BY-NC 4.0 under the mit license"), (17, "z" * 70_000), (18, prose(7, 80) + "\x00end"),
+        (16, "Licensed under the MIT License. Apache License, Version 2.0. CC BY-NC 4.0 under the mit license"), (17, "z" * 70_000), (18, prose(7, 80) + "\x00end"), (19, prose(9, 90)), (19, prose(9, 90)),
     ]
 
 
