@@ -1,8 +1,9 @@
 """N-gram Jaccard join as a T-occurrence search over an inverted index.
 
-A document's shingles are hashed and ordered by hash.  A partner must share T of n shingles, so it
-shares one of the first n - T + 1: only those short lists are merged, and every other (long) list is
-probed by binary search, which is DivideSkip with the T - 1 remaining lists as the long ones.
+A document's shingles are hashed and put in one order for all documents: those of rare words first,
+by the documents that hold each word.  A partner must share T of n shingles, so it shares one of the
+first n - T + 1: only those lists, the short ones, are merged, and every other (long) list is probed by
+binary search, which is DivideSkip with the T - 1 remaining lists as the long ones.
 
 1. Documents of equal sets are one class; its smallest id stands for it.
 2. The lists of the first n - T + 1 shingles are merged: ids that share a list with a partner of
@@ -36,6 +37,7 @@ from .components import components
 
 _BITS = 512  # of the shortest sketch
 _MOST_BROADCAST = 1_000_000  # rows of (id, keys)
+_WORD_BITS = 16  # words are counted by so many bits of their hashes
 
 
 def shingle_set(data: bytes | None, width: int) -> np.ndarray:
@@ -87,18 +89,56 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _word_places(words: Words) -> np.ndarray:
+    return (words.grams(1) >> np.uint64(64 - _WORD_BITS)).astype(np.int64)
+
+
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """How common the words of each hash place are: twice the binary logarithm of the documents that hold one, over all documents.
+
+    Each task sums its own counts; the driver gets one number for each of 2**_WORD_BITS places.
+    """
+
+    def run(batches):
+        total = np.zeros(1 << _WORD_BITS, np.int64)
+        for _, texts in text_batches(batches):
+            for text in texts:
+                total[np.unique(_word_places(Words((text or b"").lower())))] += 1
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place])], names=["place", "n"])
+
+    counts = docs.selectExpr("cast(text as string) text").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    levels = np.zeros(1 << _WORD_BITS, np.uint8)
+    levels[counts["place"].to_numpy(np.int64)] = 2 * np.log2(counts["n"].to_numpy(float))
+    return levels
+
+
+def first_shingles(words: Words, width: int, percent: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted set of shingle_set() and its first n - T + 1 members in the order of all documents."""
+    if words.n < width:
+        found = words.grams(words.n) if words.n else np.zeros(0, np.uint64)
+        return found, found
+    level = np.concatenate(([0], np.cumsum(levels[_word_places(words)], dtype=np.int64)))
+    hashes, common = words.grams(width), level[width:] - level[:-width]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    found = hashes[new]
+    rare_first = np.argsort(common[order[new]].astype(np.uint16), kind="stable")
+    return found, found[rare_first[: prefix_length(len(found), percent)]]
+
+
 def shingle_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, digest, prefix, sketch of every document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    levels = word_levels(docs)
 
     def run(batches):
         for batch, texts in text_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                s = shingle_set(text, width)
-                n = len(s)
-                first = s[: prefix_length(n, percent)].view(np.int64) if n else []
-                rows.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first, sketch(s)))
+                s, first = first_shingles(Words((text or b"").lower()), width, percent, levels)
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first.view(np.int64), sketch(s)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
