@@ -209,18 +209,23 @@ def _candidates(percent: int, nearest: bool) -> Callable:
     return run
 
 
-def _list_rows(shared: DataFrame, table: DataFrame, tile: int) -> DataFrame:
-    """A row per document and list (or tile of a long list): list, doc_id, n, prev, own, tiled, sketch."""
+def _lists_of(shared: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, n, sketch, lists of every document that is in a shared list: the sketch is kept once, not in every list."""
     per_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "length"))).alias("lists"))
-    rows = per_doc.join(table.select("doc_id", "n", "sketch"), "doc_id").select("doc_id", "n", "sketch", "lists", F.posexplode("lists").alias("at", "one"))
+    return per_doc.hint("merge").join(table.select("doc_id", "n", "sketch"), "doc_id").select("doc_id", "n", "sketch", "lists")
+
+
+def _list_rows(lists_of: DataFrame, tile: int) -> DataFrame:
+    """A row per document and list (or tile of a long list): list, doc_id, n, prev, own, tiled, sketch, component."""
+    rows = lists_of.select("doc_id", "n", "sketch", "component", "lists", F.posexplode("lists").alias("at", "one"))
     rows = rows.select(
-        "doc_id", "n", "sketch", F.col("one.token").alias("token"), F.ceil(F.col("one.length") / tile).cast("int").alias("blocks"),
+        "doc_id", "n", "sketch", "component", F.col("one.token").alias("token"), F.ceil(F.col("one.length") / tile).cast("int").alias("blocks"),
         F.when(F.col("at") > 0, F.get("lists", F.col("at") - 1)["token"]).otherwise(0).alias("prev"),
     )
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile_name = F.concat(F.least("own", "other"), F.lit("/"), F.greatest("own", "other"))
     name = F.concat_ws("/", F.col("token").cast("string"), F.when(F.col("blocks") > 1, tile_name))
-    return rows.select(name.cast("binary").alias("list"), "doc_id", "n", "prev", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch")
+    return rows.select(name.cast("binary").alias("list"), "doc_id", "n", "prev", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch", "component")
 
 
 def probe(docs: DataFrame, pairs: DataFrame, width: int, percent: int, fan_in: int = 512) -> DataFrame:
@@ -274,27 +279,28 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -
     table = keep(shingle_table(docs, width, percent), "shingles")
     able = table.where("doc_id is not null and n > 0")
     classes = keep(able.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = able.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d"), F.col("n").alias("m")), "doc_id").where("digest = d and n = m")
+    chosen = classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d"), F.col("n").alias("m"))
+    reps = able.join(chosen.hint("merge"), "doc_id").where("digest = d and n = m")
     reps = reps.dropDuplicates(["doc_id", "digest"])
 
     tokens = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
     shared = tokens.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_shared_lists(percent), "token long, doc_id long, n long, length long")
-    rows = keep(_list_rows(shared, reps, tile), "lists")
+    lists_of = keep(_lists_of(shared, reps), "lists")
 
     def candidates(of: DataFrame, nearest: bool) -> DataFrame:
-        by_list = of.repartition("list").sortWithinPartitions("list", "n", "doc_id")
+        by_list = _list_rows(of, tile).repartition("list").sortWithinPartitions("list", "n", "doc_id")
         return by_list.mapInArrow(_candidates(percent, nearest), "u long, v long").distinct()
 
-    pairs = keep(candidates(rows.withColumn("component", F.col("doc_id")), True), "pairs")
+    pairs = keep(candidates(lists_of.withColumn("component", F.col("doc_id")), True), "pairs")
     links = keep(probe(docs, pairs, width, percent), "links")
     found = components(links)
-    placed = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = lists_of.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rest = keep(candidates(placed, False).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = keep(probe(docs, rest, width, percent), "links")
         found = components(links.unionAll(more))
     found = keep(found, "components")
-    drop(rows, pairs, rest, links)
+    drop(lists_of, pairs, rest, links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = table.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
