@@ -1,14 +1,15 @@
 """Main text of web pages by a site style tree.
 
 Every page is parsed once into blocks; a block knows the path of styles (tag, class, id) from the body
-down to it.  The style tree of a site (all pages of a host) is the set of those paths with, for each,
-how its contents and inner presentation vary over the site: their entropies, as a share of the most
-possible, make a node's importance.  A node of low importance is removed from every page of the
-host, as is a single text that a node repeats on most pages of the site.  Elements that say
+down to it.  The style tree of a site (all different bodies of a host's pages: copies of a page are one
+body) is the set of those paths with, for each, how its contents and inner presentation vary over the
+site: their entropies, as a share of the most possible, make a node's importance, which a few pages
+of full importance smooth.  A node of low importance is removed from every page of the host, as is a
+single text that a node repeats on most bodies of the site.  Elements that say
 themselves that they are no article (navigation, forms, adverts, comments, ...) never reach the tree.
 
 Defined results: a null or empty page has an empty text; a null url is one site of its own; null ids
-are returned as null; repeated rows give repeated results (and count as pages of their site); an
+are returned as null; repeated rows give repeated results (and are one body of their site); an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -46,9 +47,9 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 @dataclass(frozen=True)
 class StyleTreeSettings:
-    least_pages: int = 10  # pages of a site, and pages with a node, below which they tell nothing
+    prior: float = 2.0  # texts of full importance added to each node, and bodies without its texts added to each site
     least_importance: float = 0.3  # of a node
-    most_share: float = 0.5  # of a site's pages that may hold the same text
+    most_share: float = 0.5  # of a site's bodies that may hold the same text
 
 
 def _long(*parts: str) -> int:
@@ -185,10 +186,12 @@ def parse(pages: DataFrame) -> DataFrame:
 def style_tree(parsed: DataFrame, settings: StyleTreeSettings) -> DataFrame:
     """site, key: the nodes (key: node) and the texts of nodes (key: node xor content) of low importance.
 
-    Every page counts a text once, however often it repeats it; counts are summed in each task before they are shuffled, and a node's
-    entropy is put together from its sums, so a site with a third of all pages is no single group.
+    Pages of a site with the same texts are one body, which counts a text once, however often it repeats it; counts are summed in each task
+    before they are shuffled, and a node's entropy is put together from its sums, so a site with a third of all pages is no single group.
     """
-    seen = parsed.select("site", F.explode(F.array_distinct(F.arrays_zip("nodes", "contents", "looks"))).alias("b")).select("site", "b.*")
+    body = F.xxhash64(F.sort_array(F.array_distinct("contents")))
+    bodies = keep(parsed.groupBy("site", body.alias("body")).agg(F.min(F.struct("contents", "nodes", "looks")).alias("b")).select("site", "b.*"), "bodies")
+    seen = bodies.select("site", F.explode(F.array_distinct(F.arrays_zip("nodes", "contents", "looks"))).alias("b")).select("site", "b.*")
     per_text = seen.groupBy("site", F.col("nodes").alias("node"), F.col("contents").alias("content"), F.col("looks").alias("look")).agg(F.count(F.lit(1)).alias("n"))
     n_log_n = F.sum(F.col("n") * F.ln("n"))
     texts = per_text.groupBy("site", "node", "content").agg(F.sum("n").alias("n"))
@@ -197,10 +200,10 @@ def style_tree(parsed: DataFrame, settings: StyleTreeSettings) -> DataFrame:
     # entropy of counts n with sum m, as a share of ln m: (ln m - sum(n ln n) / m) / ln m
     share = lambda x: 1 - F.try_divide(F.col(x), F.col("m") * F.ln("m"))
     importance = 1 - (1 - share("c")) * (1 - share("l"))
-    pages = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= settings.least_pages)
-    known = nodes.where(F.col("m") >= settings.least_pages).join(pages, "site")
-    dull = known.join(looks, ["site", "node"]).where(importance < settings.least_importance).select("site", F.col("node").alias("key"))
-    repeated = texts.join(known.select("site", "node", "pages"), ["site", "node"]).where(F.col("n") > settings.most_share * F.col("pages"))
+    smoothed = (F.col("m") * importance + settings.prior) / (F.col("m") + settings.prior)
+    pages = bodies.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    dull = nodes.join(looks, ["site", "node"]).where(smoothed < settings.least_importance).select("site", F.col("node").alias("key"))
+    repeated = texts.join(pages, "site").where(F.col("n") > settings.most_share * (F.col("pages") + settings.prior))
     return dull.unionAll(repeated.select("site", F.col("node").bitwiseXOR(F.col("content")).alias("key"))).distinct()
 
 

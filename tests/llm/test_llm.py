@@ -355,6 +355,18 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_are_one_body(spark):
+    page = lambda words: "<body><article>" + "".join(f"<p>{words} paragraph {k}" for k in range(4)) + "<p>Printed by the house</article></body>"
+    rows = [(k, "http://hot.example/x", page("copied" if k < 70 else f"own{k}")) for k in range(100)] + [(200 + k, "http://small.example/", page(f"small{k}")) for k in range(4)]
+    rows += [(300, "http://pair.example/", page("one")), (301, "http://pair.example/", page("two"))]
+    out = by_id(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    text = lambda words: "\n".join(f"{words} paragraph {k}" for k in range(4))
+    assert {out[k][0].text for k in range(70)} == {text("copied")}
+    assert all(out[k][0].text == text(f"own{k}") for k in range(70, 100))
+    assert all(out[200 + k][0].text == text(f"small{k}") for k in range(4))
+    assert out[300][0].text == text("one") + "\nPrinted by the house"
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
