@@ -6,8 +6,6 @@ body) is the set of those paths with, for each, how its contents and inner prese
 site: their entropies, as a share of the most possible, make a node's importance, which a few pages
 of full importance smooth.  A node of low importance is removed from every page of the host, as is a
 single text that a node repeats on most bodies of the site.  Elements that say
-themselves that they are no article (navigation, forms, adverts, comments, ...) never reach the tree.
-
 Defined results: a null or empty page has an empty text; a null url is one site of its own; null ids
 are returned as null; repeated rows give repeated results (and are one body of their site); an
 empty table gives an empty result; extra columns are ignored.
@@ -32,13 +30,13 @@ _RAW = frozenset("script style noscript template iframe textarea title svg math
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img td th".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-# Elements, roles and words in class or id that mark what is no article.
+# Elements, roles and words in class or id that mark what is no article; words that pages also use of their layout are left to the tree.
 _NOT_ARTICLE = frozenset("nav aside footer form button dialog menu head select label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs topbar masthead "
-    "footer cookie cookies consent gdpr notice notices banner popup modal newsletter subscribe subscription signup login comment comments disqus respond reply replies "
-    "share sharing social related recommended recommendations widget toolbar pagination pager skip alert alerts disclaimer announcement toast overlay teaser toc".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead "
+    "footer cookie cookies consent gdpr banner popup modal newsletter subscribe subscription signup login comment comments disqus respond reply replies "
+    "recommended recommendations widget toolbar pagination pager skip alert alerts disclaimer announcement toast overlay teaser toc".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -57,16 +55,40 @@ def _long(*parts: str) -> int:
 
 
 class _Open:
-    __slots__ = ("tag", "path", "no_article", "inside")
+    __slots__ = ("tag", "path", "no_article", "inside", "marks")
+
+    def __init__(self, tag: str, path: str, no_article: bool, inside: int, marks: tuple[int, ...]):
+        self.tag, self.path, self.no_article, self.inside, self.marks = tag, path, no_article, inside, marks
+
+
+def _unmarked(found: list[tuple]) -> list[tuple]:
+    """The blocks in no box that a word marks; a box of most of a page's text is marked for nothing, unless an article or main is outside of it."""
+    total = sum(len(b[3]) for b in found)
+    inside: dict[int, list[int]] = {}  # characters, and those in an article or main
+    for b in found:
+        for mark in b[4]:
+            sums = inside.setdefault(mark, [0, 0])
+            sums[0] += len(b[3])
+            sums[1] += len(b[3]) * (b[2] > 0)
+    in_main = sum(len(b[3]) for b in found if b[2])
+    void = {mark for mark, (chars, main) in inside.items() if 2 * chars > total and main == in_main}
+    return [b[:4] for b in found if void.issuperset(b[4])]
+
 
-    def __init__(self, tag: str, path: str, no_article: bool, inside: int):
-        self.tag, self.path, self.no_article, self.inside = tag, path, no_article, inside
+def _main_text(found: list[tuple]) -> list[tuple]:
+    """The blocks in articles if they hold as much as main's (without a main, the page's) other text, else main and articles, else all."""
+    chars = [sum(len(b[3]) for b in found if b[2] == level) for level in range(4)]
+    articles, has_main = chars[2] + chars[3], chars[1] + chars[3] > 0
+    if articles and articles >= (chars[1] if has_main else chars[0]):
+        return [b for b in found if b[2] >= 2]
+    return [b for b in found if b[2]] if has_main else found
 
 
 def blocks(page: str) -> list[tuple[str, str, int, str]]:
-    """(style path, inner presentation, 2 in an article, 1 in main, else 0; text) of each block that may be article text, in page order."""
-    out: list[tuple[str, str, int, str]] = []
-    stack = [_Open("", "", False, 0)]
+    """(style path, inner presentation, 3 in an article in main, 2 in another, 1 in main, else 0; text) of each block that may be article text, in page order."""
+    out: list[tuple[str, str, int, str, tuple[int, ...]]] = []
+    stack = [_Open("", "", False, 0, ())]
+    n_marks = 0
     text: list[str] = []
     inner: list[str] = []
 
@@ -76,7 +98,7 @@ def blocks(page: str) -> list[tuple[str, str, int, str]]:
             words = unescape("".join(text)).split()
             if words and not top.no_article:
                 box = next(o for o in reversed(stack) if o.tag not in _INLINE)
-                out.append((box.path, " ".join(inner), top.inside, " ".join(words)))
+                out.append((box.path, " ".join(inner), top.inside, " ".join(words), top.marks))
             text.clear()
         inner.clear()
 
@@ -111,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, str, int, str]]:
                 box = max(k for k, o in enumerate(stack) if o.tag not in _INLINE)
                 k = next((k for k in range(len(stack) - 1, box, -1) if stack[k].tag == tag), 0)
                 if k:
-                    if stack[k].no_article != stack[k - 1].no_article:
+                    if stack[k].no_article != stack[k - 1].no_article or stack[k].marks != stack[k - 1].marks:
                         flush()
                     del stack[k]
             else:
@@ -145,21 +167,28 @@ def blocks(page: str) -> list[tuple[str, str, int, str]]:
         attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(found[3])} if found[3] else {}
         top = stack[-1]
         role = attributes.get("role", "")
-        words = set(_SPLIT.split(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
-        bad = top.no_article or tag in _NOT_ARTICLE or role in _ROLES or bool(words & _WORDS) or (top.inside < 2 and (tag == "header" or "header" in words))
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        words = set(_SPLIT.split(names))
+        bad = top.no_article or tag in _NOT_ARTICLE or role in _ROLES or (top.inside < 2 and tag == "header")
+        # an article is marked by a whole name only (a card's `teaser`, not `comments-open`), body and main by none
+        marked = not bad and tag not in ("body", "main") and bool((set(names.split()) if tag == "article" else words) & _WORDS)
+        marked |= not bad and tag not in ("body", "main", "article") and top.inside < 2 and "header" in words
+        marks = top.marks
+        if marked:
+            n_marks += 1
+            marks = (*marks, n_marks)
         inside = top.inside
         if not bad and (tag == "article" or role == "article"):
-            inside = 2
+            inside = 3 if inside in (1, 3) else 2
         elif not bad and (tag == "main" or role == "main"):
             inside = max(inside, 1)
-        if tag in _INLINE and bad and not top.no_article:
+        if tag in _INLINE and (marked or (bad and not top.no_article)):
             flush()
         style = tag + "".join(f".{w}" for w in attributes.get("class", "").split()) + (f"#{attributes['id']}" if attributes.get("id") else "")
         if not found[3].endswith("/") or tag not in _VOID:
-            stack.append(_Open(tag, f"{top.path}/{style}", bad, inside))
+            stack.append(_Open(tag, f"{top.path}/{style}", bad, inside, marks))
     flush()
-    most = max((b[2] for b in out), default=0)
-    return [b for b in out if b[2] == most]
+    return _main_text(_unmarked(out))
 
 
 def parse(pages: DataFrame) -> DataFrame:

@@ -367,6 +367,21 @@ def test_html_copies_are_one_body(spark):
     assert out[300][0].text == text("one") + "\nPrinted by the house"
 
 
+def test_html_class_words_of_layout():
+    texts = lambda page: [b[3] for b in html.blocks(page)]
+    long = "the text of the page " * 9
+    for page in (
+        '<body class="single right-sidebar"><div class=comments>no</div><p>{}</p>', '<main class="content with-sidebar"><p>{}</p><div class=sidebar>no</div></main>', '<article class="post comments-open"><p>{}</p></article>',
+        '<div class="page has-sidebar"><div class=sidebar>no</div><p>{}</p></div>', '<div id="left-side"><p>{}</p></div><div class="ad-box">no</div>', '<div class="has-header"><p>{}</p></div><p class=comment>no</p>',
+    ):
+        assert texts(page.replace("{}", long)) == [long.strip()]
+    card = "<article class=card><p>A card</p></article>"
+    assert texts(f"<main><p>{long}</p>{card}</main><p>outside") == [long.strip(), "A card"]
+    assert texts(f"<div><p>{long}</p></div>{card}") == [long.strip(), "A card"]
+    assert texts(f"<article><p>short</p></article><section class=comments><p>{long}</p></section>") == ["short"]
+    assert texts(f"<main><article><p>short</p></article></main><div><p>{long}</p></div>") == ["short"]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
