@@ -8,7 +8,9 @@ Where neighbours differ, the match is extended left and right from the seed wind
 for each distinct stretch, until it ends.
 
 A word is repeated if a window of `least` words over it occurs at two places, in one text or in two.
-The first place of a window (least doc_id, then position) is where it stays.
+The first place of a window (least doc_id, then position) is where it stays.  without_repeats() cuts every word
+that a window with an earlier place covers, also where a first window overlaps it: every word cut is left at an
+earlier place, and no passage stays whole in two documents because its neighbours happen to be equal.
 
 Defined results: null or short texts have no repeats; rows of a null id are ignored; several rows of one
 doc_id count as one document and its passages are not repeats of themselves if the rows are equal; an
@@ -134,10 +136,11 @@ def _minus(intervals: list[list[int]], others: list[list[int]]) -> list[tuple[in
 
 
 def repeats(docs: DataFrame, least: int = 50, seed: int = 16) -> DataFrame:
-    """One row per maximal repeated passage of a document: doc_id, start_word, n_words, first_doc_id, cut.
+    """One row per maximal repeated passage of a document: doc_id, start_word, n_words, first_doc_id, cut, covered.
 
     first_doc_id is the least document that holds some window of the passage first; cut lists the word
-    ranges [from, to) that occur earlier elsewhere and are not needed here as a first occurrence.
+    ranges [from, to) that occur earlier elsewhere and are not needed here as a first occurrence; covered lists
+    all ranges that occur earlier, but for words of a window's own first place where it overlaps that.
     """
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").where("doc_id is not null")
     kept = keep(suffixes(slim, least, seed), "suffixes")
@@ -160,12 +163,14 @@ def repeats(docs: DataFrame, least: int = 50, seed: int = 16) -> DataFrame:
         "doc_id", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + least).alias("end"), "first_doc", "first_start"
     )
 
-    schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("cut", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))])
+    ranges = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("first_doc_id", pa.int64()), ("cut", ranges), ("covered", ranges)])
 
     def spans(doc_id: int, rows: list[tuple]):
         own = [(s, e) for s, e, d, f in rows if (d, f) == (doc_id, s)]
         other = [(s, e) for s, e, d, f in rows if (d, f) != (doc_id, s)]
         cut = _minus(_merge(other), _merge(own))
+        covered = _merge([(max(s, f + least) if d == doc_id else s, e) for s, e, d, f in rows if (d, f) != (doc_id, s)])
         rows = sorted(rows)
         k = 0
         for a, b in _merge([(s, e) for s, e, _, _ in rows]):
@@ -173,7 +178,7 @@ def repeats(docs: DataFrame, least: int = 50, seed: int = 16) -> DataFrame:
             while k < len(rows) and rows[k][0] < b:
                 first = min(first, rows[k][2])
                 k += 1
-            yield doc_id, a, b - a, first, [{"from": x, "to": y} for x, y in cut if a <= x < b]
+            yield doc_id, a, b - a, first, *([{"from": x, "to": y} for x, y in parts if a <= x < b] for parts in (cut, covered))
 
     def gather(batches):
         now, rows = None, []
@@ -191,7 +196,7 @@ def repeats(docs: DataFrame, least: int = 50, seed: int = 16) -> DataFrame:
             out = list(spans(now, rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    kind = "doc_id long, start_word long, n_words long, first_doc_id long, cut array<struct<from:long,to:long>>"
+    kind = "doc_id long, start_word long, n_words long, first_doc_id long, cut array<struct<from:long,to:long>>, covered array<struct<from:long,to:long>>"
     result = keep(placed.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(gather, kind), "repeats")
     drop(kept, shared, classes, windows, found)
     return result
@@ -217,8 +222,8 @@ def cut_words(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, least: int = 50, seed: int = 16) -> DataFrame:
-    """docs with repeated passages cut wherever they are not first; a text that is nothing but such passages goes."""
-    ranges = repeats(docs, least, seed).select("doc_id", F.explode("cut").alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("_cut"))
+    """docs with every word cut that a repeated window covers where it is not first; a text that is nothing but such passages goes."""
+    ranges = repeats(docs, least, seed).select("doc_id", F.explode("covered").alias("c")).groupBy("doc_id").agg(F.collect_list("c").alias("_cut"))
     fields = docs.schema
 
     def run(batches):

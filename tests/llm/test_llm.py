@@ -248,6 +248,18 @@ def test_repeats_by_brute_force(spark, docs):
     assert 2 not in left and left[4][0].text is None and left[None][0].text == prose(1, 120)
 
 
+def test_passage_with_equal_neighbours_is_cut(spark):
+    passage = prose(700, 60)
+    sides = [("one", "side"), ("east", "south"), ("east", "north"), ("west", "south"), ("low", "high"), ("low", "north"), ("west", "high"), ("west", "north")]
+    rows = [(k, f"{prose(710 + k, 30)} {a} {passage} {b} {prose(730 + k, 30)}") for k, (a, b) in enumerate(sides)]
+    rows += [(20, f"{prose(750, 20)} {passage} mid {prose(751, 20)} {passage} {prose(752, 20)}"), (21, " ".join(["again"] * 200)), (22, f"{prose(753, 9)} " + " ".join(["again"] * 70))]
+    left = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = set(passage.split())
+    assert [i for i in sorted(left) if passage in left[i]] == [0]
+    assert left[7] == f"{prose(717, 30)} {prose(737, 30)}" and left[20].split() == [w for w in rows[8][1].replace(passage, "").split()]
+    assert words <= set(left[0].split()) and left[21] == " ".join(["again"] * 50) + " " * left[21].endswith(" ") and left[22].split() == prose(753, 9).split()
+
+
 def test_bpe_is_tiktoken(docs, empty):
     import base64
 
