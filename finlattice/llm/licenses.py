@@ -77,7 +77,14 @@ _PHRASES = (
     (0.8, r"spdx licen[cs]e identifier (?:{n}){v}"),
     (0.8, r"(?:the )?(?:{n}){v} (?:applies|as published by)"),
 )
-_VERSION = r" (?:version |v )?{major}(?: {minor})?(?! \d)"
+_BEFORE_VERSION = r"(?: (?:version |v ?)?|v)"  # version 2, v 2, v2, or v2 at the end of a short name
+_VERSION = _BEFORE_VERSION + r"{major}(?: {minor})?(?! \d)"
+# SPDX identifiers: the family's label, its name there and versions if they are other than the family's; versioned ones are name-version.
+_SPDX = {
+    **{label: label for label in ("gpl", "lgpl", "agpl", "gfdl", "apache", "mpl", "epl", "cddl", "cpl", "eupl", "osl", "afl", "artistic", "bsl", "ofl", "php", "zpl", "odbl", "upl", "zlib", "isc", "unlicense", "wtfpl", "postgresql", "mit", "cc0")},
+    **{label: label.replace("-", " ") for label in ("odc-by", "ms-pl", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause")},
+}
+_SPDX_VERSIONS = {"wtfpl": (), "cc0": ()}
 # Notices told by their wording alone: label, keyword, pattern.
 _NOTICES = (
     ("mit", b"permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -100,6 +107,26 @@ def _literal(name: str) -> bytes:
     return max(re.split(r"[^a-z0-9 ]", plain), key=len).encode()
 
 
+def _spdx() -> list[tuple[str, str]]:
+    """Labels and patterns of the SPDX identifiers; a match's group `id` is the identifier itself."""
+    families = {label: versions for label, _, versions in _FAMILIES} | _SPDX_VERSIONS
+    ids: list[tuple[str, str]] = [("0bsd", "0bsd"), ("mit-0", "mit 0")]
+    for label, name in _SPDX.items():
+        if not families[label]:
+            ids.append((label, f"{name} 1 0" if label == "cc0" else name))
+        for major, minor in (v.split(" ") for v in families[label]):
+            own = f"{label}-{major}" + (f".{minor}" if minor != "0" else "")
+            if label in ("gpl", "lgpl", "agpl", "gfdl"):
+                ids += [(f"{own}-or-later", f"{name} {major} {minor} or later"), (own, f"{name} {major} {minor}(?: only)?(?! or later)")]
+            else:
+                ids.append((own, f"{name} {major} {minor}"))
+    for label, _ in _CC:
+        ids += [(f"cc-{label}-{v.replace(' ', '.')}", f"cc {label.replace('-', ' ')} {v}") for v in ("1 0", "2 0", "2 5", "3 0", "4 0")]
+    known = "|".join(pattern for _, pattern in ids)
+    before = rf"spdx licen[cs]e identifier (?:(?:{known})(?: with [a-z0-9 ]{{1,40}}? exception(?: \d \d)?)? (?:or|and) )*"
+    return [(label, rf"{before}(?P<id>{pattern})(?! \d)") for label, pattern in ids]
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: longer, more specific signatures first."""
@@ -111,12 +138,14 @@ def rules() -> tuple[Rule, ...]:
                 major, minor = version.split(" ")
                 text = _VERSION.format(major=major, minor=minor)
                 if minor != "0":
-                    text = rf" (?:version |v )?{major} {minor}(?! \d)"
+                    text = rf"{_BEFORE_VERSION}{major} {minor}(?! \d)"
                 for later in (True, False) if label in ("gpl", "lgpl", "agpl", "gfdl") else (False,):
                     tail = r" (?:or (?:at your option )?any later version|or later|or newer)" if later else ""
                     name = f"{label}-{major}" + (f".{minor}" if minor != "0" else "") + ("-or-later" if later else "")
                     found.append((name, gate, phrase.replace("{n}", names).replace("{v}", text + tail), 10 * k + (not later), relevance))
-            found.append((label, gate, phrase.replace("{n}", names).replace("{v}", r"(?! (?:version |v )?\d)"), 100 + 10 * k, relevance - 0.1))
+            found.append((label, gate, phrase.replace("{n}", names).replace("{v}", r"(?! (?:version |v ?)?\d)"), 100 + 10 * k, relevance - 0.1))
+    for label, pattern in _spdx():
+        found.append((label, (b"spdx license identifier", b"spdx licence identifier"), pattern, 25, 0.8))
     for label, keyword, pattern in _NOTICES:
         found.append((label, (keyword,), pattern, 50, 1.0))
     for label, words in _CC:
@@ -147,7 +176,7 @@ def _prefilter(own_rules: tuple[Rule, ...]) -> ahocorasick.Automaton:
 def detect(padded: bytes, own_rules: tuple[Rule, ...], prefilter: ahocorasick.Automaton) -> list[tuple[int, int, Rule]]:
     """Accepted detections (byte start, byte end, rule) of one text."""
     found = {i for _, which in prefilter.iter(padded.decode("latin-1")) for i in which}
-    hits = [(m.start(), m.end(), own_rules[i]) for i in sorted(found) for m in own_rules[i].pattern.finditer(padded)]
+    hits = [(*m.span("id" if m.re.groups else 0), own_rules[i]) for i in sorted(found) for m in own_rules[i].pattern.finditer(padded)]
     hits.sort(key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label))
     kept: list[tuple[int, int, Rule]] = []
     for a, b, rule in hits:

@@ -205,6 +205,25 @@ def test_license_rules(docs):
     assert scan("permission is hereby granted, free of charge, to any person obtaining a copy") == "mit"
 
 
+def test_license_tags_and_notices_of_every_family():
+    scan = lambda t: licenses.scan_text(t.encode())[5]
+    tags = (
+        "MIT mit, Apache-2.0 apache-2, BSD-2-Clause bsd-2-clause, BSD-3-Clause bsd-3-clause, BSD-4-Clause bsd-4-clause, ISC isc, Zlib zlib, BSL-1.0 bsl-1, OFL-1.1 ofl-1.1, Artistic-2.0 artistic-2, PostgreSQL postgresql, "
+        "GPL-2.0-only gpl-2, GPL-3.0-or-later gpl-3-or-later, LGPL-2.1 lgpl-2.1, AGPL-3.0-only agpl-3, GFDL-1.3 gfdl-1.3, MPL-2.0 mpl-2, EPL-2.0 epl-2, CDDL-1.0 cddl-1, CPL-1.0 cpl-1, EUPL-1.2 eupl-1.2, OSL-3.0 osl-3, AFL-3.0 afl-3, "
+        "PHP-3.01 php-3.01, ZPL-2.1 zpl-2.1, ODC-By-1.0 odc-by-1, ODbL-1.0 odbl-1, UPL-1.0 upl-1, MS-PL ms-pl, Unlicense unlicense, WTFPL wtfpl, CC0-1.0 cc0, CC-BY-SA-4.0 cc-by-sa-4.0, MIT-0 mit-0, 0BSD 0bsd"
+    )
+    for tag, label in map(str.split, tags.split(", ")):
+        assert (tag, scan(f"// SPDX-License-Identifier: {tag}\nint main")) == (tag, label)
+    assert scan("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT AND Apache-2.0") == "apache-2,gpl-2,mit"
+    for label, names, versions in licenses._FAMILIES:
+        name = names.split("|")[0].replace("licen[cs]e", "license")
+        assert scan(f"This is licensed under the {name}.") == label
+        for major, minor in (v.split() for v in versions):
+            own = f"{label}-{major}" + (f".{minor}" if minor != "0" else "")
+            assert {scan(f"licensed under the {name}{v}{major}.{minor} here") for v in (", version ", ", v", " v. ", " ")} == {own}
+    assert [scan(f"released under {t} here") for t in ("GPL v2", "GPLv3", "the LGPLv2.1", "GPLv2 or later", "the Apache License, v2")] == ["gpl-2", "gpl-3", "lgpl-2.1", "gpl-2-or-later", "apache-2"]
+
+
 def brute_repeats(rows, least):
     texts = {}
     for i, t in rows:
