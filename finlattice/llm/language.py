@@ -7,8 +7,9 @@ probability and a back-off weight for each language; hashes have `bits` bits, so
 by 2**bits rows an order whatever the corpus.
 
 Prediction: the language of lowest cross-entropy per character.  A text is rejected when that entropy
-is above the language's calibrated limit (mean plus `reject_sd` standard deviations over the
-training texts of about the same length that it was right on).
+is above the language's calibrated limit: median plus `reject_spreads` robust deviations (of the
+median absolute deviation) over the training texts of about the same length that it was right on;
+where those are few, over the nearest lengths too, up to all of the language, then of all languages.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; null languages
 are not learned; with nothing to learn from, every text is `und`; a null id is returned as null;
@@ -38,8 +39,9 @@ class LanguageSettings:
     bits: int = 20
     discount: float = 0.75
     most_languages: int = 64  # bounds the model; more languages are an error
-    reject_sd: float = 8.0
-    least_calibration: int = 30  # training texts of a length class below which it rejects nothing
+    reject_spreads: float = 6.0
+    least_spread: float = 0.02  # of entropies, where training texts are all but equal
+    least_calibration: int = 30  # training texts of a length class below which its neighbours are taken in
 
 
 _letters = np.zeros(0x110000, np.int8)  # 0 not looked up yet, 1 letter, 2 other
@@ -250,6 +252,35 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, fields)
 
 
+_BINS = 512  # of entropy, a nat
+_LENGTHS = 41  # length classes, powers of two
+
+
+def _limit(bins: np.ndarray, n: np.ndarray, settings: LanguageSettings) -> float:
+    """Median plus reject_spreads robust deviations of binned entropies."""
+
+    def median(x: np.ndarray) -> float:
+        order = np.argsort(x, kind="stable")
+        return float(x[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)])
+
+    middle = median(entropy := (bins + 0.5) / _BINS)
+    return middle + settings.reject_spreads * max(settings.least_spread, 1.4826 * median(np.abs(entropy - middle)))
+
+
+def limits(counts, langs: list[str], settings: LanguageSettings) -> list[tuple[str, int, float]]:
+    """(language, length class, highest entropy) of every class, from counts n of training texts by lang_pred, length and bin; nothing if there are none."""
+    out = []
+    for lang in langs if len(counts) else ():
+        own = counts[counts["lang_pred"] == lang]
+        own = own if len(own) else counts
+        length, bins, n = (own[c].to_numpy(np.int64) for c in ("length", "bin", "n"))
+        for k in range(_LENGTHS):
+            away = np.abs(length - k)
+            near = next((w for w in range(_LENGTHS) if n[away <= w].sum() >= settings.least_calibration), _LENGTHS)
+            out.append((lang, k, _limit(bins[away <= near], n[away <= near], settings)))
+    return out
+
+
 def identify(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, rejected per document; learns from the documents that are not held out."""
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").withColumn("held_out", is_held_out())
@@ -257,14 +288,11 @@ def identify(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -
     # lang goes along for the calibration below only; predict() reads the text
     scored = keep(predict(slim, model).drop("text"), "languages")
     length = F.floor(F.log2(F.col("n_letters"))).cast("int").alias("length")
-    limits = (
-        scored.where("not held_out and lang_pred = lang").groupBy("lang_pred", length)
-        .agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= settings.least_calibration)
-        .select("lang_pred", "length", (F.col("mean") + settings.reject_sd * F.col("sd") + 1e-9).alias("most"))
-    )
-    # at most most_languages * 40 rows
-    judged = scored.withColumn("length", F.floor(F.log2(F.greatest("n_letters", F.lit(1)))).cast("int")).join(F.broadcast(limits), ["lang_pred", "length"], "left")
+    right = scored.where("not held_out and lang_pred = lang and entropy is not null")
+    counts = right.groupBy("lang_pred", length, F.floor(F.col("entropy") * _BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    highest = docs.sparkSession.createDataFrame(limits(counts, model.langs, settings), "lang_pred string, length int, most double")
+    # most_languages * _LENGTHS rows at most
+    judged = scored.withColumn("length", F.floor(F.log2(F.greatest("n_letters", F.lit(1)))).cast("int")).join(F.broadcast(highest), ["lang_pred", "length"], "left")
     rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("most"), F.lit(False))
     return judged.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
 

@@ -330,6 +330,14 @@ def test_language(spark, sf, docs):
     assert sum(map(len, edges.values())) == len(edge_texts()) and all(0 <= r.score <= 1 for rs in edges.values() for r in rs)
 
 
+def test_language_rejects_junk_of_rare_lengths(spark):
+    rng = random.Random(3)
+    junk = lambda n: "".join(rng.choice("qxzjkwv bcdfghp") for _ in range(n))
+    rows = [(k, prose(900 + k, 60), "en") for k in range(60)] + [(100, junk(9000), None), (101, junk(70), None), (102, prose(990, 3000), None), (103, prose(991, 12), None), (104, junk(500), None)]
+    got = {r.doc_id: r.rejected for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {i for i, x in got.items() if x} == {100, 101, 104}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
