@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numeric import growth, safe_divide
 
@@ -76,9 +77,38 @@ def compute(frame: DataFrame, names: list[str] | None = None) -> DataFrame:
     return frame.withColumns({f.name: f.column() for f in chosen})
 
 
-def with_absent_inputs(frame: DataFrame, names: list[str] | None = None) -> DataFrame:
+#: Inputs that are put together from others.
+DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "enterprise_value": (("total_mv", "interest_bearing_debt", "cash"), lambda: F.col("total_mv") + F.col("interest_bearing_debt") - F.col("cash")),
+}
+
+
+def needed(names: list[str] | None = None, extra: list[str] = ()) -> set[str]:
+    """Inputs of some factors, with what derived ones are made of."""
+    wanted = {i for n in names or FACTORS for i in FACTORS[n].inputs} | set(extra)
+    return wanted | {part for d in wanted & set(DERIVED) for part in DERIVED[d][0]}
+
+
+def build_frame(universe: DataFrame, sources: list[DataFrame], names: list[str] | None = None, extra: list[str] = ()) -> DataFrame:
+    """One row per ts_code of the universe with the inputs that the factors need: only the sources and columns that give one are read.
+
+    Inputs that no source gives are null; a code that the universe has twice, or a source twice, stops the query.
+    """
+    wanted, frame, have = needed(names, extra), universe, set(universe.columns)
+    for source in sources:
+        columns = [c for c in source.columns if c in wanted - have and c != "ts_code"]
+        if columns:
+            frame, have = frame.join(source.select("ts_code", *columns), "ts_code", "left"), have | set(columns)
+    frame = with_absent_inputs(frame, names, wanted - set(DERIVED))
+    frame = frame.withColumns({d: build().cast("double") for d, (_, build) in DERIVED.items() if d in wanted})
+    once = F.assert_true(F.count(F.lit(1)).over(Window.partitionBy("ts_code")) == 1, F.lit("a code occurs twice in the factor frame"))
+    frame = frame.withColumn("_once", once).where("_once is null")
+    return frame.select(*universe.columns, *sorted(wanted - set(universe.columns)))
+
+
+def with_absent_inputs(frame: DataFrame, names: list[str] | None = None, wanted: set[str] | None = None) -> DataFrame:
     """Null columns for the inputs that no source feeds."""
-    wanted = {i for n in names or FACTORS for i in FACTORS[n].inputs}
+    wanted = wanted if wanted is not None else {i for n in names or FACTORS for i in FACTORS[n].inputs}
     return frame.withColumns({c: F.lit(None).cast("double") for c in sorted(wanted - set(frame.columns))})
 
 

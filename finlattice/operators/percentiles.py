@@ -13,21 +13,29 @@ from ..functions.numeric import seven_levels
 EDGES = (0, 10, 20, 30, 40, 50, 70, 100, 1000)
 
 
+def _summary(values: str) -> dict:
+    """n, below, extremes and median of an array of positive values, against `current`."""
+    sorted_ = F.array_sort(values)
+    n = F.size(values)
+    middle = (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2
+    below = F.size(F.filter(values, lambda x: x < F.col("current")))
+    return {"below": below.cast("long"), "n": n.cast("long"), "low": F.array_min(values), "median": middle, "high": F.array_max(values)}
+
+
+def _judged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    rows = rows.where(F.size("values") > 0).withColumns(_summary("values"))
+    rows = rows.withColumn("pct", F.when(F.col("current") > 0, F.col("below") * 100.0 / F.col("n"))).withColumn("level", seven_levels("pct"))
+    return rows.select(*keys, "current", "as_of", "n", "low", "median", "high", "pct", "level")
+
+
 def percentile(history: DataFrame, keys: list[str], value: str, day: str = "trade_date") -> DataFrame:
     """Per key: current (latest not null, may be not positive: no percentile then), pct, n, min, median, max, level.
 
-    Two aggregations on the same key and no window, so the second reuses the first one's partitioning.
+    One aggregation: a key's positive values, a day each, are gathered and ranked in place.
     """
-    v = F.col(value)
-    present = history.where(v.isNotNull())
-    current = present.groupBy(*keys).agg(F.max_by(v, day).alias("current"), F.max(day).alias("as_of"))
-    joined = present.where(v > 0).select(*keys, value).join(current, keys)
-    out = joined.groupBy(*keys).agg(
-        F.first("current").alias("current"), F.first("as_of").alias("as_of"), F.count_if(v < F.col("current")).alias("below"), F.count(F.lit(1)).alias("n"),
-        F.min(v).alias("low"), F.median(v).alias("median"), F.max(v).alias("high"),
-    )
-    pct = F.when(F.col("current") > 0, F.col("below") * 100.0 / F.col("n"))
-    return out.withColumn("pct", pct).withColumn("level", seven_levels("pct")).drop("below")
+    v = F.col(value).cast("double")
+    rows = history.where(v.isNotNull()).groupBy(*keys).agg(F.max_by(v, day).alias("current"), F.max(day).alias("as_of"), F.collect_list(F.when(v > 0, v)).alias("values"))
+    return _judged(rows, keys)
 
 
 def unpivot(history: DataFrame, keys: list[str], indicators: list[str]) -> DataFrame:
@@ -35,11 +43,22 @@ def unpivot(history: DataFrame, keys: list[str], indicators: list[str]) -> DataF
 
 
 def windows(history: DataFrame, keys: list[str], value: str, years: dict[str, int | None], day: str = "trade_date") -> DataFrame:
-    """percentile() over several spans back from each key's last day; the rows are read once and expanded by span."""
-    last = history.groupBy(*keys).agg(F.max(day).alias("_last"))
+    """percentile() over several spans back from each key's last day; a key's values are gathered once and filtered by span."""
+    v = F.col(value).cast("double")
     spans = F.array(*(F.struct(F.lit(n).alias("span"), F.lit(12 * (y or 1000)).alias("months")) for n, y in years.items()))
-    rows = history.join(last, keys).select("*", F.explode(spans).alias("_s")).where(F.col(day) > F.add_months("_last", -F.col("_s.months")))
-    return percentile(rows.select(*keys, F.col("_s.span").alias("span"), day, value), [*keys, "span"], value, day)
+    rows = history.groupBy(*keys).agg(F.max(day).alias("_last"), F.collect_list(F.when(v.isNotNull(), F.struct(F.col(day).alias("d"), v.alias("v")))).alias("_all"))
+    rows = rows.select(*keys, "_last", "_all", F.explode(spans).alias("_s"))
+    rows = rows.select(*keys, F.col("_s.span").alias("span"), F.filter("_all", lambda x: x["d"] > F.add_months("_last", -F.col("_s.months"))).alias("_in"))
+    newest = F.array_max("_in")
+    positive = F.transform(F.filter("_in", lambda x: x["v"] > 0), lambda x: x["v"])
+    rows = rows.select(*keys, "span", newest["v"].alias("current"), newest["d"].alias("as_of"), positive.alias("values"))
+    return _judged(rows, [*keys, "span"])
+
+
+def profile_ratios(profile: DataFrame, buckets: DataFrame, representative: int = 1000) -> DataFrame:
+    """bucket, n, ratio of the valid values, with the profile's coverage (valid of all) and whether it is representative."""
+    one = profile.select("valid", F.try_divide("valid", "total").alias("coverage"), (F.col("valid") >= representative).alias("representative"))
+    return buckets.crossJoin(F.broadcast(one)).select(*buckets.columns, F.try_divide("n", "valid").alias("ratio"), "coverage", "representative")  # one row
 
 
 def deciles(ranked: DataFrame, pct: str = "pct") -> DataFrame:

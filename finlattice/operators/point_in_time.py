@@ -47,6 +47,26 @@ def anchors(prices: DataFrame, as_of, days: dict[str, int], lookback: int = 400)
     return found.select("ts_code", "last_close", *((F.try_divide("last_close", f"_{n}") - 1).alias(n) for n in days))
 
 
+def price_inputs(prices: DataFrame, as_of, lookback: int = 400) -> DataFrame:
+    """Per ts_code: returns over 1, 3, 6 and 12 months, volatility of daily returns over 6 and 12 months (not annualised) and the deepest drawdown of 12 months.
+
+    The look-back bounds a code's window; the first return inside a volatility's window is unknown.
+    """
+    end = F.lit(as_of).cast("date")
+    rows = prices.where((F.col("trade_date") <= end) & (F.col("trade_date") >= F.date_sub(end, lookback))).select("ts_code", "trade_date", F.col("close").cast("double").alias("close"))
+    w = Window.partitionBy("ts_code").orderBy("trade_date")
+    year = F.date_sub(end, 365)
+    rows = rows.withColumns({"_before": F.lag("trade_date").over(w), "_r": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1})
+    peak = F.max(F.when(F.col("trade_date") >= year, F.col("close"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_dd", F.when(F.col("trade_date") >= year, F.try_divide(F.col("close"), peak) - 1))
+    last = F.max_by("close", "trade_date")
+    at = lambda d: F.max_by(F.when(F.col("trade_date") <= F.date_sub(end, d), F.col("close")), F.when(F.col("trade_date") <= F.date_sub(end, d), F.col("trade_date")))
+    return rows.groupBy("ts_code").agg(
+        *((F.try_divide(last, at(d)) - 1).alias(n) for n, d in (("ret_1m", 30), ("ret_3m", 90), ("ret_6m", 180), ("ret_12m", 365))),
+        *(F.stddev_samp(F.when(F.col("_before") >= F.date_sub(end, d), F.col("_r"))).alias(n) for n, d in (("vol_6m", 180), ("vol_12m", 365))), F.min("_dd").alias("max_dd_12m"),
+    )
+
+
 def step_factors(prices: DataFrame, events: DataFrame, key="ts_code", day="trade_date", factor="factor") -> DataFrame:
     """Adjustment factors as a step function: each price takes the last factor at or before its day, 1 before the first."""
     both = prices.select("*", F.lit(None).cast("double").alias("_f")).unionByName(events.select(key, day, F.col(factor).cast("double").alias("_f")), allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numeric import correlation
 
@@ -58,3 +59,11 @@ def compare_maps(left: DataFrame, right: DataFrame, by: list[str], key: str, val
     common = F.col("a").isNotNull() & F.col("b").isNotNull()
     out = both.groupBy(*by).agg(F.count_if(common).alias("common"), F.count(F.lit(1)).alias("keys"), correlation(F.when(common, F.col("a")), F.when(common, F.col("b"))).alias("c"))
     return out.select(*by, "common", F.when(F.col("common") >= 3, F.col("c")).alias("correlation"), (F.col("common") / F.col("keys")).alias("coverage"))
+
+
+def top_differences(left: DataFrame, right: DataFrame, by: list[str], key: str, value: str, k: int = 10) -> DataFrame:
+    """The k keys of each group whose values differ most (a missing one is 0), ties by key; the rank is the report's."""
+    both = left.select(*by, key, F.col(value).alias("a")).join(right.select(*by, key, F.col(value).alias("b")), [*by, key], "full")
+    rows = both.select(*by, key, F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b")).withColumn("difference", F.col("a") - F.col("b"))
+    w = Window.partitionBy(*by).orderBy(F.desc(F.abs("difference")), key)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

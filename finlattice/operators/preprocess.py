@@ -65,7 +65,11 @@ def fill_missing(df: DataFrame, columns: list[str], how: str = "mean", value: fl
     return out.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*(f"_m_{c}" for c in columns))
 
 
-STEPS = {"winsorize": winsorize, "zscore": zscore, "neutralize_groups": neutralize_groups, "neutralize_size": neutralize_size, "fill_missing": fill_missing}
+def rank_columns(df: DataFrame, columns: list[str], by: list[str] = (), ascending: bool = True) -> DataFrame:
+    return reduce(lambda frame, c: rank(frame, c, list(by), ascending), columns, df)
+
+
+STEPS = {"rank": rank_columns, "winsorize": winsorize, "zscore": zscore, "neutralize_groups": neutralize_groups, "neutralize_size": neutralize_size, "fill_missing": fill_missing}
 
 
 def apply(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:

@@ -55,42 +55,44 @@ def drawdown_episodes(df: DataFrame, keys: list[str], value: str, day: str = "tr
     )
 
 
-def _ewma(values: Column, alpha: float) -> Column:
-    """All values of the recursive average (no adjustment), as an array; the fold keeps one array per key."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
+def _series(df: DataFrame, keys: list[str], value: str, day: str) -> DataFrame:
+    """Per key its whole series of values in order, as one array."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).cast("double").alias("v"))))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(pairs.alias("s"))
+
+
+def rsi(df: DataFrame, keys: list[str], value: str = "close", n: int = 14, day: str = "trade_date") -> DataFrame:
+    """Latest Wilder RSI per key over its whole series: 100 if nothing fell, 50 if nothing moved, null with n or fewer values."""
+    s = _series(df, keys, value, day).where(F.size("s") > 1)
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("last"), none.alias("up"), none.alias("down"))
+    smooth = lambda before, x: F.when(before.isNull(), x).otherwise(x / n + (1 - 1 / n) * before)
 
     def step(acc, x):
-        now = F.when(acc["last"].isNull(), x).otherwise(alpha * x + (1 - alpha) * acc["last"])
-        return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
+        move = x["v"] - acc["last"]
+        up, down = F.greatest(move, F.lit(0.0)), F.greatest(-move, F.lit(0.0))
+        first = acc["last"].isNull()
+        return F.struct(x["v"].alias("last"), F.when(~first, smooth(acc["up"], up)).alias("up"), F.when(~first, smooth(acc["down"], down)).alias("down"))
 
-    return F.aggregate(values, start, step)["all"]
+    s = s.withColumn("a", F.aggregate("s", start, step))
+    up, down = F.col("a.up"), F.col("a.down")
+    value_ = F.when((up == 0) & (down == 0), 50.0).when(down == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(up, down)))
+    return s.select(*keys, F.when(F.size("s") - 1 >= n, value_).alias("rsi"))
 
 
-def _series(df: DataFrame, keys: list[str], value: str, day: str, most: int) -> DataFrame:
-    """Per key the last `most` (day, value) pairs in order; the bound keeps a key's array small."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(day))
-    tail = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    return tail.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).cast("double").alias("v")))).alias("s"))
-
-
-def rsi(df: DataFrame, keys: list[str], value: str = "close", n: int = 14, day: str = "trade_date", most: int = 2000) -> DataFrame:
-    """Latest Wilder RSI per key: 100 if nothing fell, 50 if nothing moved, null with n or fewer values."""
-    s = _series(df, keys, value, day, most)
-    moves = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s", i)["v"] - F.get("s", i - 1)["v"])
-    s = s.where(F.size("s") > 1).withColumn("m", moves)
-    last = lambda a: F.aggregate(a, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(x / n + (1 - 1 / n) * acc))
-    s = s.withColumn("up", last(F.transform("m", lambda x: F.greatest(x, F.lit(0.0))))).withColumn("down", last(F.transform("m", lambda x: F.greatest(-x, F.lit(0.0)))))
-    value_ = F.when((F.col("up") == 0) & (F.col("down") == 0), 50.0).when(F.col("down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("up", "down")))
-    return s.select(*keys, F.when(F.size("m") >= n, value_).alias("rsi"))
-
-
-def macd(df: DataFrame, keys: list[str], value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, day: str = "trade_date", most: int = 2000) -> DataFrame:
-    """Latest DIF, DEA and histogram per key; null with fewer than `slow` values."""
-    s = _series(df, keys, value, day, most).withColumn("v", F.transform("s", lambda x: x["v"]))
-    s = s.withColumn("a", _ewma(F.col("v"), 2 / (fast + 1))).withColumn("b", _ewma(F.col("v"), 2 / (slow + 1)))
-    s = s.withColumn("dif", F.zip_with("a", "b", lambda a, b: a - b)).withColumn("dea", _ewma(F.col("dif"), 2 / (signal + 1)))
-    long = F.size("v") >= slow
-    dif, dea = F.element_at("dif", -1), F.element_at("dea", -1)
+def macd(df: DataFrame, keys: list[str], value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, day: str = "trade_date") -> DataFrame:
+    """Latest DIF, DEA and histogram per key over its whole series, by one fold that carries three averages; null with fewer than `slow` values."""
+    s = _series(df, keys, value, day)
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("a"), none.alias("b"), none.alias("dea"))
+
+    def step(acc, x):
+        average = lambda before, now, span: F.when(before.isNull(), now).otherwise(now * (2 / (span + 1)) + before * (1 - 2 / (span + 1)))
+        a, b = average(acc["a"], x["v"], fast), average(acc["b"], x["v"], slow)
+        return F.struct(a.alias("a"), b.alias("b"), average(acc["dea"], a - b, signal).alias("dea"))
+
+    s = s.withColumn("e", F.aggregate("s", start, step))
+    long, dif, dea = F.size("s") >= slow, F.col("e.a") - F.col("e.b"), F.col("e.dea")
     return s.select(*keys, F.when(long, dif).alias("dif"), F.when(long, dea).alias("dea"), F.when(long, 2 * (dif - dea)).alias("hist"))
 
 

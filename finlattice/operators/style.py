@@ -80,3 +80,38 @@ def signals(exposures: DataFrame) -> DataFrame:
     rows = exposures.select("*", *((F.col("exposure") - F.lag("exposure", k).over(w)).alias(f"change_{k}step") for k in (1, 5, 20)))
     turnover = F.sum(F.abs("change_1step")).over(Window.partitionBy("fund", "end_date")) / 2
     return rows.withColumn("signal", F.when(F.col("change_1step").isNotNull(), change_signal("change_1step"))).withColumn("turnover", turnover)
+
+
+#: Signals from the strongest increase to the strongest decrease.
+ORDER = ("strong_increase", "increase", "slight_increase", "neutral", "slight_decrease", "decrease", "strong_decrease")
+_LOWER = {"high": "medium", "medium": "low", "low": "low"}
+
+
+def signal_place(signal: str = "signal"):
+    """Place of a signal in ORDER; others come last."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, ORDER)), F.col(signal)), F.lit(99)).cast("int") - F.when(F.col(signal).isin(*ORDER), 1).otherwise(0)
+
+
+def vote(signals: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
+    """Signals (change, signal, confidence) after the vote of other windows (directions: keys, window, direction).
+
+    Of the windows with a direction, the share that agrees with the change is the consistency: below a half confidence goes one
+    tier down, below 0.3 the signal is neutral.  Without votes, for neutral changes and where all signals of the group
+    are neutral nothing changes.
+    """
+    votes = directions.where("direction <> 0").groupBy(*keys).agg(F.collect_list("direction").alias("_votes"))
+    rows = signals.join(votes, keys, "left").withColumn("_main", F.signum("change").cast("int"))
+    share = F.when((F.col("_main") != 0) & (F.size("_votes") > 0), F.size(F.filter("_votes", lambda v: v == F.col("_main"))) / F.size("_votes"))
+    rows = rows.withColumn("consistency", share)
+    lower = F.coalesce(F.create_map(*(F.lit(x) for pair in _LOWER.items() for x in pair))[F.col("confidence")], F.col("confidence"))
+    return rows.withColumn("confidence", F.when(F.col("consistency") < 0.5, lower).otherwise(F.col("confidence"))).withColumn(
+        "signal", F.when(F.col("consistency") < 0.3, "neutral").otherwise(F.col("signal"))
+    ).drop("_votes", "_main")
+
+
+def factor_returns(rows: DataFrame, keys: list[str], day: str = "trade_date") -> DataFrame:
+    """keys, day, r from `return`, else `factor_return`, else changes of `close`; rows without one go."""
+    name = next((c for c in ("return", "factor_return") if c in rows.columns), None)
+    w = Window.partitionBy(*keys).orderBy(day)
+    r = F.col(name).cast("double") if name else F.try_divide(F.col("close").cast("double"), F.lag("close").over(w)) - 1
+    return rows.select(*keys, day, r.alias("r")).where("r is not null")

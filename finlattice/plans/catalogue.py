@@ -1,6 +1,6 @@
 """All registered queries of the analytics engine."""
 
-from . import corpus, funds, market, more, research  # noqa: F401  (importing registers)
+from . import corpus, frames, funds, lookups, market, more, research  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -181,3 +181,59 @@ def holding_tables(pages: DataFrame, key: str, page: str, names: dict[str, tuple
             yield type(pdf)(out, columns=[key, "rank", *columns])
 
     return pages.select(key, page).mapInPandas(run, schema)
+
+
+def valuation_history(frames: dict[str, DataFrame], columns: tuple[str, ...] = ("pe_ttm", "pe_static", "pb", "ps", "pcf")) -> DataFrame:
+    """ts_code, trade_date and all indicators on the days of pe_ttm (of pb if there is no pe_ttm); the others join by day, missing ones are null.
+
+    frames: (ts_code, trade_date, indicator) by indicator; a day that one has twice counts once.
+    """
+    keys = ["ts_code", "trade_date"]
+    base = next((c for c in ("pe_ttm", "pb") if c in frames), None)
+    if base is None:
+        raise ValueError("neither pe_ttm nor pb is there to give the days")
+    out = frames[base].select(*keys, base)
+    for column in columns:
+        if column == base:
+            continue
+        if column in frames:
+            out = out.join(frames[column].groupBy(*keys).agg(F.max(column).alias(column)), keys, "left")
+        else:
+            out = out.withColumn(column, F.lit(None).cast("double"))
+    return out.select(*keys, *columns)
+
+
+def index_membership(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """ts_code, index_code, index_name, effective_date of constituents: codes without a float's tail, padded to six digits and with their exchange; one row per key."""
+    out = renamed(raw, columns)
+    code = F.lpad(F.regexp_replace(F.trim(F.col("ts_code").cast("string")), r"\.0$", ""), 6, "0")
+    out = out.select(X.security_code(code).alias("ts_code"), F.col("index_code").cast("string").alias("index_code"), F.col("index_name").cast("string").alias("index_name"), X.date_text(F.col("effective_date").cast("string")).alias("effective_date"))
+    return latest(out, ["ts_code", "index_code", "effective_date"], [])
+
+
+def industry_valuation(raw: DataFrame, columns: dict[str, str], stat_date, classification: str) -> DataFrame:
+    """Industry valuations of a day: codes and trimmed names as text, everything else as numbers."""
+    out = renamed(raw, columns, stat_date=F.lit(stat_date).cast("date"), classification=F.lit(classification))
+    numbers = {c: N.numeric(F.col(c).cast("string")) for c in columns if c not in ("industry_code", "industry_name", "industry_level")}
+    return out.withColumns(numbers | {"industry_code": F.col("industry_code").cast("string"), "industry_name": F.trim("industry_name"), "industry_level": F.col("industry_level").cast("string").try_cast("int")})
+
+
+def company_profile(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """ts_code, industry, list_date, index_membership: placeholders are blank, dates that cannot be read null."""
+    out = renamed(raw, columns)
+    return out.select("ts_code", X.placeholder("industry").alias("industry"), X.date_text(F.col("list_date").cast("string")).alias("list_date"), X.placeholder("index_membership").alias("index_membership"))
+
+
+def vendor_sector_flows(raw: DataFrame, columns: dict[str, str], trade_date, sector_type: str, top: int | None = None) -> DataFrame:
+    """Sector flows of a vendor: net of the four order sizes (of the main flow if the vendor gives no sizes), the rate as given, gross flows null.
+
+    top keeps the first rows of the vendor's own order (column `place`), as its report does.
+    """
+    sizes = [c for c in ("super_net_inflow", "large_net_inflow", "medium_net_inflow", "small_net_inflow") if columns.get(c) in raw.columns]
+    out = renamed(raw, columns)
+    out = out.withColumns({c: N.numeric(F.col(c).cast("string")) for c in columns if c not in ("sector_code", "sector_name", "place")})
+    net = sum((F.col(c) for c in sizes[1:]), F.col(sizes[0])) if sizes else F.col("main_net_inflow")
+    none = F.lit(None).cast("double")
+    out = out.select("sector_code", "sector_name", F.lit(sector_type).alias("sector_type"), F.lit(trade_date).cast("date").alias("trade_date"), none.alias("inflow"), none.alias("outflow"), net.alias("net_inflow"),
+                     F.col("main_net_inflow_rate").alias("net_inflow_rate"), "main_net_inflow", F.col("small_net_inflow").alias("retail_net_inflow"), *(["place"] if "place" in columns else []))
+    return out.where(F.col("place").cast("int") <= top) if top and "place" in columns else out

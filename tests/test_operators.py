@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from finlattice.functions import numeric as N
 from finlattice.functions import text as X
-from finlattice.operators import backtest, factors, percentiles, portfolio, preprocess, risk, screener, search, series, style, tables
+from finlattice.operators import backtest, compare, factors, lookups, percentiles, portfolio, preprocess, risk, screener, search, series, style, tables
 from finlattice.operators import point_in_time as pit
+from finlattice.sources import normalize
 
 D = dt.date
 
@@ -286,3 +288,67 @@ def test_search(spark):
 def test_backtest_validation(spark):
     found = backtest.validate(prices(spark, [10, -1]), signals(spark, (2, 0.7), (2, 0.6)))
     assert found == ["signals: repeated keys", "prices: a close is not positive", "signals: the weights of a day are over 1"]
+
+
+def test_price_inputs(spark):
+    days = [date(2024, 6, 30) - timedelta(days=k) for k in range(390, -1, -1)]
+    rows = [("flat", d, 10.0) for d in days] + [("up", d, 10.0 * 1.001**k) for k, d in enumerate(days)] + [("half", d, 10.0 if k < 300 else 5.0) for k, d in enumerate(days)] + [("new", days[-1], 3.0)]
+    out = {r.ts_code: r for r in pit.price_inputs(spark.createDataFrame(rows, "ts_code string, trade_date date, close double"), "2024-06-30").collect()}
+    assert (out["flat"].ret_12m, out["flat"].vol_6m, out["flat"].max_dd_12m) == (0.0, 0.0, 0.0)
+    assert out["up"].ret_1m == pytest.approx(1.001**30 - 1) and out["up"].vol_12m == pytest.approx(0, abs=1e-9) and out["up"].max_dd_12m == 0
+    assert out["half"].max_dd_12m == -0.5 and out["half"].ret_12m == -0.5 and out["half"].ret_1m == 0 and out["half"].vol_6m > 0
+    assert (out["new"].ret_1m, out["new"].vol_6m, out["new"].max_dd_12m) == (None, None, 0.0)
+
+
+def test_frame_reads_only_what_is_needed(spark):
+    universe = spark.createDataFrame([("a",), ("b",)], "ts_code string")
+    mv = spark.createDataFrame([("a", 30.0)], "ts_code string, total_mv double")
+    debt = spark.createDataFrame([("a", 5.0, 2.0, 1.0)], "ts_code string, interest_bearing_debt double, cash double, ebitda double")
+    unread = spark.createDataFrame([("a", 1.0)], "ts_code string, roe double").withColumn("roe", F.raise_error(F.lit("read")).cast("double"))
+    out = {r.ts_code: r for r in factors.build_frame(universe, [mv, debt, unread], ["ev_ebitda"]).collect()}
+    assert out["a"].enterprise_value == 33.0 and out["b"].enterprise_value is None and "roe" not in out["a"].asDict()
+    with pytest.raises(Exception, match="twice"):
+        factors.build_frame(universe.unionAll(universe), [mv], ["ps"]).collect()
+
+
+def test_compare_and_lookups(spark):
+    names = spark.createDataFrame([(1, "n")], "ts_code long, name string")
+    h = spark.createDataFrame([(1, date(2024, 1, k), float(k), None) for k in (1, 2, 3)], "ts_code long, trade_date date, pe double, pb double")
+    rows = {(r.ts_code, r.indicator): r for r in compare.compare_page(h, names, [1, 2, 1], ["pe", "pb"]).collect()}
+    assert rows[1, "pe"].pct == pytest.approx(200 / 3) and rows[1, "pb"].n is None and rows[2, "pe"].current is None and len(rows) == 4
+    with pytest.raises(ValueError):
+        compare.compare_page(h, names, [1, 1], ["pe"])
+    assert lookups.in_keys(h, "ts_code", []).count() == 0 and lookups.in_keys(h, "ts_code", None).count() == 3
+    assert lookups.in_keys(h, "ts_code", list(range(600))).count() == 3
+    answer, missing = lookups.local_first(h, h.withColumn("ts_code", F.col("ts_code") + 1).unionAll(h), ["ts_code"])
+    assert answer.count() == 6 and {r.ts_code for r in missing.collect()} == {2}
+    assert lookups.register_frame(spark, [(1,)], "x int", "one_row").count() == 1 and spark.sql("SELECT x FROM one_row").first().x == 1
+    assert lookups.benchmarks(spark).count() == 8
+
+
+def test_votes_and_order(spark):
+    signals = spark.createDataFrame([("a", 0.06, "strong_increase", "high"), ("b", -0.03, "decrease", "medium"), ("c", 0.0, "neutral", "low"), ("d", 0.01, "slight_increase", "high")], "sector string, change double, signal string, confidence string")
+    votes = spark.createDataFrame([("a", 20, 1), ("a", 120, -1), ("b", 20, 1), ("b", 120, 1), ("c", 20, 1), ("d", 20, 0)], "sector string, window int, direction int")
+    out = {r.sector: r for r in style.vote(signals, votes, ["sector"]).withColumn("place", style.signal_place()).collect()}
+    assert (out["a"].consistency, out["a"].signal, out["a"].confidence, out["a"].place) == (0.5, "strong_increase", "high", 0)
+    assert (out["b"].consistency, out["b"].signal, out["b"].confidence, out["b"].place) == (0.0, "neutral", "low", 3)
+    assert (out["c"].consistency, out["d"].consistency, out["d"].place) == (None, None, 2)
+
+
+def test_noise_is_stripped_to_the_last_layer(spark):
+    noise = "转发微博" * 9 + " 来自手机客户端 " + "点赞 3 " * 7
+    rows = [(1, f"<p>好公司&hellip;&eacute;</p>{noise}"), (2, "转发转发微博微博"), (3, None), (4, "\ufeff１２ＡＢ｜")]
+    out = {r.k: r.c for r in spark.createDataFrame(rows, "k int, t string").select("k", X.clean_text("t").alias("c")).collect()}
+    assert out == {1: "好公司…é", 2: "", 3: "", 4: "12AB"}
+
+
+def test_normalised_tables(spark):
+    h = {"pb": spark.createDataFrame([("a", date(2024, 1, 1), 1.0)], "ts_code string, trade_date date, pb double"), "ps": spark.createDataFrame([("a", date(2024, 1, 1), 3.0)] * 2, "ts_code string, trade_date date, ps double")}
+    assert [tuple(r) for r in normalize.valuation_history(h).collect()] == [("a", date(2024, 1, 1), None, None, 1.0, 3.0, None)]
+    with pytest.raises(ValueError):
+        normalize.valuation_history({"ps": h["ps"]})
+    raw = spark.createDataFrame([("c", "n", 5.0, "-")], "code string, name string, main double, rate string")
+    row = normalize.vendor_sector_flows(raw, {"sector_code": "code", "sector_name": "name", "main_net_inflow": "main", "main_net_inflow_rate": "rate", "small_net_inflow": "small"}, "2024-01-02", "industry").first()
+    assert (row.net_inflow, row.net_inflow_rate, row.inflow, row.retail_net_inflow) == (5.0, None, None, None)
+    profile = normalize.company_profile(spark.createDataFrame([("1", "--", "1999-07-27")], "ts_code string, i string, l string"), {"ts_code": "ts_code", "industry": "i", "list_date": "l", "index_membership": "m"}).first()
+    assert (profile.industry, profile.list_date) == ("", date(1999, 7, 27))
