@@ -48,16 +48,22 @@ def decompose(funds: DataFrame, sectors: DataFrame, ends: DataFrame, window: int
 
     funds: fund, day, r; sectors: sector, day, r; ends: end_date.  Only common days count, the last `window` up to each end.
     """
-    n = sectors.select("sector").distinct().count()
-    wide = sectors.groupBy("day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sector", "r")))).alias("x")).where(F.size("x") == n)
-    rows = funds.where("r is not null").join(wide, "day").join(F.broadcast(ends), F.col("day") <= F.col("end_date"))
-    w = Window.partitionBy("fund", "end_date").orderBy(F.desc("day"))
-    rows = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= window)
+    names = sorted(r.sector for r in sectors.select("sector").distinct().collect())  # a few dozen sectors
+    wide = sectors.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("sector", "r"))).alias("x")).where(F.size("x") == len(names))
+    days = funds.where("r is not null").join(wide.select("day", F.transform("x", lambda p: p["r"]).alias("x")), "day")
+    days = days.withColumn("pos", F.row_number().over(Window.partitionBy("fund").orderBy("day")))
+    # each end's position is that of the last common day by then; its days are found by their positions
+    all_ends = ends.agg(F.sort_array(F.collect_set("end_date")).alias("ends"))  # one row
+    asked = days.select("fund").distinct().crossJoin(F.broadcast(all_ends)).select("fund", F.explode("ends").alias("day"), F.lit(None).cast("int").alias("pos"), F.lit(1).alias("asked"))
+    both = days.select("fund", "day", "pos", F.lit(0).alias("asked")).unionByName(asked)
+    last = F.last("pos", ignorenulls=True).over(Window.partitionBy("fund").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    at = both.withColumn("last", last).where("asked = 1 and last is not null").select("fund", F.col("day").alias("end_date"), "last")
+    at = at.select("fund", "end_date", F.explode(F.sequence(F.greatest(F.lit(1), F.col("last") - (window - 1)), F.col("last"))).alias("pos"))
+    rows = at.join(days, ["fund", "pos"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
-        names = sorted(dict(pdf["x"].iloc[0]))
-        x = np.array([[dict(m)[k] for k in names] for m in pdf["x"]], float)
+        x = np.array(pdf["x"].tolist(), float)
         y = pdf["r"].to_numpy(float)
         if len(y) < least or len(names) < 2 or not np.isfinite(x).all() or not np.isfinite(y).all():
             return pd.DataFrame(columns=["fund", "end_date", "sector", "exposure", "r_squared", "alpha", "residual_volatility", "cash"])

@@ -34,9 +34,12 @@ def brinson_attribution(spark, d):
     e = portfolio.sector_weights(V.holdings(spark, d), V.sectors(spark, d), ["fund", "report_date"]).select("fund", "report_date", "sector", "stocks", "weight")
     quarter = F.last_day(F.add_months(F.trunc("month", "quarter"), 2))
     ret = portfolio.interval_returns(V.sector_index(spark, d).withColumn("report_date", quarter), ["sector", "report_date"], "close", "month").withColumnRenamed("ret", "rb")
-    bench = e.groupBy("report_date", "sector").agg(F.sum("weight").alias("wb"))
-    rows = e.select("fund", "report_date").distinct().join(bench, "report_date").join(e, ["fund", "report_date", "sector"], "left").join(ret, ["sector", "report_date"], "left")
-    rows = rows.select("fund", "report_date", "sector", F.col("weight").alias("wp"), "wb", (F.col("rb") * (1 + F.col("stocks") / 100)).alias("rp"), "rb")
+    # the fund's sectors as a map beside each day's list of benchmark sectors: exposures are read twice and joined on the day alone
+    mine = e.groupBy("fund", "report_date").agg(F.map_from_entries(F.collect_list(F.struct("sector", F.struct("weight", "stocks")))).alias("mine"))
+    bench = e.groupBy("report_date", "sector").agg(F.sum("weight").alias("wb")).join(ret, ["sector", "report_date"], "left")
+    bench = bench.groupBy("report_date").agg(F.collect_list(F.struct("sector", "wb", "rb")).alias("bench"))
+    rows = mine.join(bench, "report_date").select("fund", "report_date", "mine", F.explode("bench").alias("b")).withColumn("own", F.col("mine")[F.col("b.sector")])
+    rows = rows.select("fund", "report_date", "b.sector", F.col("own.weight").alias("wp"), "b.wb", (F.col("b.rb") * (1 + F.col("own.stocks") / 100)).alias("rp"), "b.rb")
     out = portfolio.attribution_totals(portfolio.brinson(rows, ["fund", "report_date"]), ["fund", "report_date"])
     return out.select("fund", "report_date", *(_r(c).alias(c) for c in ("allocation", "selection", "interaction", "excess")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import insert_new
@@ -29,17 +29,27 @@ def since(df: DataFrame, time: str, watermark) -> DataFrame:
     return df if watermark is None else df.where(F.col(time) > watermark)
 
 
-def append_new(path: str, keys: list[str]):
-    """A foreachBatch function that appends the rows whose key the table at path lacks: replays change nothing."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def append_new(path: str, keys: list[str], day: str | None = None):
+    """A foreachBatch function that appends the rows whose key the table at path lacks: replays change nothing.
+
+    With `day`, one of the keys, the table is partitioned by it and a batch is compared with its own days' partitions only.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
+        if exists(spark, path):  # the first batch makes the table
             there = spark.read.schema(batch.schema).parquet(path)
-        except Exception as error:  # the first batch makes the table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+            if day:
+                there = there.join(F.broadcast(batch.select(day).distinct()), day, "left_semi")  # a batch has few days; they prune the partitions
+        else:
             there = spark.createDataFrame([], batch.schema)
-        insert_new(there, batch, keys).write.mode("append").parquet(path)
+        new = insert_new(there, batch, keys).write.mode("append")
+        (new.partitionBy(day) if day else new).parquet(path)
 
     return write

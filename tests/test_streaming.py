@@ -21,3 +21,13 @@ def test_append_new_is_idempotent(spark, tmp_path):
     write(batch, 0)
     write(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), 1)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+
+
+def test_append_new_by_days(spark, tmp_path):
+    path = str(tmp_path / "days")
+    write = E.append_new(path, ["k", "day"], "day")
+    batch = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "k int, day string")
+    write(batch, 0)
+    write(batch, 0)
+    write(spark.createDataFrame([(1, "2024-01-02"), (2, "2024-01-02")], "k int, day string"), 1)
+    assert sorted((r.k, str(r.day)) for r in spark.read.parquet(path).collect()) == [(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-02")]
