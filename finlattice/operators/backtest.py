@@ -40,12 +40,20 @@ def validate(prices: DataFrame, signals: DataFrame) -> list[str]:
     return wrong
 
 
-def with_limits(prices: DataFrame, limit: float) -> DataFrame:
-    """limit_up, limit_down (null without a pre_close) and suspended (no volume, where there is such a column) for each row."""
-    rows = prices if "pre_close" in prices.columns else prices.withColumn("pre_close", F.lit(None).cast("double"))
-    at = lambda s: F.rint(F.col("pre_close") * (1 + s * limit) * 100) / 100
-    suspended = F.coalesce("volume", F.lit(0.0)) <= 0 if "volume" in prices.columns else F.lit(False)
-    return rows.withColumn("limit_up", at(1)).withColumn("limit_down", at(-1)).withColumn("suspended", suspended)
+def with_limits(prices: DataFrame, limit: float | dict[str, float]) -> DataFrame:
+    """at_limit_up, at_limit_down and suspended for each row.
+
+    Columns limit_up, limit_down and suspended that the prices have already count as they are (null is false).  Else a close is at its limit
+    by pre_close and the code's rate (0.1 where a table of rates lacks it), without a pre_close never; a row without volume is suspended.
+    """
+    rate = F.lit(limit) if not isinstance(limit, dict) else F.coalesce(F.create_map(*(F.lit(x) for pair in limit.items() for x in pair))[F.col("ts_code")], F.lit(0.1))
+    before = F.col("pre_close") if "pre_close" in prices.columns else F.lit(None).cast("double")
+    price = lambda s: F.rint(before * (1 + s * rate) * 100) / 100
+    told = lambda name, derived: F.coalesce(F.col(name).cast("boolean") if name in prices.columns else derived, F.lit(False))
+    still = F.coalesce("volume", F.lit(0.0)) <= 0 if "volume" in prices.columns else F.lit(False)
+    return prices.withColumns({
+        "at_limit_up": told("limit_up", F.col("close") >= price(1) - 1e-9), "at_limit_down": told("limit_down", F.col("close") <= price(-1) + 1e-9), "suspended": told("suspended", still),
+    })
 
 
 class _Ledger:
@@ -122,13 +130,13 @@ def run(prices: DataFrame, signals: DataFrame, rules: Rules = Rules(), dividends
                 if change < 0:
                     have = ledger.held[code]
                     shares = have[1] if orders[code] == 0 else min(-change // rules.lot * rules.lot, have[1])
-                    if r.close <= r.limit_down or shares <= 0:
-                        refused += r.close <= r.limit_down
+                    if r.at_limit_down or shares <= 0:
+                        refused += bool(r.at_limit_down)
                         continue
                     realised += ledger.sell(code, shares, r.close)
                     filled += 1
                 elif change >= rules.lot:
-                    bought = 0 if r.close >= r.limit_up else ledger.buy(code, change, r.close)
+                    bought = 0 if r.at_limit_up else ledger.buy(code, change, r.close)
                     filled += bought > 0
                     refused += bought == 0
             ledger.last |= {c: r.close for c, r in today.items()}
@@ -136,5 +144,5 @@ def run(prices: DataFrame, signals: DataFrame, rules: Rules = Rules(), dividends
             out.append((pdf["strategy"].iloc[0], day, ledger.equity(), ledger.cash, realised, filled, refused))
         return pd.DataFrame(out, columns=["strategy", "trade_date", "equity", "cash", "realised", "filled", "refused"])
 
-    book = book.select("strategy", "ts_code", "trade_date", "close", "limit_up", "limit_down", "suspended", "weight", "cash_per_share")
+    book = book.select("strategy", "ts_code", "trade_date", "close", "at_limit_up", "at_limit_down", "suspended", "weight", "cash_per_share")
     return book.groupBy("strategy").applyInPandas(one, "strategy string, trade_date date, equity double, cash double, realised double, filled int, refused int")

@@ -58,3 +58,23 @@ def performance(equity: DataFrame, keys: list[str], value: str = "equity", day:
 def closed_trades(trades: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame:
     won, lost = F.sum(F.when(F.col(pnl) > 0, F.col(pnl))), F.sum(F.when(F.col(pnl) < 0, F.col(pnl)))
     return trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), F.avg((F.col(pnl) > 0).cast("double")).alias("win_rate"), F.try_divide(won, F.abs(lost)).alias("profit_factor"))
+
+
+def all_metrics(equity: DataFrame, keys: list[str], trades: DataFrame | None = None, benchmark: DataFrame | None = None, value: str = "equity", day: str = "trade_date") -> DataFrame:
+    """The eleven measures of a back-test: performance(), win rate and profit factor of the sales' realised results, turnover (traded amount over the
+    mean of a positive equity; 0 without a trade) and the growth rate beyond the benchmark's.
+
+    trades: keys, side, amount, pnl; benchmark: day and value for every key alike.
+    """
+    out = performance(equity, keys, value, day)
+    mean = equity.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    if trades is None:
+        out = out.withColumns({"win_rate": F.lit(None).cast("double"), "profit_factor": F.lit(None).cast("double"), "_traded": F.lit(0.0)})
+    else:
+        sold = closed_trades(trades.where("side = 'SELL' and pnl is not null"), keys).drop("trades")
+        out = out.join(sold, keys, "left").join(trades.groupBy(*keys).agg(F.sum("amount").alias("_traded")), keys, "left")
+    out = out.join(mean, keys).withColumn("turnover", F.when(F.col("_mean") > 0, F.coalesce("_traded", F.lit(0.0)) / F.col("_mean")))
+    if benchmark is None:
+        return out.withColumn("excess_return", F.lit(None).cast("double")).drop("_mean", "_traded")
+    whole = performance(benchmark.select(F.lit(0).alias("_k"), day, value), ["_k"], value, day).select(F.col("cagr").alias("_b"))
+    return out.crossJoin(F.broadcast(whole)).withColumn("excess_return", F.col("cagr") - F.col("_b")).drop("_mean", "_traded", "_b")  # one row

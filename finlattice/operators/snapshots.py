@@ -32,3 +32,9 @@ def rerun(spark: SparkSession, path: str, name: str, frame: DataFrame) -> DataFr
     """What a rerun over today's frame would change; empty if nothing."""
     head, before = load(spark, path, name)
     return difference(before, screener.summary(frame, head["spec"]), ["ts_code"], COLUMNS)
+
+
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """name, as_of, spec, rows of every snapshot under a path, the latest day first; snapshots of empty results have none."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("name"), "head")
+    return rows.groupBy("name").agg(F.max(F.get_json_object("head", "$.as_of")).alias("as_of"), F.max(F.get_json_object("head", "$.spec")).alias("spec"), F.count(F.lit(1)).alias("rows")).orderBy(F.desc("as_of"), "name")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import numeric as N
-from ..operators import attribution, factors, portfolio, preprocess, screener
+from ..operators import attribution, factors, portfolio, preprocess, risk, screener
 from ..operators import point_in_time as pit
 from ..operators import statements as S
 from ..sources import views as V
@@ -207,3 +207,18 @@ def back_filled_returns(spark, d):
     s = V.sector_index(spark, d)
     out = attribution.back_filled_returns(s.where("sector <> 'ASIA'"), s.withColumn("close", F.col("close") * 2), "sector", "1997-01-01", "1998-12-31", "close", "month")
     return out.withColumn("ret", _r("ret"))
+
+
+@query("""WITH e AS (SELECT fund, month, nav, nav / lag(nav) OVER w - 1 AS r FROM fund_nav WINDOW w AS (PARTITION BY fund ORDER BY month)), c AS (SELECT fund, pow(max_by(nav, month) / min_by(nav, month), 252.0::DOUBLE / count(r)) - 1 AS cagr, avg(nav) AS m FROM e GROUP BY 1),
+  b AS (SELECT month, sum(nav) / 100 AS nav FROM fund_nav GROUP BY 1), g AS (SELECT pow(max_by(nav, month) / min_by(nav, month), 252.0::DOUBLE / (count(*) - 1)) - 1 AS cagr FROM b),
+  t AS (SELECT c_mktsegment AS fund, CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice / 1e6 AS amount, (o_totalprice - 150000) / 1e6 AS pnl FROM orders JOIN customer ON c_custkey = o_custkey),
+  s AS (SELECT fund, sum(amount) AS traded, (count_if(side = 'SELL' AND pnl > 0) / nullif(count_if(side = 'SELL'), 0)::DOUBLE) AS win_rate, sum(pnl) FILTER (WHERE side = 'SELL' AND pnl > 0) / nullif(abs(sum(pnl) FILTER (WHERE side = 'SELL' AND pnl < 0)), 0) AS profit_factor FROM t GROUP BY 1)
+  SELECT c.fund, round(c.cagr, 6) AS cagr, round(win_rate, 6) AS win_rate, round(profit_factor, 6) AS profit_factor, round(traded / m, 6) AS turnover, round(c.cagr - g.cagr, 6) AS excess_return FROM c JOIN s USING (fund), g""")
+def backtest_metrics(spark, d):
+    """Measures of funds as equity curves, with their trades and a benchmark."""
+    nav = V.fund_nav(spark, d)
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("fund"))
+    trades = V.table(spark, d, "orders").join(c, "o_custkey").select("fund", F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("side"), (F.col("o_totalprice") / 1e6).alias("amount"), ((F.col("o_totalprice") - 150000) / 1e6).alias("pnl"))
+    bench = nav.groupBy("month").agg((F.sum("nav") / 100).alias("nav"))
+    out = risk.all_metrics(nav, ["fund"], trades, bench, "nav", "month")
+    return out.select("fund", *(_r(n).alias(n) for n in ("cagr", "win_rate", "profit_factor", "turnover", "excess_return")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from finlattice.functions import numeric as N
 from finlattice.functions import text as X
-from finlattice.operators import backtest, compare, factors, lookups, percentiles, portfolio, preprocess, risk, screener, search, series, style, tables
+from finlattice.operators import backtest, compare, factors, lookups, percentiles, portfolio, preprocess, risk, screener, search, series, snapshots, style, tables
 from finlattice.operators import point_in_time as pit
 from finlattice.sources import normalize
 
@@ -352,3 +352,26 @@ def test_normalised_tables(spark):
     assert (row.net_inflow, row.net_inflow_rate, row.inflow, row.retail_net_inflow) == (5.0, None, None, None)
     profile = normalize.company_profile(spark.createDataFrame([("1", "--", "1999-07-27")], "ts_code string, i string, l string"), {"ts_code": "ts_code", "industry": "i", "list_date": "l", "index_membership": "m"}).first()
     assert (profile.industry, profile.list_date) == ("", date(1999, 7, 27))
+
+
+def test_backtest_honours_given_flags(spark):
+    flagged = prices(spark, [10, 11, 12]).withColumn("limit_up", F.col("trade_date") == F.lit(D(2024, 1, 3)))
+    out = backtest.run(flagged, signals(spark, (2, 1.0)), FREE)
+    assert sum(col(out, "refused")) == 1 and sum(col(out, "filled")) == 0
+    rows = spark.createDataFrame([("a", 12.0, 10.0), ("b", 11.0, 10.0), ("b", 12.0, 10.0), ("c", 9.0, None)], "ts_code string, close double, pre_close double")
+    assert col(backtest.with_limits(rows, {"b": 0.2}), "at_limit_up") == [True, False, True, False]
+
+
+def test_all_metrics(spark):
+    equity = spark.createDataFrame([("s", D(2024, 1, k), v) for k, v in ((2, 100.0), (3, 110.0), (4, 104.5))], "k string, trade_date date, equity double")
+    trades = spark.createDataFrame([("s", side, a, p) for side, a, p in (("SELL", 500.0, 100.0), ("SELL", 300.0, -50.0), ("SELL", 300.0, 200.0), ("SELL", 200.0, -25.0), ("BUY", 200.0, None))], "k string, side string, amount double, pnl double")
+    m = risk.all_metrics(equity, ["k"], trades, equity).first()
+    assert (m.win_rate, m.profit_factor, m.excess_return) == (0.5, 4.0, 0.0) and m.turnover == pytest.approx(1500 / 104.83333333) and m.cagr == pytest.approx(1.045**126 - 1)
+    alone = risk.all_metrics(equity, ["k"]).first()
+    assert (alone.turnover, alone.win_rate, alone.excess_return) == (0.0, None, None)
+
+
+def test_saved_snapshots(spark, tmp_path):
+    frame = spark.createDataFrame([(1, 5.0), (2, None)], "ts_code int, x double")
+    names = [snapshots.create(frame, {"field": "x", "op": "gt", "value": v}, day, str(tmp_path)) for v, day in ((1, "2024-01-01"), (2, "2024-02-01"))]
+    assert [(r.name, r.as_of, r.rows) for r in snapshots.saved(spark, str(tmp_path)).collect()] == [(names[1], "2024-02-01", 2), (names[0], "2024-01-01", 2)]
