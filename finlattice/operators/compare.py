@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import percentiles
 
@@ -39,3 +40,25 @@ def compare_page(history: DataFrame, names: DataFrame, codes: list, indicators:
     out = asked.join(found, ["ts_code", "indicator"], "left").join(names.select("ts_code", "name"), "ts_code", "left")
     pct = F.when(F.col("n") >= least_samples, F.col("pct"))
     return out.select("ts_code", "name", "indicator", "current", pct.alias("pct"), "median", "low", "high", "n", "level")
+
+
+def extremes(rows: DataFrame, value: str, key: str, k: int = 10) -> DataFrame:
+    """The k lowest and the k highest rows by value (ties by key) with side and place; the rank is the report's, so Spark keeps k rows a task."""
+    ends = []
+    for side, order in (("lowest", F.asc(value)), ("highest", F.desc(value))):
+        top = rows.where(F.col(value).isNotNull()).orderBy(order, key).limit(k)
+        ends.append(top.withColumn("side", F.lit(side)).withColumn("place", F.row_number().over(Window.partitionBy("side").orderBy(order, key))))
+    return ends[0].unionByName(ends[1])
+
+
+def ranked(rows: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+    """place of each row in its group by value (ties by key; none without a value) and the number of rows that have one."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(value), key)
+    out = rows.withColumn("_n", F.row_number().over(w)).withColumn("ranked", F.count(value).over(Window.partitionBy(*by)))
+    return out.withColumn("place", F.when(F.col(value).isNotNull(), F.col("_n"))).drop("_n")
+
+
+def watch(watched: DataFrame, values: DataFrame, key: str, value: str, threshold: str = "threshold") -> DataFrame:
+    """One row: watched keys, those below their threshold, those without a value, and the median value."""
+    rows = watched.join(values.select(key, value), key, "left")
+    return rows.agg(F.count(F.lit(1)).alias("watched"), F.count_if(F.col(value) < F.col(threshold)).alias("alerted"), F.count_if(F.col(value).isNull()).alias("missing"), F.median(value).alias(f"median_{value}"))

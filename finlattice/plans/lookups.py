@@ -234,3 +234,46 @@ def announcement_titles(spark, d):
     day = F.date_add(F.lit("1998-01-01").cast("date"), F.col("p_size").cast("int"))
     packed = F.to_json(F.struct("p_size"))
     return p.select(F.col("p_partkey").alias("id"), X.clean_title(raw).alias("title"), X.compact_date(day).alias("day"), F.from_json(packed, "p_size long")["p_size"].alias("size"))
+
+
+# market pages
+
+_PCT = "h AS (SELECT ts_code, trade_date, pe_ttm FROM valuations WHERE pe_ttm IS NOT NULL), cu AS (SELECT ts_code, max_by(pe_ttm, trade_date) AS current FROM h GROUP BY 1), pc AS (SELECT ts_code, any_value(current) AS current, CASE WHEN any_value(current) > 0 THEN count(*) FILTER (WHERE pe_ttm < current) * 100.0::DOUBLE / count(*) END AS pct FROM h JOIN cu USING (ts_code) WHERE pe_ttm > 0 GROUP BY 1)"
+
+
+@query(f"""WITH {_PCT}, n AS (SELECT pc.ts_code, coalesce(CASE WHEN pc.ts_code % 5 <> 0 THEN name END, pc.ts_code::VARCHAR) AS name, pct FROM pc LEFT JOIN securities USING (ts_code) WHERE pct IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (ORDER BY pct, ts_code) AS low, row_number() OVER (ORDER BY pct DESC, ts_code) AS high FROM n) SELECT 'lowest' AS side, low AS place, ts_code, name, round(pct, 6) AS pct FROM r WHERE low <= 10 UNION ALL SELECT 'highest', high, ts_code, name, round(pct, 6) FROM r WHERE high <= 10""")
+def extreme_percentiles(spark, d):
+    """The ten lowest and highest percentiles of the market; a code stands in for a missing name."""
+    names = V.securities(spark, d).select("ts_code", F.when(F.col("ts_code") % 5 != 0, F.col("name")).alias("name"))
+    found = percentiles.percentile(V.valuations(spark, d), ["ts_code"], "pe_ttm").where("pct is not null").join(names, "ts_code", "left")
+    return compare.extremes(found.withColumn("name", F.coalesce("name", F.col("ts_code").cast("string"))), "pct", "ts_code", 10).select("side", "place", "ts_code", "name", _r("pct").alias("pct"))
+
+
+@query(f"""WITH {_PCT}, r AS (SELECT pc.*, industry, row_number() OVER (PARTITION BY industry ORDER BY pct NULLS LAST, ts_code) AS place, count(pct) OVER (PARTITION BY industry) AS ranked FROM pc JOIN securities USING (ts_code))
+  SELECT ts_code, industry, CASE WHEN pct IS NOT NULL THEN place END AS place, ranked, round(pct, 6) AS pct FROM r""")
+def industry_ranks(spark, d):
+    """Each security's place by percentile in its industry, out of those that have one."""
+    rows = percentiles.percentile(V.valuations(spark, d), ["ts_code"], "pe_ttm").join(V.securities(spark, d).select("ts_code", "industry"), "ts_code")
+    return compare.ranked(rows, ["industry"], "pct", "ts_code").select("ts_code", "industry", "place", "ranked", _r("pct").alias("pct"))
+
+
+@query(f"""WITH {_PCT}, m AS (SELECT ts_code, median(pe_ttm) AS med FROM h WHERE pe_ttm > 0 GROUP BY 1) SELECT industry, count(*) AS securities, count(pct) AS priced, round(median(med), 6) AS median_of_medians, round(sum(CASE WHEN current > 0 THEN current END), 4) AS total
+  FROM securities LEFT JOIN pc USING (ts_code) LEFT JOIN m USING (ts_code) GROUP BY 1""")
+def industry_summary(spark, d):
+    """Per industry: securities, those with a percentile, the median of their medians and the sum of their current values."""
+    p = percentiles.percentile(V.valuations(spark, d), ["ts_code"], "pe_ttm")
+    rows = V.securities(spark, d).select("ts_code", "industry").join(p, "ts_code", "left")
+    return rows.groupBy("industry").agg(
+        F.count(F.lit(1)).alias("securities"), F.count("pct").alias("priced"), _r(F.median("median")).alias("median_of_medians"), _r(F.sum(F.when(F.col("current") > 0, F.col("current"))), 4).alias("total")
+    )
+
+
+@query(f"""WITH {_PCT}, w AS (SELECT t.ts_code, t.threshold, pct FROM (SELECT p_partkey AS ts_code, (p_size + 10)::DOUBLE AS threshold FROM part WHERE p_size <= 25 UNION ALL SELECT 999999999, 50.0) t LEFT JOIN pc USING (ts_code))
+  SELECT count(*) AS watched, count_if(pct < threshold) AS alerted, count_if(pct IS NULL) AS missing, round(median(pct), 6) AS median_pct FROM w""")
+def watch_list(spark, d):
+    """How many watched securities are below their own threshold or without a percentile, and the median."""
+    watched = V.table(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("ts_code"), (F.col("p_size") + 10).cast("double").alias("threshold"))
+    watched = watched.unionAll(spark.createDataFrame([(999999999, 50.0)], "ts_code long, threshold double"))
+    out = compare.watch(watched, percentiles.percentile(V.valuations(spark, d), ["ts_code"], "pe_ttm").select("ts_code", "pct"), "ts_code", "pct")
+    return out.withColumn("median_pct", _r("median_pct"))
