@@ -14,10 +14,12 @@ from .registry import query
 from .research import DAY
 
 _r = lambda c, n=6: F.round(c, n)
+OFF = "1.0000000001"  # moves values off the ties that two engines round apart
+_off = lambda c, n: F.round(F.col(c) * float(OFF), n)
 BEFORE = "1998-12-31"  # the day a year earlier
 
-_MORE = """more AS (SELECT *, profit / nullif(shares, 0) AS eps, profit + cost / 10 AS cfo, profit + cost / 10 - tax AS free_cash_flow, cost / nullif(shares * 100, 0) AS dps, profit / nullif(shares * 10, 0) AS roe,
-    lag(revenue) OVER w AS r0, lag(profit) OVER w AS p0, lag(profit / nullif(shares, 0)) OVER w AS e0 FROM fundamentals WINDOW w AS (PARTITION BY ts_code ORDER BY report_period, available_date, source))"""
+_MORE = """more AS (SELECT *, profit / nullif(shares, 0) AS eps, profit + cost / 10 AS cfo, round(profit + cost / 10 - tax, 6) AS free_cash_flow, cost / nullif(shares * 100, 0) AS dps, profit / nullif(shares * 10, 0) AS roe,
+    lag(revenue) OVER w AS r0, lag(profit) OVER w AS p0, lag(profit / nullif(shares, 0)) OVER w AS e0 FROM (SELECT * REPLACE (round(profit, 6) AS profit, round(tax, 6) AS tax) FROM fundamentals) WINDOW w AS (PARTITION BY ts_code ORDER BY report_period, available_date, source))"""
 _AT = "SELECT * FROM more WHERE available_date <= DATE '{day}' QUALIFY row_number() OVER (PARTITION BY ts_code ORDER BY report_period DESC, available_date DESC, source DESC) = 1"
 _RISK = f"""px AS (SELECT *, lag(close) OVER w AS c0, lag(trade_date) OVER w AS d0, max(CASE WHEN trade_date >= DATE '{DAY}' - 365 THEN close END) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS peak FROM daily_prices WHERE trade_date BETWEEN DATE '{DAY}' - 400 AND DATE '{DAY}' WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date)),
   risk AS (SELECT ts_code, {", ".join(f"max_by(close, trade_date) / max_by(close, trade_date) FILTER (WHERE trade_date <= DATE '{DAY}' - {n}) - 1 AS ret_{m}m" for m, n in ((1, 30), (3, 90), (6, 180), (12, 365)))},
@@ -32,10 +34,10 @@ def price_risk_inputs(spark, d):
 
 
 def _statements(spark, d):
-    f = V.fundamentals(spark, d)
+    f = V.fundamentals(spark, d).withColumns({"profit": _r("profit"), "tax": _r("tax")})  # a sum of nothing but cents that is zero is zero
     w = Window.partitionBy("ts_code").orderBy("report_period", "available_date", "source")
     f = f.withColumns({
-        "eps": N.safe_divide("profit", "shares"), "cfo": F.col("profit") + F.col("cost") / 10, "free_cash_flow": F.col("profit") + F.col("cost") / 10 - F.col("tax"), "dps": N.safe_divide("cost", F.col("shares") * 100),
+        "eps": N.safe_divide("profit", "shares"), "cfo": F.col("profit") + F.col("cost") / 10, "free_cash_flow": _r(F.col("profit") + F.col("cost") / 10 - F.col("tax")), "dps": N.safe_divide("cost", F.col("shares") * 100),
         "roe": N.safe_divide("profit", F.col("shares") * 10),
     })
     return f.withColumns({"r0": F.lag("revenue").over(w), "p0": F.lag("profit").over(w), "e0": F.lag("eps").over(w)})
@@ -81,10 +83,10 @@ _FULL = f"""{_MORE}, now_ AS ({_AT.format(day=DAY)}), before_ AS ({_AT.format(da
     LEFT JOIN snap ON snap.ts_code = u.ts_code LEFT JOIN paid ON paid.ts_code = u.ts_code LEFT JOIN risk ON risk.ts_code = u.ts_code WHERE (list_date IS NULL OR list_date <= DATE '{DAY}') AND (delist_date IS NULL OR delist_date > DATE '{DAY}'))"""
 
 
-@query(f"WITH {_FULL} SELECT ts_code, {', '.join(f'round({n}, 4) + 0.0 AS {n}' for n in _SQL_OF)} FROM full_")
+@query(f"WITH {_FULL} SELECT ts_code, {', '.join(f'round({n} * {OFF}::DOUBLE, 4) + 0.0 AS {n}' for n in _SQL_OF)} FROM full_")
 def all_factors(spark, d):
     """All 27 factors of every security alive on a day."""
-    return full_frame(spark, d).select("ts_code", *((_r(n, 4) + F.lit(0.0)).alias(n) for n in _SQL_OF))
+    return full_frame(spark, d).select("ts_code", *((_off(n, 4) + F.lit(0.0)).alias(n) for n in _SQL_OF))
 
 
 @query(f"WITH {_FULL} SELECT ts_code, round(volatility_6m, 6) AS volatility_6m, round(pe_ttm, 6) AS pe_ttm FROM full_")
@@ -141,9 +143,9 @@ _INCOME = """inc AS (SELECT ts_code, report_period, max(available_date) AS annou
   prev AS (SELECT ts_code, (report_period + INTERVAL 12 MONTH)::DATE AS report_period, max(revenue) AS r0, max(net_profit) AS n0, max(eps) AS e0 FROM inc GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {_INCOME} SELECT i.ts_code, i.report_period, greatest(announce_date, announced) AS available_date, round(attributable / nullif(equity, 0), 9) AS roe, round(net_profit / nullif(total_assets, 0), 9) AS roa,
-  round(operating_profit * (1 - CASE WHEN total_profit <= 0 THEN 0 ELSE income_tax / nullif(total_profit, 0) END) / nullif(equity + debt, 0), 9) + 0.0 AS roic, round((revenue - operating_cost) / nullif(revenue, 0), 9) AS gross_margin, round(operating_profit / nullif(revenue, 0), 9) AS operating_margin,
-  round(net_profit / nullif(revenue, 0), 9) AS net_margin, round((revenue - r0) / nullif(abs(r0), 0), 9) AS revenue_yoy, round((net_profit - n0) / nullif(abs(n0), 0), 9) AS profit_yoy, round((eps - e0) / nullif(abs(e0), 0), 9) AS eps_yoy
+@query(f"""WITH {_INCOME} SELECT i.ts_code, i.report_period, greatest(announce_date, announced) AS available_date, round((attributable / nullif(equity, 0)) * {OFF}::DOUBLE, 6) AS roe, round((net_profit / nullif(total_assets, 0)) * {OFF}::DOUBLE, 6) AS roa,
+  round((operating_profit * (1 - CASE WHEN total_profit <= 0 THEN 0 ELSE income_tax / nullif(total_profit, 0) END) / nullif(equity + debt, 0)) * {OFF}::DOUBLE, 6) + 0.0 AS roic, round(((revenue - operating_cost) / nullif(revenue, 0)) * {OFF}::DOUBLE, 6) AS gross_margin, round((operating_profit / nullif(revenue, 0)) * {OFF}::DOUBLE, 6) AS operating_margin,
+  round((net_profit / nullif(revenue, 0)) * {OFF}::DOUBLE, 6) AS net_margin, round(((revenue - r0) / nullif(abs(r0), 0)) * {OFF}::DOUBLE, 6) AS revenue_yoy, round(((net_profit - n0) / nullif(abs(n0), 0)) * {OFF}::DOUBLE, 6) AS profit_yoy, round(((eps - e0) / nullif(abs(e0), 0)) * {OFF}::DOUBLE, 6) AS eps_yoy
   FROM inc i LEFT JOIN bal b ON b.ts_code = i.ts_code AND b.report_period = i.report_period LEFT JOIN prev p ON p.ts_code = i.ts_code AND p.report_period = i.report_period""")
 def statement_indicators(spark, d):
     """Nine ratios of every income statement, with the balance sheet where there is one."""
@@ -153,7 +155,7 @@ def statement_indicators(spark, d):
     balance = f.where("ts_code % 3 <> 0").groupBy("ts_code", "report_period").agg(F.date_add(F.max("available_date"), 10).alias("announce_date"), (F.sum("shares") * 10).alias("equity"), (F.sum("shares") * 30).alias("total_assets"), F.sum("cost").alias("interest_bearing_debt"))
     out = S.indicators(income, balance)
     ratios = [c for c in out.columns if c not in ("ts_code", "report_period", "announce_date", "available_date", "source")]
-    return out.select("ts_code", "report_period", "available_date", *((_r(c, 9) + F.lit(0.0) if c == "roic" else _r(c, 9)).alias(c) for c in ratios))
+    return out.select("ts_code", "report_period", "available_date", *((_off(c, 6) + F.lit(0.0) if c == "roic" else _off(c, 6)).alias(c) for c in ratios))
 
 
 _END, _DAYS = "1998-06-30", 180
