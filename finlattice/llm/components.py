@@ -1,8 +1,8 @@
 """Connected components of an edge table, by repeated contraction to stars with no graph on the driver.
 
-Each task first replaces its edges by a spanning forest's stars (union-find over one Arrow stream), so
-the shuffled edges are at most the nodes seen by each task; then large-star and small-star steps
-alternate, each written to the shared folder, until nothing changes.
+Each task replaces its edges by a spanning forest's stars (over one Arrow stream, a million edges at a time), so
+the edges left are at most the nodes seen by each task; tasks are as many as there are millions of edges.  Large-star and small-star
+steps alternate with that, each written to the shared folder, until nothing changes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ._tables import drop, keep
 _TOGETHER = 1 << 20  # edges that a task contracts at once
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for every node but the roots."""
     names, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
     label = np.arange(len(names))
@@ -42,7 +42,7 @@ def _contract(batches):
     size = 0
 
     def out():
-        node, root = _roots(np.concatenate(a), np.concatenate(b))
+        node, root = roots(np.concatenate(a), np.concatenate(b))
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
 
     for batch in batches:
@@ -73,15 +73,24 @@ def _step(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node, component (the smallest node reachable) for every node that an edge names; other nodes are their own.
 
-    Nulls and loops are ignored; repeated edges change nothing; no edges give no rows.
+    Nulls and loops are ignored; repeated edges change nothing; no edges give no rows.  Each round gives a task as many edges
+    as it contracts at once, so rounds end soon, and with the first one where all edges are one such lot.
     """
     ordered = edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    now = keep(ordered.mapInArrow(_contract, "u long, v long").distinct(), "edges")
-    while not _is_stars(now):
+    now = keep(ordered.mapInArrow(_contract, "u long, v long"), "edges")
+    while True:
+        lots = -(-now.count() // _TOGETHER)
+        packed = now.coalesce(lots).mapInArrow(_contract, "u long, v long") if lots else now
+        if lots <= 1:
+            return packed.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        new = keep(packed.distinct(), "edges")
+        drop(now)
+        now = new
+        if _is_stars(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         new = keep(_step(now), "edges")
         drop(now)
         now = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _is_stars(edges: DataFrame) -> bool:

@@ -1,30 +1,31 @@
-"""N-gram Jaccard join as a T-occurrence search over an inverted index.
+"""N-gram Jaccard join as a T-occurrence search over an inverted index, by DivideSkip.
 
 A document's shingles are hashed and put in one order for all documents: those of rare words first,
-by the documents that hold each word.  A partner must share T of n shingles, so it shares one of the
-first n - T + 1: only those lists, the short ones, are merged, and every other (long) list is probed by
-binary search, which is DivideSkip with the T - 1 remaining lists as the long ones.
+by the documents that hold each word.  A partner shares at least T of a document's n shingles.  The L = T - H lists of its last
+shingles, the long ones, are set aside; the other n - L lists are merged, counting occurrences per candidate, and a
+candidate must occur in H of them (H grows with n, so long texts meet no candidate by chance).  The lists of both documents are cut in
+the same order, so the document whose short lists end first has counted all that it shares in them: only its long lists are
+then probed, each by binary search in the other's sorted shingles, and the candidate stays if both counts reach T for the two sizes.
 
 1. Documents of equal sets are one class; its smallest id stands for it.
-2. The lists of the first n - T + 1 shingles are merged: ids that share a list with a partner of
-   possible size stay.
-3. In each list, candidates are pairs whose parity sketches (a bit or two for each shingle) differ in
-   no more bits than the sets may differ in (a bound, so no link is lost).  A pair that also shares the list before is met
-   there.  A list longer than `tile` is cut into tiles of pairs of blocks.
-4. Each document's nearest earlier candidate in a list is probed exactly: the shingles of one are
-   looked up in the sorted array of the other.  Links found so far give components.
-5. All candidates that are in different components and not yet probed are probed the same way.
+2. Short lists are range-partitioned and sorted by shingle and size, so that a very common shingle is many
+   tasks; ids that share a list with a partner of possible size stay.
+3. In each list every document is paired with the likeliest of the few before it (by size and by sketch), and of these partners
+   it keeps the one of most lists.  These pairs are probed; the links found give components.
+4. Lists whose documents are all in one component have nothing more to tell.  The others are merged in full: pairs of different components
+   and possible size, whose sketches (parities of 512 places) differ in no more bits than the sets may differ in, are counted over all lists, and
+   those that occur often enough are probed.  A list longer than `tile` is cut into tiles of pairs of blocks.
 
 Every link between different components is found, so components are exact; links inside a component
 are not counted.  Defined results: a null or empty text, or one without a word, has no shingles and is
 a component of its own; a null id has a null component and links with nothing; repeated rows and equal
-texts share a component; an empty table gives an empty result; extra columns are ignored.
+texts share a component; a text however long sends rows in proportion to its length; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from ._rolling import Words, mix
 from ._tables import drop, keep, sorted_groups, text_batches, without
 from .components import components
 
-_BITS = 512  # of the shortest sketch
+_BITS = 512  # of a sketch
+_BEFORE = 4  # earlier documents of a list that one is compared with at first
 _MOST_BROADCAST = 1_000_000  # rows of (id, keys)
 _WORD_BITS = 16  # words are counted by so many bits of their hashes
 
@@ -51,42 +53,31 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles at 2**k places, at least as many as shingles: two sketches differ in at most as many bits as the sets in members."""
-    bits = max(_BITS, 1 << max(0, len(shingles) - 1).bit_length())
-    at = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-class _Sketches:
-    """Sketches by size; one twice as long is folded to the shorter one's places before they are compared."""
-
-    def __init__(self, raw: list[bytes]):
-        size = np.array([len(r) for r in raw])
-        self.kind = np.log2(size).astype(np.int64)
-        self.place = np.zeros(len(raw), np.int64)
-        self.own, self.folded = {}, {}
-        for k in np.unique(self.kind).tolist():
-            rows = np.flatnonzero(self.kind == k)
-            self.place[rows] = np.arange(len(rows))
-            self.own[k] = np.frombuffer(b"".join(raw[r] for r in rows.tolist()), np.uint64).reshape(len(rows), -1)
-            half = self.own[k].shape[1] // 2
-            self.folded[k - 1] = self.own[k][:, :half] ^ self.own[k][:, half:]
-
-    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Differing bits of rows i and j (j's sketch not shorter); 0, which rules nothing out, if the lengths are further apart."""
-        out = np.zeros(len(i), np.int64)
-        for k in np.unique(self.kind[i]).tolist():
-            for up, table in ((0, self.own), (1, self.folded)):
-                at = np.flatnonzero((self.kind[i] == k) & (self.kind[j] == k + up))
-                for part in np.array_split(at, 1 + len(at) * self.own[k].shape[1] // (1 << 21)):
-                    if len(part):
-                        x = self.own[k][self.place[i[part]]] ^ table[k][self.place[j[part]]]
-                        out[part] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-        return out
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    """Parities of the numbers of shingles at some places: two sketches differ in at most as many bits as the sets in members."""
+    at = (mix(shingles) & np.uint64(_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _BITS // 64)
+
+
+def _differ(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+
+
+def least_shared(n: int, percent: int) -> int:
+    """T: the shingles that a partner shares at least."""
+    return (percent * n + 99) // 100
+
+
+def hits(n: int, percent: int) -> int:
+    """H: the short lists that a partner occurs in at least."""
+    return min(least_shared(n, percent), 1 + n // 50)
+
+
+def n_short(n: int, percent: int) -> int:
+    return n - least_shared(n, percent) + hits(n, percent)
 
 
 def _word_places(words: Words) -> np.ndarray:
@@ -113,194 +104,242 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
-def first_shingles(words: Words, width: int, percent: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted set of shingle_set() and its first n - T + 1 members in the order of all documents."""
+def ordered_shingles(words: Words, width: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted set of shingle_set(), its members' numbers in the order of all documents, and the levels in that order."""
     if words.n < width:
         found = words.grams(words.n) if words.n else np.zeros(0, np.uint64)
-        return found, found
+        return found, np.arange(len(found)), np.zeros(len(found), np.int64)
     level = np.concatenate(([0], np.cumsum(levels[_word_places(words)], dtype=np.int64)))
     hashes, common = words.grams(width), level[width:] - level[:-width]
     order = np.argsort(hashes)
     hashes = hashes[order]
     new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    found = hashes[new]
-    rare_first = np.argsort(common[order[new]].astype(np.uint16), kind="stable")
-    return found, found[rare_first[: prefix_length(len(found), percent)]]
+    found, common = hashes[new], common[order[new]]
+    rare_first = np.argsort(common, kind="stable")
+    return found, rare_first, common[rare_first]
 
 
-def shingle_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest, prefix, sketch of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
-    levels = word_levels(docs)
+_TABLE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.list_(pa.int64())), ("end_level", pa.int64()), ("end_hash", pa.int64()), ("sketch", pa.binary())])
 
+
+def shingle_table(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
+    """doc_id, n, digest, short (shingles of the short lists), end_level and end_hash (place of the last one in the order), sketch of every document."""
     def run(batches):
         for batch, texts in text_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                s, first = first_shingles(Words((text or b"").lower()), width, percent, levels)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first.view(np.int64), sketch(s)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                s, order, level = ordered_shingles(Words((text or b"").lower()), width, levels.value)
+                k = n_short(len(s), percent)
+                end = (int(level[k - 1]), int(s[order[k - 1]]) - (1 << 63)) if k else (None, None)
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[order[:k]].view(np.int64), *end, sketch(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TABLE, strict=True)], schema=_TABLE)
 
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
-    return slim.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, sketch binary")
+    return slim.mapInArrow(run, "doc_id long, n long, digest binary, short array<long>, end_level long, end_hash long, sketch binary")
 
 
-def _shared_lists(percent: int) -> Callable:
-    """Of a stream sorted by token and n: the rows that share a list with a row of possible size, and the list's length."""
+def _shared_lists(percent: int):
+    """Of a stream sorted by token and n: the rows next to one of possible size in their list; a partition's ends stay, as lists may go on there."""
 
     def run(batches):
-        for table in sorted_groups(batches, "token"):
+        held, near_before = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             token, n = table.column("token").to_numpy(), table.column("n").to_numpy()
-            ok = np.zeros(len(token), bool)
             near = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])  # neighbours by size are the likeliest partners
-            ok[1:] |= near
+            ok = np.concatenate(([near_before], near))
             ok[:-1] |= near
-            _, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
-            part = table.append_column("length", pa.array(counts[inverse].astype(np.int64))).filter(pa.array(ok))
-            yield from part.select(["token", "doc_id", "n", "length"]).to_batches()
+            near_before = bool(ok[-1])
+            yield from table.slice(0, len(token) - 1).filter(pa.array(ok[:-1])).to_batches()
+            held = table.slice(len(token) - 1).to_batches()[0]
+        if held is not None:
+            yield held
+
+    return run
+
+
+_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("nu", pa.int64()), ("nv", pa.int64())])
+
+
+def _pair_batch(doc: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    first = doc[i] < doc[j]
+    u, v = np.where(first, i, j), np.where(first, j, i)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[u], doc[v], n[u], n[v])], schema=_PAIRS)
+
+
+def _nearest(percent: int):
+    """Of a stream sorted by token and n: each row with the one of least different sketch of the few before it."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
+            token, doc, n = (table.column(c).to_numpy() for c in ("token", "doc_id", "n"))
+            sketches = _sketches(table.column("sketch"))
+            best, partner = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
+            for step in range(1, _BEFORE + 1):
+                i = np.arange(len(doc) - step)
+                i = i[(token[i] == token[i + step]) & (100 * n[i] >= percent * n[i + step]) & (doc[i] != doc[i + step])]
+                j = i + step
+                differ = _differ(sketches, i, j)
+                better = (differ * (100 + percent) <= (100 - percent) * (n[i] + n[j])) & (differ < best[j])
+                best[j[better]], partner[j[better]] = differ[better], i[better]
+            j = np.flatnonzero(partner >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[partner[j]]), pa.array(doc[j])], names=["u", "v"])
+            held = table.slice(max(0, len(doc) - _BEFORE)).to_batches()
 
     return run
 
 
-def _candidates(percent: int, nearest: bool) -> Callable:
-    """Candidate pairs (u, v) of each list or tile; nearest: only each row's nearest earlier one, else all of different components."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _merged(percent: int):
+    """Of whole lists or tiles, sorted by n inside: every pair of different components that may be similar, once per list."""
 
     def run(batches):
         for table in sorted_groups(batches, "list"):
             group = np.unique(np.array(table.column("list").combine_chunks().cast(pa.large_binary()).to_pylist(), object), return_inverse=True)[1]
-            doc, n, prev, own = (table.column(c).to_numpy() for c in ("doc_id", "n", "prev", "own"))
-            component = table.column("component").to_numpy()
+            doc, n, own, component = (table.column(c).to_numpy() for c in ("doc_id", "n", "own", "component"))
             tiled = table.column("tiled").to_numpy(zero_copy_only=False)
-            sketches = _Sketches(table.column("sketch").to_pylist())
-            best = np.full(len(doc), np.iinfo(np.int64).max)
-            partner = np.full(len(doc), -1)
-            found = []
-            rows = np.arange(len(doc))
-            step = 0
+            sketches = _sketches(table.column("sketch"))
+            rows, step = np.arange(len(doc)), 0
             while True:
                 step += 1
                 rows = rows[rows + step < len(doc)]
-                other = rows + step
-                alive = (group[rows] == group[other]) & (100 * n[rows] >= percent * n[other])  # sorted by n inside a list
-                rows, other = rows[alive], other[alive]
+                rows = rows[(group[rows] == group[rows + step]) & (100 * n[rows] >= percent * n[rows + step])]
                 if not len(rows):
                     break
-                wanted = (prev[rows] != prev[other]) | (prev[rows] == 0)
-                wanted &= ~tiled[rows] | (own[rows] != own[other])
-                if not nearest:
-                    wanted &= component[rows] != component[other]
-                i, j = rows[wanted], other[wanted]
-                differ = sketches.differ(i, j)
-                possible = differ * (100 + percent) <= (100 - percent) * (n[i] + n[j])
-                i, j, differ = i[possible], j[possible], differ[possible]
-                if nearest:
-                    better = differ < best[j]
-                    best[j[better]], partner[j[better]] = differ[better], i[better]
-                else:
-                    found.append((doc[i], doc[j]))
-            if nearest:
-                j = np.flatnonzero(partner >= 0)
-                found = [(doc[partner[j]], doc[j])]
-            u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-            pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+                i = rows[(component[rows] != component[rows + step]) & (~tiled[rows] | (own[rows] != own[rows + step]))]
+                i = i[_differ(sketches, i, i + step) * (100 + percent) <= (100 - percent) * (n[i] + n[i + step])]
+                if len(i):
+                    yield _pair_batch(doc, n, i, i + step)
 
     return run
 
 
-def _lists_of(shared: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, n, sketch, lists of every document that is in a shared list: the sketch is kept once, not in every list."""
-    per_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "length"))).alias("lists"))
-    return per_doc.hint("merge").join(table.select("doc_id", "n", "sketch"), "doc_id").select("doc_id", "n", "sketch", "lists")
+def _list_rows(lists_of: DataFrame) -> DataFrame:
+    return lists_of.select("*", F.explode("lists").alias("token")).drop("lists")
 
 
-def _list_rows(lists_of: DataFrame, tile: int) -> DataFrame:
-    """A row per document and list (or tile of a long list): list, doc_id, n, prev, own, tiled, sketch, component."""
-    rows = lists_of.select("doc_id", "n", "sketch", "component", "lists", F.posexplode("lists").alias("at", "one"))
-    rows = rows.select(
-        "doc_id", "n", "sketch", "component", F.col("one.token").alias("token"), F.ceil(F.col("one.length") / tile).cast("int").alias("blocks"),
-        F.when(F.col("at") > 0, F.get("lists", F.col("at") - 1)["token"]).otherwise(0).alias("prev"),
-    )
+def _candidates(lists_of: DataFrame, percent: int, tile: int) -> DataFrame:
+    """u, v, shared: pairs of different components that occur together in enough short lists."""
+    rows = _list_rows(lists_of)
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    several = keep(several.select("token", F.ceil(F.col("length") / tile).cast("int").alias("blocks")), "several")
+    rows = rows.join(several.hint("merge"), "token")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile_name = F.concat(F.least("own", "other"), F.lit("/"), F.greatest("own", "other"))
-    name = F.concat_ws("/", F.col("token").cast("string"), F.when(F.col("blocks") > 1, tile_name))
-    return rows.select(name.cast("binary").alias("list"), "doc_id", "n", "prev", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch", "component")
+    name = F.concat_ws("/", F.col("token").cast("string"), F.when(F.col("blocks") > 1, tile_name)).cast("binary")
+    rows = rows.select(name.alias("list"), "doc_id", "n", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch", "component")
+    pairs = rows.repartition("list").sortWithinPartitions("list", "n", "doc_id").mapInArrow(_merged(percent), "u long, v long, nu long, nv long")
+    need = lambda n: F.least(F.floor((percent * F.col(n) + 99) / 100), 1 + F.floor(F.col(n) / 50))  # noqa: E731  hits()
+    counts = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
+    return counts.where(F.col("shared") >= F.least(need("nu"), need("nv"))).select("u", "v", "shared")
+
+
+_SENT = pa.schema([("u", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("self", pa.bool_()), ("shared", pa.int64()), ("shingles", pa.binary()), ("long", pa.binary()), ("end_level", pa.int64()), ("end_hash", pa.int64())])
 
 
-def probe(docs: DataFrame, pairs: DataFrame, width: int, percent: int, fan_in: int = 512) -> DataFrame:
-    """The pairs (u, v) whose sets are similar: v's shingles are probed by binary search in u's sorted array.
+def _compare(percent: int):
+    """Of a stream sorted by u and part, u's own row first: the pairs whose counts reach T."""
 
-    u's array is sent to as many tasks as its number of partners asks for.
+    def run(batches):
+        now, own = None, None
+        for batch in batches:
+            u, v = [], []
+            for key_u, part, doc_id, is_self, shared, raw, bits, level, end in zip(*(batch.column(c.name).to_pylist() for c in _SENT), strict=True):
+                shingles = np.frombuffer(raw, np.uint64)
+                row = (shingles, bits, (level, end))
+                if is_self:
+                    if now != (key_u, part):
+                        now, own = (key_u, part), row
+                    continue
+                query, other = (own, row) if own[2] <= row[2] else (row, own)
+                if shared is None:  # pairs from neighbours: short lists are probed as well
+                    shared, probes = 0, query[0]
+                else:
+                    probes = query[0][np.unpackbits(np.frombuffer(query[1], np.uint8), count=len(query[0])).astype(bool)]
+                at = np.minimum(np.searchsorted(other[0], probes), len(other[0]) - 1)
+                both = shared + int((other[0][at] == probes).sum())
+                if 100 * both >= percent * (len(query[0]) + len(other[0]) - both):
+                    u.append(key_u)
+                    v.append(doc_id)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def probe(docs: DataFrame, pairs: DataFrame, width: int, percent: int, levels, fan_in: int = 512) -> DataFrame:
+    """The pairs (u, v; shared: occurrences in short lists, null if not counted) whose sets are similar.
+
+    u's shingles are sent to as many tasks as its number of partners asks for.
     """
     heavy = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / fan_in).cast("int").alias("parts"))
-    one = pairs.join(heavy, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
-    keys = one.select(F.col("v").alias("doc_id"), F.struct("u", "part").alias("key")).unionAll(
-        heavy.select(F.col("u").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "u").select("doc_id", F.struct("u", "part").alias("key"))
+    one = pairs.join(heavy, "u").select("u", "v", "shared", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    none = F.lit(None).cast("long").alias("shared")
+    keys = one.select(F.col("v").alias("doc_id"), F.struct("u", "part", "shared").alias("key")).unionAll(
+        heavy.select(F.col("u").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "u").select("doc_id", F.struct("u", "part", none).alias("key"))
     )
     send = keep(keys.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "probes")
     if send.select(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0] <= _MOST_BROADCAST:
         send = F.broadcast(send)  # else by shuffle
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(send, "doc_id")
-    sent = pa.schema([("u", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("self", pa.bool_()), ("shingles", pa.binary())])
 
     def sets(batches):
         for batch, texts in text_batches(batches):
-            rows = []
+            rows, size = [], 0
             for doc_id, keys_of, text in zip(batch.column("doc_id").to_pylist(), batch.column("keys").to_pylist(), texts, strict=True):
-                raw = shingle_set(text, width).tobytes()
-                rows += [(k["u"], k["part"], doc_id, k["u"] == doc_id, raw) for k in keys_of]
-            for k in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 512], strict=True), sent, strict=True)], schema=sent)
-
-    def compare(batches):
-        now, own = None, None
-        for batch in batches:
-            u, v = [], []
-            for key_u, part, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("u", "part", "doc_id", "shingles")), strict=True):
-                other = np.frombuffer(raw, np.uint64)
-                if now != (key_u, part):
-                    now, own = (key_u, part), other
+                s, order, level = ordered_shingles(Words((text or b"").lower()), width, levels.value)
+                k = n_short(len(s), percent)
+                if not k:
                     continue
-                small, large = (own, other) if len(own) < len(other) else (other, own)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (len(small) + len(large) - both) and doc_id != key_u:
-                    u.append(key_u)
-                    v.append(doc_id)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    arrays = slim.mapInArrow(sets, "u long, part int, doc_id long, self boolean, shingles binary")
-    return arrays.repartition("u", "part").sortWithinPartitions("u", "part", F.desc("self"), "doc_id").mapInArrow(compare, "u long, v long")
+                is_long = np.zeros(len(s), np.uint8)
+                is_long[order[k:]] = 1
+                sent = (s.tobytes(), np.packbits(is_long).tobytes(), int(level[k - 1]), int(s[order[k - 1]]) - (1 << 63))
+                for key in keys_of:
+                    rows.append((key["u"], key["part"], doc_id, key["u"] == doc_id, key["shared"], *sent))
+                    size += len(sent[0])
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+
+    arrays = slim.mapInArrow(sets, "u long, part int, doc_id long, self boolean, shared long, shingles binary, long binary, end_level long, end_hash long")
+    return arrays.repartition("u", "part").sortWithinPartitions("u", "part", F.desc("self"), "doc_id").mapInArrow(_compare(percent), "u long, v long")
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    table = keep(shingle_table(docs, width, percent), "shingles")
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
+    table = keep(shingle_table(docs, width, percent, levels), "shingles")
     able = table.where("doc_id is not null and n > 0")
     classes = keep(able.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d"), F.col("n").alias("m"))
-    reps = able.join(chosen.hint("merge"), "doc_id").where("digest = d and n = m")
-    reps = reps.dropDuplicates(["doc_id", "digest"])
-
-    tokens = reps.select("doc_id", "n", F.explode("prefix").alias("token"))
-    shared = tokens.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_shared_lists(percent), "token long, doc_id long, n long, length long")
-    lists_of = keep(_lists_of(shared, reps), "lists")
-
-    def candidates(of: DataFrame, nearest: bool) -> DataFrame:
-        by_list = _list_rows(of, tile).repartition("list").sortWithinPartitions("list", "n", "doc_id")
-        return by_list.mapInArrow(_candidates(percent, nearest), "u long, v long").distinct()
-
-    pairs = keep(candidates(lists_of.withColumn("component", F.col("doc_id")), True), "pairs")
-    links = keep(probe(docs, pairs, width, percent), "links")
-    found = components(links)
+    reps = able.join(chosen.hint("merge"), "doc_id").where("digest = d and n = m").dropDuplicates(["doc_id", "digest"])
+
+    tokens = keep(reps.select(F.explode("short").alias("token"), "doc_id", "n"), "tokens")
+    by_list = tokens.repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id")
+    shared = by_list.mapInArrow(_shared_lists(percent), "token long, doc_id long, n long")
+    per_doc = shared.groupBy("doc_id").agg(F.collect_set("token").alias("lists"))
+    lists_of = keep(per_doc.hint("merge").join(reps.select("doc_id", "n", "sketch"), "doc_id").select("doc_id", "n", "sketch", "lists"), "lists")
+
+    near = _list_rows(lists_of).repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id")
+    pairs = near.mapInArrow(_nearest(percent), "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
+    pairs = pairs.groupBy("v").agg(F.max(F.struct("lists", "u"))["u"].alias("u"))  # one partner each: the one of most lists
+    pairs = keep(pairs.select("u", "v", F.lit(None).cast("long").alias("shared")), "pairs")
+    links = keep(probe(docs, pairs, width, percent, levels), "links")
+    found = keep(components(links), "components")
     placed = lists_of.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = keep(candidates(placed, False).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    done = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = keep(_candidates(placed, percent, tile).join(done, ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = keep(probe(docs, rest, width, percent), "links")
+        more = keep(probe(docs, rest, width, percent, levels), "links")
         found = components(links.unionAll(more))
     found = keep(found, "components")
-    drop(lists_of, pairs, rest, links)
+    drop(tokens, lists_of, pairs, rest, links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = table.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
