@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where it is unset (tests)."""
+    """spark.checkpoint.dir as the session has it; where it is unset, a temporary folder in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='finlattice-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -83,6 +86,14 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_bucket(column: str, n: int):
     """A spread-out bucket number from an id."""
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
