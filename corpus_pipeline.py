@@ -13,17 +13,19 @@ from finlattice.llm._tables import bounded, keep
 from finlattice.llm.jaccard import keep_one
 from finlattice.llm.language import keep_identified
 from finlattice.llm.packing import pack, pieces
-from finlattice.llm.quality import keep_good
+from finlattice.llm.quality import QualityRules, keep_good
 from finlattice.llm.repeats import without_repeats
 
 #: Near copies here are five-word shingles at a similarity of 0.8.
 WIDTH, PERCENT = 5, 80
+#: Symbols per 100 words of a text that is kept.
+MOST_SYMBOLS = 30
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; beside repetition, texts of symbols go."""
     bounded(spark)
-    return keep_good(docs)
+    return keep_good(docs, QualityRules(most_symbols=MOST_SYMBOLS))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,14 @@ def _grams(n: int) -> str:
   s{n} AS (SELECT doc_id, count_if(inside) AS words{n}, coalesce(sum(chars) FILTER (WHERE inside), 0) AS chars{n} FROM c{n} GROUP BY doc_id)"""
 
 
+def _top(n: int) -> str:
+    """t{n}: the most characters that all occurrences of one repeated n-gram have together."""
+    return f"""
+  t{n} AS (SELECT doc_id, max(k) AS top{n} FROM (SELECT doc_id, count(*) * any_value(length(g) - {n - 1}) AS k FROM g{n} GROUP BY doc_id, g HAVING count(*) > 1) GROUP BY doc_id)"""
+
+
+_LENGTHS, _TOPS = (5, 6, 7, 8, 9, 10), (2, 3, 4)
+_LIST = ", ".join
 OP1 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="text")} AS ws FROM documents),
   n AS (SELECT doc_id, t, ws, len(ws) AS n_words, length(list_aggregate(list_concat(ws, ['']), 'string_agg', '')) AS word_chars,
@@ -21,18 +29,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="text")}
   pos AS (SELECT doc_id, ws, n_words, unnest(range(1, n_words + 1)) AS p, unnest(ws) AS w FROM n),
   l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
   r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-  lines AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS dup_line_chars FROM r WHERE k > 1 GROUP BY doc_id),
-  {_grams(3)}, {_grams(5)}, {_grams(7)}, {_grams(10)},
-  a AS (SELECT n.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words3, 0) AS n_repeat_words,
-        coalesce(dup_line_chars, 0) AS dup_line_chars, [coalesce(chars5, 0), coalesce(chars7, 0), coalesce(chars10, 0)] AS cs
-        FROM n LEFT JOIN lines USING (doc_id) LEFT JOIN s3 USING (doc_id) LEFT JOIN s5 USING (doc_id) LEFT JOIN s7 USING (doc_id) LEFT JOIN s10 USING (doc_id)),
+  lines AS (SELECT doc_id, count(*) AS n_lines, count_if(k > 1) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) FILTER (WHERE k > 1), 0) AS dup_line_chars
+    FROM r GROUP BY doc_id),
+  g2 AS (SELECT doc_id, p, w, list_aggregate(list_slice(ws, p, p + 1), 'string_agg', ' ') g FROM pos WHERE p + 1 <= n_words),
+  {_LIST(_grams(n) for n in (3, 4, *_LENGTHS))},{_LIST(_top(n) for n in _TOPS)},
+  a AS (SELECT n.doc_id, n_words, word_chars, n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words3, 0) AS n_repeat_words,
+        coalesce(dup_line_chars, 0) AS dup_line_chars, [{_LIST(f"coalesce(chars{n}, 0)" for n in _LENGTHS)}] AS cs, [{_LIST(f"coalesce(top{n}, 0)" for n in _TOPS)}] AS ts
+        FROM n LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN s{n} USING (doc_id)" for n in (3, *_LENGTHS))} {" ".join(f"LEFT JOIN t{n} USING (doc_id)" for n in _TOPS)}),
   v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        concat_ws(',', CASE WHEN 100 * cs[1] > 48 * word_chars THEN 'gram5' END, CASE WHEN 100 * cs[2] > 46 * word_chars THEN 'gram7' END,
-        CASE WHEN 100 * cs[3] > 45 * word_chars THEN 'gram10' END, CASE WHEN 100 * dup_line_chars > 40 * word_chars THEN 'lines' END,
-        CASE WHEN 100 * n_symbols > 30 * n_words THEN 'symbols' END) AS failed_rules FROM a)
+        concat_ws(',', {_LIST(f"CASE WHEN 100 * cs[{k}] > {most} * word_chars THEN 'gram{n}' END" for k, (n, most) in enumerate(zip(_LENGTHS, (30, 28, 26, 24, 22, 20)), 1))},
+        {_LIST(f"CASE WHEN 100 * ts[{k}] > {most} * word_chars THEN 'top{n}' END" for k, (n, most) in enumerate(zip(_TOPS, (20, 18, 16)), 1))},
+        CASE WHEN 100 * dup_line_chars > 20 * word_chars THEN 'line_chars' END, CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 'lines' END) AS failed_rules FROM a)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, dup_line_chars::BIGINT AS dup_line_chars,
-  list_transform(cs, lambda x: x::BIGINT) AS dup_gram_chars, failed_rules FROM v
+  list_transform(cs, lambda x: x::BIGINT) AS dup_gram_chars, list_transform(ts, lambda x: x::BIGINT) AS top_gram_chars, failed_rules FROM v
 """
 
 OP3 = """
