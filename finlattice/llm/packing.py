@@ -5,13 +5,18 @@ longer than a sequence; `pack(pieces)` deals the pieces to buckets of bounded si
 sequences in each by best fit over three capacities: tokens, pieces and attention cost (the sum of
 squared lengths).  The ids themselves never leave the task that made them.
 
+FEWEST packs into as few sequences as it can: with pieces of up to the whole sequence its other two limits cannot
+bind.  ATTENTION is for training where each document attends to itself alone: pieces of half a sequence at most, and limits of
+pieces and of cost that do bind, at the price of more sequences.
+
 Defined results: a null or empty text is its end id alone (one piece of length 1); null ids and
-repeated rows are packed as rows of their own; an empty table gives an empty result; extra columns
+repeated rows are packed as rows of their own; columns of the result that the input has already are an error; an empty table gives an empty result; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -24,13 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import keep, text_batches
+from ._tables import free_name, keep, text_batches
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _CACHED = 400_000  # words whose ids a task remembers
 _TOGETHER = 1 << 21  # bytes of text that are looked up at once
 
 
+#: The kinds of vocabulary whose words can be encoded one by one: what lower-cases and cuts at white space, then splits letters, digits and the rest.
+_WORDWISE = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    ["Split", "ByteLevel"],
+)
+
+
+def wordwise(path: str) -> bool:
+    """Whether a tokenizer file normalises and splits as WordEncoder does by itself."""
+    with open(path, "rb") as file:
+        spec = json.load(file)
+    steps = lambda part, name: part[name] if part and part.get("type") == "Sequence" else [part or {}]
+    normalisers = steps(spec.get("normalizer"), "normalizers")
+    splits = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    names, pattern, kinds = _WORDWISE
+    found = [n.get("type") for n in normalisers] == names and [s.get("type") for s in splits] == kinds
+    if not found or spec["model"].get("type") != "BPE" or spec.get("post_processor"):
+        return False
+    space, split, level = normalisers[1], splits[0], splits[1]
+    return space.get("pattern") == {"Regex": r"\s+"} and split.get("pattern") == {"Regex": pattern} and bool(split.get("invert")) and not level.get("use_regex") and not level.get("add_prefix_space")
+
+
 # Letters whose lower case and composed form are single and themselves; bytes as byte-level vocabularies write them.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?()\"*#$%&|\-]*)")
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -40,7 +68,8 @@ _BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not i
 class WordEncoder:
     """ids of texts as little-endian uint32 bytes, remembering the ids of words between ASCII white space.
 
-    The vocabulary's pre-tokens never cross white space, so a text's ids are those of its words in turn.
+    A vocabulary of a known kind has pre-tokens that never cross white space, so a text's ids are those of its words
+    in turn; by any other one, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -48,6 +77,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.wordwise = wordwise(path)
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -80,6 +110,10 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]):
         """The id bytes of each text, in order."""
+        if not self.wordwise:
+            for text in texts:
+                yield np.array(self.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            return
         at = 0
         while at < len(texts):
             end, size = at, 0
@@ -123,6 +157,10 @@ class Capacity:
     by: str = "residual_norm"  # or "dot_product"
 
 
+FEWEST = Capacity()
+ATTENTION = Capacity(pieces=8, cost=2048 * 2048 * 5 // 4, weights=(1.0, 1.0, 1.0))  # for pieces of 2048 tokens at most
+
+
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length, taken from the longest down; a new bin opens only where no open one can hold the piece."""
     limits = np.array([capacity.tokens, capacity.pieces, capacity.cost], float)
@@ -164,15 +202,18 @@ def pack(rows: DataFrame, capacity: Capacity = Capacity(), bucket_rows: int = 20
 
     Rows are kept once with a row number, so a bucket holds the same rows whenever it is recomputed.
     """
-    kept = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    row, bucket = free_name(rows, "row"), free_name(rows, "bucket")
+    if {"sequence_id", "offset"} & {c.lower() for c in rows.columns}:
+        raise ValueError("sequence_id and offset are columns of the result")
+    kept = keep(rows.withColumn(row, F.monotonically_increasing_id()), "pieces")
     buckets = max(1, -(-kept.count() // bucket_rows))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = rows.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row")
+        pdf = pdf.sort_values(row)
         bins, offsets = best_fit(pdf["length"].to_numpy(), capacity)
-        return pdf[names].assign(sequence_id=(int(pdf["_bucket"].iloc[0]) << 32) + bins, offset=offsets)
+        return pdf[names].assign(sequence_id=(int(pdf[bucket].iloc[0]) << 32) + bins, offset=offsets)
 
-    dealt = kept.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
-    return dealt.groupBy("_bucket").applyInPandas(run, schema)
+    dealt = kept.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)))
+    return dealt.groupBy(bucket).applyInPandas(run, schema)

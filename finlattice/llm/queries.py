@@ -14,7 +14,7 @@ from .jaccard import join as jaccard_join
 from .language import identify
 from .licenses import scan
 from .oracles import ORACLES
-from .packing import pack, pieces
+from .packing import ATTENTION, pack, pieces
 from .quality import quality
 from .repeats import summary as repeat_summary
 from .vectors import near_duplicates
@@ -57,12 +57,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def packing_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing under limits of pieces and attention cost that bind, beside the tokens."""
+    return pack(pieces(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048), ATTENTION)
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(load(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op6_repeats, op7_bpe, op8_language, op9_packing, op10_html)}
+    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op6_repeats, op7_bpe, op8_language, op9_packing, op10_html, packing_attention)}
 
 
 def oracle_sql() -> dict[str, str]:
