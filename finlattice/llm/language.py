@@ -1,15 +1,18 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, kept as sorted hash arrays.
 
-Training: every training text is reduced to lower-case letters with single spaces and all its character
-n-grams of each order are counted by hash (summed inside each task, then by a shuffle).  Kneser-Ney
-statistics follow by aggregation.  The model is a sorted array of n-gram hashes per order with a
-probability and a back-off weight for each language; hashes have `bits` bits, so its size is bounded
-by 2**bits rows an order whatever the corpus.
-
-Prediction: the language of lowest cross-entropy per character.  A text is rejected when that entropy
-is above the language's calibrated limit: median plus `reject_spreads` robust deviations (of the
-median absolute deviation) over the training texts of about the same length that it was right on;
-where those are few, over the nearest lengths too, up to all of the language, then of all languages.
+Training: a bounded, hashed sample of each language's learnable documents (`sample_docs` in all, whole texts) is reduced to
+lower-case letters with single spaces and all its character n-grams of each order are counted (summed inside each
+task, then by a shuffle).  Kneser-Ney statistics follow by aggregation.  A language's model is, for each order, a
+sorted array of n-gram codes with probabilities and one of contexts with back-off weights, looked up by binary
+search; a code holds its characters, so n-grams never collide.  A table of places only speeds up codes
+that occurred in training.  Any number of languages is learned; the more there are, the fewer documents of each.
+
+Prediction: the language of lowest cross-entropy per character.  Rejection is calibrated on a slice of the learnable
+documents that the models have not seen: entropies are measured in robust deviations (of the median absolute deviation)
+from the median of texts of the language and about that length (where those are few, of the nearest lengths too, up to
+all of the language, then of all languages), and a text is rejected beyond the deviation that `most_false` of the
+slice exceeds, and beyond `reject_spreads` at any rate.  A language of fewer than `least_sliced` documents gives all of
+them to both purposes.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; null languages
 are not learned; with nothing to learn from, every text is `und`; a null id is returned as null;
@@ -31,17 +34,21 @@ from ._tables import keep, without
 _SPACE = 32
 _ORDER = 4  # characters of 16 bits each make a 64-bit code
 _TOGETHER = 1 << 21  # n-grams that a task gathers before it sums them
-_MULTIPLIERS = [np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in range(_ORDER + 1)]
+_CELLS = 1 << 23  # probabilities that a worker keeps ready
+_PLACES = 21  # bits of the table of places
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_PRIVATE = (0xE000, 6400)  # no letters there: those beyond 16 bits are put there
 
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    bits: int = 20
     discount: float = 0.75
-    most_languages: int = 64  # bounds the model; more languages are an error
-    reject_spreads: float = 6.0
-    least_spread: float = 0.02  # of entropies, where training texts are all but equal
-    least_calibration: int = 30  # training texts of a length class below which its neighbours are taken in
+    sample_docs: int = 40_000  # learned from, over all languages, as many of each at most
+    least_sliced: int = 50  # learnable documents of a language from which a slice is held back for calibration
+    most_false: float = 0.005  # of the slice may be rejected
+    reject_spreads: float = 6.0  # deviations within which nothing is rejected
+    least_spread: float = 0.02  # of entropies, where texts are all but equal
+    least_calibration: int = 30  # texts of a length class below which its neighbours are taken in
 
 
 _letters = np.zeros(0x110000, np.int8)  # 0 not looked up yet, 1 letter, 2 other
@@ -64,7 +71,11 @@ def letters(text: str | None) -> np.ndarray:
     wanted[1:] |= is_letter[:-1]
     out = np.where(is_letter, points, _SPACE)[wanted]
     first = [_SPACE] * (2 if out[0] != _SPACE else 1)
-    return np.concatenate((first, out, [_SPACE] * int(out[-1] != _SPACE))).astype(np.uint64) & np.uint64(0xFFFF)
+    out = np.concatenate((first, out, [_SPACE] * int(out[-1] != _SPACE))).astype(np.uint64)
+    far = out > 0xFFFF
+    if far.any():
+        out[far] = _PRIVATE[0] + out[far] % _PRIVATE[1]
+    return out
 
 
 def codes(points: np.ndarray) -> np.ndarray:
@@ -79,13 +90,6 @@ def codes(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hash(code: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Hash of the last `order` characters of 4-gram codes."""
-    if order < _ORDER:
-        code = code & np.uint64((1 << 16 * order) - 1)
-    return ((code * _MULTIPLIERS[order]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, code, n: how often each 4-gram occurs in the texts of each language."""
 
@@ -136,91 +140,79 @@ def kneser_ney(counts: DataFrame, discount: float) -> DataFrame:
     return out
 
 
-class Model:
-    """Per order, sorted n-gram hashes with a row of probabilities (a column per language), and the same for contexts' weights."""
+def _find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
+    """The values of keys in a sorted array; missing for others."""
+    if not len(keys):
+        return np.full(len(wanted), missing, np.float32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], np.float32(missing))
 
-    def __init__(self, langs: list[str], bits: int, probabilities: list, weights: list, top_codes: np.ndarray):
-        self.langs, self.bits = langs, bits
-        self.probabilities, self.weights, self.top_codes = probabilities, weights, top_codes
-        self._index = None
 
-    @staticmethod
-    def _spread(hashes: np.ndarray, bits: int) -> np.ndarray:
-        """Position + 1 of each hash in the sorted array, 0 for others."""
-        at = np.zeros(1 << bits, np.int32)
-        at[hashes] = np.arange(1, len(hashes) + 1)
-        return at
+class Model:
+    """Of each language and order: sorted n-gram codes with probabilities, and sorted contexts with back-off weights."""
+
+    def __init__(self, langs: list[str], grams: list[list[tuple]], contexts: list[list[tuple]]):
+        self.langs, self.grams, self.contexts = langs, grams, contexts
+        self._places = None
+
+    def log_probability(self, code: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the interpolated probability of 4-grams, a column per language."""
+        out = np.empty((len(code), len(self.langs)), np.float32)
+        for k in range(len(self.langs)):
+            p = np.full(len(code), 1 / 65536, np.float32)
+            for order in range(1, _ORDER + 1):
+                own = code if order == _ORDER else code & np.uint64((1 << 16 * order) - 1)
+                (keys, values), (contexts, weights) = self.grams[k][order - 1], self.contexts[k][order - 1]
+                p = _find(keys, own, values, 0) + _find(contexts, own >> np.uint64(16), weights, 1) * p
+            out[:, k] = np.log(p)
+        return out
 
     def prepare(self) -> Model:
-        if self._index is None:
-            lead = lambda rows, value: np.concatenate((np.full((1, len(self.langs)), value, np.float32), rows))
-            self._index = [(self._spread(h, self.bits), lead(rows, 0)) for h, rows in self.probabilities]
-            self._index_weights = [(self._spread(h, self.bits), lead(rows, 1)) for h, rows in self.weights]
-            order = np.argsort(_hash(self.top_codes, _ORDER, self.bits))
-            hashes, first = np.unique(_hash(self.top_codes[order], _ORDER, self.bits), return_index=True)
-            self._top = self._spread(hashes, self.bits)
-            self._top_rows = np.concatenate((np.zeros((1, len(self.langs)), np.float32), self._backed_off(self.top_codes[order][first])))
+        """Make the table of places of codes that occurred in training."""
+        if self._places is None:
+            codes_of = [grams[_ORDER - 1][0] for grams in self.grams]
+            self._known = np.unique(np.concatenate(codes_of))[: _CELLS // len(self.langs)]
+            self._rows = self.log_probability(self._known)
+            self._places = np.full(1 << _PLACES, -1, np.int32)
+            self._places[self._place(self._known)] = np.arange(len(self._known))
         return self
 
-    def _backed_off(self, code: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the interpolated probability, per language."""
-        p = np.full((len(code), len(self.langs)), 1 / 65536, np.float32)
-        for order in range(1, _ORDER + 1):
-            at, rows = self._index[order - 1]
-            at_context, weights = self._index_weights[order - 1]
-            context = np.zeros(len(code), np.int64) if order == 1 else _hash((code >> np.uint64(16)) & np.uint64((1 << 16 * (order - 1)) - 1), order - 1, self.bits)
-            p = rows[at[_hash(code, order, self.bits)]] + weights[at_context[context]] * p
-        return np.log(p)
+    @staticmethod
+    def _place(code: np.ndarray) -> np.ndarray:
+        return ((code * _MULTIPLIER) >> np.uint64(64 - _PLACES)).astype(np.int64)
 
     def entropy(self, points: np.ndarray) -> np.ndarray:
         """Cross-entropy per character under each language, over the whole text."""
         code = codes(points)
-        row = self._top[_hash(code, _ORDER, self.bits)]
-        total = self._top_rows[row].sum(axis=0, dtype=np.float64)
-        if not row.all():
-            total += self._backed_off(code[row == 0]).sum(axis=0, dtype=np.float64)
+        at = self._places[self._place(code)]
+        ready = (at >= 0) & (self._known[at] == code)
+        total = self._rows[at[ready]].sum(axis=0, dtype=np.float64)
+        if not ready.all():
+            others, n = np.unique(code[~ready], return_counts=True)
+            total += n @ self.log_probability(others).astype(np.float64)
         return -total / len(code)
 
 
 def fit(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> Model:
     """A model of the languages of docs (lang, text); rows of null lang are not used."""
-    langs = sorted(r.lang for r in docs.where("lang is not null").select("lang").distinct().limit(settings.most_languages + 1).collect())
-    if len(langs) > settings.most_languages:
-        raise ValueError(f"more than {settings.most_languages} languages")
-    bits = settings.bits
     counts = keep(count_grams(docs.where("lang is not null")), "grams")
-    table = kneser_ney(counts, settings.discount)
-
-    def hashed(batches):
-        for b in batches:
-            order, code, context = (b.column(c).to_numpy(zero_copy_only=False) for c in ("order", "code", "context"))
-            code, context = code.view(np.uint64), context.view(np.uint64)
-            own, other = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-            for k in range(1, _ORDER + 1):
-                of = order == k
-                own[of] = _hash(code[of], k, bits)
-                other[of] = _hash(context[of], k - 1, bits) if k > 1 else 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column("lang"), b.column("order"), pa.array(own), b.column("p"), pa.array(other), b.column("weight"), b.column("code")], names=["lang", "order", "own", "p", "other", "weight", "code"]
-            )
-
-    rows = keep(table.mapInArrow(hashed, "lang string, order int, own long, p double, other long, weight double, code long"), "model")
-    place = {lang: k for k, lang in enumerate(langs)}
+    table = keep(kneser_ney(counts, settings.discount), "model")
+    got = table.select("lang", "order", F.col("code").alias("key"), F.col("p").cast("float").alias("v")).toPandas()
+    weights = table.groupBy("lang", "order", F.col("context").alias("key")).agg(F.max("weight").cast("float").alias("v")).toPandas()
+    langs = sorted(got["lang"].unique())
 
-    def gather(frame: DataFrame, key: str, value: str) -> list:
-        """Sorted hashes and value rows of each order; at most 2**bits rows for an order and language."""
-        got = frame.groupBy("order", key, "lang").agg(F.max(value).cast("float").alias("v")).toPandas()
+    def arrays(frame) -> list[list[tuple]]:
         out = []
-        for order in range(1, _ORDER + 1):
-            part = got[got["order"] == order]
-            hashes, at = np.unique(part[key].to_numpy(np.int64), return_inverse=True)
-            values = np.full((len(hashes), max(1, len(langs))), 1.0 if value == "weight" else 0.0, np.float32)
-            values[at, part["lang"].map(place).to_numpy(np.int64)] = part["v"].to_numpy(np.float32)
-            out.append((hashes, values))
+        parts = {key: part for key, part in frame.groupby(["lang", "order"])}
+        for lang in langs:
+            out.append([])
+            for order in range(1, _ORDER + 1):
+                keys, values = parts[lang, order]["key"].to_numpy(np.int64).view(np.uint64), parts[lang, order]["v"].to_numpy(np.float32)
+                sort = np.argsort(keys)
+                out[-1].append((keys[sort], values[sort]))
         return out
 
-    top = rows.where(F.col("order") == _ORDER).groupBy("own").agg(F.min("code").alias("code")).select("code").toPandas()["code"].to_numpy(np.int64)
-    return Model(langs, bits, gather(rows, "own", "p"), gather(rows, "other", "weight"), top.view(np.uint64))
+    return Model(langs, arrays(got), arrays(weights))
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -256,42 +248,61 @@ _BINS = 512  # of entropy, a nat
 _LENGTHS = 41  # length classes, powers of two
 
 
-def _limit(bins: np.ndarray, n: np.ndarray, settings: LanguageSettings) -> float:
-    """Median plus reject_spreads robust deviations of binned entropies."""
-
-    def median(x: np.ndarray) -> float:
-        order = np.argsort(x, kind="stable")
-        return float(x[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)])
-
-    middle = median(entropy := (bins + 0.5) / _BINS)
-    return middle + settings.reject_spreads * max(settings.least_spread, 1.4826 * median(np.abs(entropy - middle)))
+def _median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    return float(x[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)])
 
 
 def limits(counts, langs: list[str], settings: LanguageSettings) -> list[tuple[str, int, float]]:
-    """(language, length class, highest entropy) of every class, from counts n of training texts by lang_pred, length and bin; nothing if there are none."""
-    out = []
+    """(language, length class, highest entropy) of every class, from counts n of calibration texts by lang_pred, length and bin; nothing if there are none."""
+    spread: dict[tuple[str, int], tuple[float, float]] = {}
     for lang in langs if len(counts) else ():
         own = counts[counts["lang_pred"] == lang]
         own = own if len(own) else counts
         length, bins, n = (own[c].to_numpy(np.int64) for c in ("length", "bin", "n"))
+        entropy = (bins + 0.5) / _BINS
         for k in range(_LENGTHS):
             away = np.abs(length - k)
-            near = next((w for w in range(_LENGTHS) if n[away <= w].sum() >= settings.least_calibration), _LENGTHS)
-            out.append((lang, k, _limit(bins[away <= near], n[away <= near], settings)))
-    return out
+            near = away <= next((w for w in range(_LENGTHS) if n[away <= w].sum() >= settings.least_calibration), _LENGTHS)
+            middle = _median(entropy[near], n[near])
+            spread[lang, k] = middle, max(settings.least_spread, 1.4826 * _median(np.abs(entropy[near] - middle), n[near]))
+    if not spread:
+        return []
+    away, n = [], []
+    for lang, k, b, m in zip(*(counts[c].tolist() for c in ("lang_pred", "length", "bin", "n")), strict=True):
+        middle, width = spread[lang, min(k, _LENGTHS - 1)]
+        away.append(((b + 0.5) / _BINS - middle) / width)
+        n.append(m)
+    away, n = np.array(away), np.array(n)
+    order = np.argsort(away)
+    beyond = away[order][np.searchsorted(np.cumsum(n[order]), (1 - settings.most_false) * n.sum())]
+    most = max(settings.reject_spreads, float(beyond))
+    return [(lang, k, middle + most * width) for (lang, k), (middle, width) in spread.items()]
+
+
+def _learnable(slim: DataFrame, settings: LanguageSettings) -> tuple[DataFrame, DataFrame]:
+    """lang, text of the documents to learn from; and lang, sliced of each language."""
+    known = slim.where("not held_out and lang is not null")
+    per_lang = keep(known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "langs")  # a row per language
+    each = settings.sample_docs / F.greatest(F.lit(1), F.lit(per_lang.count()))
+    rates = per_lang.select("lang", (F.col("docs") >= settings.least_sliced).alias("sliced"), (each / F.col("docs")).alias("rate"))
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
+    return known.join(F.broadcast(rates), "lang").where((share < F.col("rate")) & ~(F.col("sliced") & F.col("slice"))).select("lang", "text"), rates.select("lang", "sliced")
 
 
 def identify(docs: DataFrame, settings: LanguageSettings = LanguageSettings()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, rejected per document; learns from the documents that are not held out."""
     slim = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").withColumn("held_out", is_held_out())
-    model = fit(slim.where("not held_out").select("lang", "text"), settings)
+    slim = slim.withColumn("slice", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16 == 5, F.lit(False)))
+    learned, sliced = _learnable(slim, settings)
+    model = fit(learned, settings)
     # lang goes along for the calibration below only; predict() reads the text
     scored = keep(predict(slim, model).drop("text"), "languages")
     length = F.floor(F.log2(F.col("n_letters"))).cast("int").alias("length")
-    right = scored.where("not held_out and lang_pred = lang and entropy is not null")
+    right = scored.where("not held_out and lang_pred = lang and entropy is not null").join(F.broadcast(sliced), "lang").where("slice or not sliced")
     counts = right.groupBy("lang_pred", length, F.floor(F.col("entropy") * _BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     highest = docs.sparkSession.createDataFrame(limits(counts, model.langs, settings), "lang_pred string, length int, most double")
-    # most_languages * _LENGTHS rows at most
+    # _LENGTHS rows a language
     judged = scored.withColumn("length", F.floor(F.log2(F.greatest("n_letters", F.lit(1)))).cast("int")).join(F.broadcast(highest), ["lang_pred", "length"], "left")
     rejected = (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("most"), F.lit(False))
     return judged.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
