@@ -1,7 +1,9 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlapping detections resolved.
 
-A text is lower-cased (A-Z) and reduced to words with single spaces; a rule runs only where its keyword
-occurs.  Detections are taken by priority, then length; one that lies inside an accepted detection is
+A text is lower-cased (A-Z) and reduced to words with single spaces.  The rules are hand-written signatures
+(license_signatures.py), SPDX identifiers, and the names of license families in sentences that grant them.  A rule runs only where one of its
+keywords occurs, which are the longest plain words that every match must hold, from word edge to word edge.
+Detections are taken by priority, then length; one that lies inside an accepted detection is
 suppressed.  Base phrases are never suppressed.  Each text is handled alone and whole: no shuffle.
 
 Defined results: a null or empty text has no words, labels or detections and score 0; a null id is
@@ -12,14 +14,17 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
+from re import _parser
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._tables import text_batches
+from .license_signatures import SIGNATURES
 
 # Fixed values of the contract: phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -36,7 +41,7 @@ class Rule:
     relevance: float
 
 
-# Hand-written signatures: a family's label, names (alternatives) and versions; every name and version is put into each phrase below.
+# A family's label, names (alternatives) and versions; every name and version is put into each sentence below.
 _FAMILIES = (
     ("gpl", r"gnu general public licen[cs]e|gnu gpl|gpl", ("1 0", "2 0", "3 0")),
     ("lgpl", r"gnu lesser general public licen[cs]e|gnu library general public licen[cs]e|gnu lgpl|lgpl", ("2 0", "2 1", "3 0")),
@@ -85,26 +90,45 @@ _SPDX = {
     **{label: label.replace("-", " ") for label in ("odc-by", "ms-pl", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause")},
 }
 _SPDX_VERSIONS = {"wtfpl": (), "cc0": ()}
-# Notices told by their wording alone: label, keyword, pattern.
-_NOTICES = (
-    ("mit", b"permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", b"permission to use copy modify", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-3-clause", b"neither the name", r"neither the names? of .{1,80}? nor the names of its contributors may be used to endorse"),
-    ("bsd", b"redistribution and use in source", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("zlib", b"provided as is", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("unlicense", b"released into the public domain", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", b"public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("proprietary", b"all rights reserved", r"(?:copyright|c) (?:\d{4} )?.{1,60}? all rights reserved"),
-    ("cc0", b"cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc0", b"creative commons zero", r"creative commons zero"),
-)
+# Kinds of signatures: priority and relevance.
+_KINDS = {"text": (5, 1.0), "notice": (15, 0.95), "named": (28, 0.85), "mention": (90, 0.5)}
 _CC = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s?"), ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?"))
 
 
-def _literal(name: str) -> bytes:
-    """The longest plain text that every match of a name pattern holds."""
-    plain = re.sub(r"\(\?:[^)]*\)|\[[^]]*\]|.\?", "|", name)
-    return max(re.split(r"[^a-z0-9 ]", plain), key=len).encode()
+def signatures() -> list[tuple[str, str, str]]:
+    """label, kind and pattern of the hand-written signatures."""
+    out, label = [], ""
+    for line in SIGNATURES.splitlines():
+        if line.startswith("["):
+            label = line[1:-1]
+        elif line:
+            kind, pattern = line.split(maxsplit=1)
+            out.append((label, kind, re.sub(r"license(?!\[)", "licen[cs]e", pattern)))
+    return out
+
+
+def keywords(pattern: str) -> frozenset[str]:
+    """Plain texts of which every match between two word edges holds at least one: the set whose shortest is longest."""
+    return _required([(_parser.LITERAL, 32), *_parser.parse(pattern), (_parser.LITERAL, 32)])
+
+
+def _required(parts) -> frozenset[str]:
+    found, run = [], ""
+    for kind, value in [*parts, (None, None)]:
+        if kind is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run]))
+            run = ""
+        if kind is _parser.SUBPATTERN:
+            found.append(_required(value[3]))
+        elif kind is _parser.MAX_REPEAT and value[0] > 0:
+            found.append(_required(value[2]))
+        elif kind is _parser.BRANCH:
+            ways = [_required(way) for way in value[1]]
+            found.append(frozenset().union(*ways) if all(ways) else frozenset())
+    return max(found, key=lambda words: min(map(len, words), default=0), default=frozenset())
 
 
 def _spdx() -> list[tuple[str, str]]:
@@ -130,9 +154,8 @@ def _spdx() -> list[tuple[str, str]]:
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: longer, more specific signatures first."""
-    found: list[tuple[str, tuple[bytes, ...], str, int, float]] = []
+    found: list[tuple[str, str, int, float]] = [(label, pattern, *_KINDS[kind]) for label, kind, pattern in signatures()]
     for label, names, versions in _FAMILIES:
-        gate = tuple(_literal(name) for name in names.split("|"))
         for k, (relevance, phrase) in enumerate(_PHRASES):
             for version in versions:
                 major, minor = version.split(" ")
@@ -142,20 +165,17 @@ def rules() -> tuple[Rule, ...]:
                 for later in (True, False) if label in ("gpl", "lgpl", "agpl", "gfdl") else (False,):
                     tail = r" (?:or (?:at your option )?any later version|or later|or newer)" if later else ""
                     name = f"{label}-{major}" + (f".{minor}" if minor != "0" else "") + ("-or-later" if later else "")
-                    found.append((name, gate, phrase.replace("{n}", names).replace("{v}", text + tail), 10 * k + (not later), relevance))
-            found.append((label, gate, phrase.replace("{n}", names).replace("{v}", r"(?! (?:version |v ?)?\d)"), 100 + 10 * k, relevance - 0.1))
-    for label, pattern in _spdx():
-        found.append((label, (b"spdx license identifier", b"spdx licence identifier"), pattern, 25, 0.8))
-    for label, keyword, pattern in _NOTICES:
-        found.append((label, (keyword,), pattern, 50, 1.0))
+                    found.append((name, phrase.replace("{n}", names).replace("{v}", text + tail), 10 * k + (not later), relevance))
+            found.append((label, phrase.replace("{n}", names).replace("{v}", r"(?! (?:version |v ?)?\d)"), 100 + 10 * k, relevance - 0.1))
+    found += [(label, pattern, 25, 0.8) for label, pattern in _spdx()]
     for label, words in _CC:
         short = label.replace("-", " ")
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0", ""):
             name = f"cc-{label}" + (f"-{version.replace(' ', '.')}" if version else "")
             tail = f" {version}(?! \\d)" if version else r"(?! (?:nc|nd|sa)\b)(?! \d \d)"
-            found.append((name, (b" cc by",), rf"cc {short}{tail}", 60 + (not version), 0.9))
-            found.append((name, (b"creative commons",), rf"creative commons {words}(?: licen[cs]e| international| unported)*{tail}", 60 + (not version), 0.9))
-    made = [Rule(a, b, re.compile(rb"(?<= )(?:" + c.encode() + rb")(?= )"), p, r) for a, b, c, p, r in found]
+            found.append((name, rf"cc {short}{tail}", 60 + (not version), 0.9))
+            found.append((name, rf"creative commons {words}(?: licen[cs]e| international| unported)*{tail}", 60 + (not version), 0.9))
+    made = [Rule(a, tuple(sorted(k.encode() for k in keywords(b))), re.compile(rb"(?<= )(?:" + b.encode() + rb")(?= )"), p, r) for a, b, p, r in found]
     return tuple(sorted(made, key=lambda r: r.priority))
 
 
@@ -173,16 +193,36 @@ def _prefilter(own_rules: tuple[Rule, ...]) -> ahocorasick.Automaton:
     return automaton
 
 
+def matches(padded: bytes, chosen) -> list[tuple[int, int, Rule]]:
+    """Every match of some rules; of a rule with a group, the group's place."""
+    return [(*m.span("id" if m.re.groups else 0), rule) for rule in chosen for m in rule.pattern.finditer(padded)]
+
+
+def resolve(hits: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Detections by priority, then length, then place, without those inside an accepted one.
+
+    The accepted ones that lie in no other are kept by start, and so by end too: only the last one that starts before can hold a hit.
+    """
+    kept: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, rule in sorted(hits, key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label)):
+        k = bisect_right(starts, a)
+        if k and ends[k - 1] >= b:
+            continue
+        kept.append((a, b, rule))
+        first = k - 1 if k and starts[k - 1] == a else k
+        last = first
+        while last < len(ends) and ends[last] <= b:
+            last += 1
+        starts[first:last], ends[first:last] = [a], [b]
+    return kept
+
+
 def detect(padded: bytes, own_rules: tuple[Rule, ...], prefilter: ahocorasick.Automaton) -> list[tuple[int, int, Rule]]:
     """Accepted detections (byte start, byte end, rule) of one text."""
     found = {i for _, which in prefilter.iter(padded.decode("latin-1")) for i in which}
-    hits = [(*m.span("id" if m.re.groups else 0), own_rules[i]) for i in sorted(found) for m in own_rules[i].pattern.finditer(padded)]
-    hits.sort(key=lambda h: (h[2].priority, h[0] - h[1], h[0], h[2].label))
-    kept: list[tuple[int, int, Rule]] = []
-    for a, b, rule in hits:
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
-    return kept
+    return resolve(matches(padded, [own_rules[i] for i in sorted(found)]))
 
 
 def scan_text(data: bytes | None, own_rules: tuple[Rule, ...] = ()) -> tuple:
