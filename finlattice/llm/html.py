@@ -1,14 +1,19 @@
 """Main text of web pages by a site style tree.
 
-Every page is parsed once into blocks; a block knows the path of styles (tag, class, id) from the body
-down to it.  The style tree of a site (all different bodies of a host's pages: copies of a page are one
-body) is the set of those paths with, for each, how its contents and inner presentation vary over the
-site: their entropies, as a share of the most possible, make a node's importance, which a few pages
-of full importance smooth.  A node of low importance is removed from every page of the host, as is a
-single text that a node repeats on most bodies of the site.  Elements that say
+Every page is parsed once, in linear time, into its boxes (elements that start a line of their own) and text blocks.
+A box is known by its style path (tag, class and id of itself and all boxes around it, hashed step by step),
+and pages of one host are merged along these paths into the site's tree.  Pages with the same texts are one body.
+Each node of the tree has two entropies over the site's bodies, as a share of the most possible: of its
+presentation (the styles of the elements in it) and of its own texts.  They are summed up the tree, so that a
+branch has the importance of all that it holds; a few texts of full importance smooth it.  Branches
+of low importance in which no text is important are cut from every page of the host, and so is a single text that
+most bodies of the site repeat.  Elements that say themselves that they are no article (nav, footer, class ad
+and so on) go by their name, as few pages of a host cannot tell them by entropy.
+
 Defined results: a null or empty page has an empty text; a null url is one site of its own; null ids
-are returned as null; repeated rows give repeated results (and are one body of their site); an
-empty table gives an empty result; extra columns are ignored.
+are returned as null; repeated rows give repeated results (and are one body of their site); pages nested
+however deeply, unclosed tags, quotes and comments are read as far as they go; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,229 +27,381 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import keep
+from ._tables import drop, keep
 
 # HTML's element kinds.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select xmp noembed noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img td th".split())
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow mfrac msup msub q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img td th".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Elements that another of their kind closes, and what keeps it from doing so.
+_CLOSED_BY_OWN = {"p": "article section div main body table li blockquote".split(), "li": ["ul", "ol", "menu"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["tr", "table"], "th": ["tr", "table"], "option": ["select"]}
+_STOPS = {stop: [tag for tag, stops in _CLOSED_BY_OWN.items() if stop in stops] for stop in {s for stops in _CLOSED_BY_OWN.values() for s in stops}}
 # Elements, roles and words in class or id that mark what is no article; words that pages also use of their layout are left to the tree.
-_NOT_ARTICLE = frozenset("nav aside footer form button dialog menu head select label fieldset".split())
+_NOT_ARTICLE = frozenset("head nav aside footer form button dialog menu select label fieldset template noscript svg object canvas".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead "
     "footer cookie cookies consent gdpr banner popup modal newsletter subscribe subscription signup login comment comments disqus respond reply replies "
     "recommended recommendations widget toolbar pagination pager skip alert alerts disclaimer announcement toast overlay teaser toc".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?])")
+_IN_TAG = re.compile(r"=\s*[\"']|>")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_NUMBER = re.compile(r"\d+")
+_HOST = re.compile(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _RAW}
+_MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
 class StyleTreeSettings:
-    prior: float = 2.0  # texts of full importance added to each node, and bodies without its texts added to each site
-    least_importance: float = 0.3  # of a node
+    prior: float = 2.0  # texts of full importance added to each branch, and bodies without its texts added to each site
+    presentation: float = 0.1  # weight of one body's presentation beside one text
+    least_importance: float = 0.3  # of a branch
     most_share: float = 0.5  # of a site's bodies that may hold the same text
 
 
-def _long(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63)
+def _long(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-class _Open:
-    __slots__ = ("tag", "path", "no_article", "inside", "marks")
-
-    def __init__(self, tag: str, path: str, no_article: bool, inside: int, marks: tuple[int, ...]):
-        self.tag, self.path, self.no_article, self.inside, self.marks = tag, path, no_article, inside, marks
-
-
-def _unmarked(found: list[tuple]) -> list[tuple]:
-    """The blocks in no box that a word marks; a box of most of a page's text is marked for nothing, unless an article or main is outside of it."""
-    total = sum(len(b[3]) for b in found)
-    inside: dict[int, list[int]] = {}  # characters, and those in an article or main
-    for b in found:
-        for mark in b[4]:
-            sums = inside.setdefault(mark, [0, 0])
-            sums[0] += len(b[3])
-            sums[1] += len(b[3]) * (b[2] > 0)
-    in_main = sum(len(b[3]) for b in found if b[2])
-    void = {mark for mark, (chars, main) in inside.items() if 2 * chars > total and main == in_main}
-    return [b[:4] for b in found if void.issuperset(b[4])]
-
-
-def _main_text(found: list[tuple]) -> list[tuple]:
-    """The blocks in articles if they hold as much as main's (without a main, the page's) other text, else main and articles, else all."""
-    chars = [sum(len(b[3]) for b in found if b[2] == level) for level in range(4)]
-    articles, has_main = chars[2] + chars[3], chars[1] + chars[3] > 0
-    if articles and articles >= (chars[1] if has_main else chars[0]):
-        return [b for b in found if b[2] >= 2]
-    return [b for b in found if b[2]] if has_main else found
-
-
-def blocks(page: str) -> list[tuple[str, str, int, str]]:
-    """(style path, inner presentation, 3 in an article in main, 2 in another, 1 in main, else 0; text) of each block that may be article text, in page order."""
-    out: list[tuple[str, str, int, str, tuple[int, ...]]] = []
-    stack = [_Open("", "", False, 0, ())]
-    n_marks = 0
-    text: list[str] = []
-    inner: list[str] = []
-
-    def flush():
-        if text:
-            top = stack[-1]
-            words = unescape("".join(text)).split()
-            if words and not top.no_article:
-                box = next(o for o in reversed(stack) if o.tag not in _INLINE)
-                out.append((box.path, " ".join(inner), top.inside, " ".join(words), top.marks))
-            text.clear()
-        inner.clear()
-
-    def close(tag: str, stop: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == tag:
-                if tag not in _INLINE or any(o.tag not in _INLINE for o in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
-
-    at, n = 0, len(page)
+def tags(page: str):
+    """(text before, tag, closing, attributes) of each tag in turn; comments and the like are left out, and the last tag is None.
+
+    A quote that nothing closes ends at the tag's end; each kind of quote is looked for in vain once only.
+    """
+    at, text_from, n = 0, 0, len(page)
+    texts: list[str] = []
+    missing: dict[str, int] = {}  # position from which on a closing quote or comment is known to be missing
     while at < n:
-        found = _TOKEN.search(page, at)
+        found = _MARKUP.search(page, at)
         if found is None:
-            text.append(page[at:])
             break
-        if found.start() > at:
-            text.append(page[at : found.start()])
-        at = found.end()
-        if not found[2]:
-            continue
-        tag = found[2].lower()
-        if found[1]:
-            if tag in _VOID:
-                continue
-            if tag == "p" and not any(o.tag == "p" for o in stack):
-                flush()
-            elif tag in _INLINE and tag not in ("td", "th"):
-                box = max(k for k, o in enumerate(stack) if o.tag not in _INLINE)
-                k = next((k for k in range(len(stack) - 1, box, -1) if stack[k].tag == tag), 0)
-                if k:
-                    if stack[k].no_article != stack[k - 1].no_article or stack[k].marks != stack[k - 1].marks:
-                        flush()
-                    del stack[k]
-            else:
-                close(tag)
+        if found.start() > text_from:
+            texts.append(page[text_from : found.start()])
+        if found[3]:
+            end = page.find("-->", found.end())
+            at = text_from = n if end < 0 else end + 3
             continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end is None and tag in ("script", "style") and (nxt := page.find("<script", at)) >= 0 and tag == "style":
-                end = re.compile(r"(?=<script)").search(page, nxt)
-            at = end.end() if end else n
-            continue
-        if tag == "br" or tag in ("td", "th", "img", "wbr"):
-            text.append(" " if tag != "wbr" else "")
-            inner.append(tag)
-            if tag in _VOID:
-                continue
-        elif tag in _VOID:
+        end = found.end()
+        while True:
+            mark = _IN_TAG.search(page, end)
+            if mark is None:
+                end = after = n
+                break
+            if mark[0] == ">":
+                end, after = mark.start(), mark.end()
+                break
+            quote = mark[0][-1]
+            close = page.find(quote, mark.end()) if mark.end() < missing.get(quote, n + 1) else -1
+            if close < 0:
+                missing[quote] = min(mark.end(), missing.get(quote, n))
+            end = mark.end() if close < 0 else close + 1
+        at = text_from = after
+        if found[2]:
+            yield "".join(texts), found[2].lower(), bool(found[1]), page[found.end() : end]
+            texts.clear()
+            if not found[1] and (tag := found[2].lower()) in _RAW:
+                ends = _ENDS[tag].search(page, at)
+                at = text_from = ends.end() if ends else n
+    texts.append(page[text_from:])
+    yield "".join(texts), None, False, ""
+
+
+class _Open:
+    """An open element: box is the number of the box that its text belongs to, base where that box stands, near where the elements stand that an own kind would close."""
+
+    __slots__ = ("tag", "box", "base", "bad", "inside", "mark", "near", "inline")
+
+    def __init__(self, tag: str, box: int, base: int, bad: bool, inside: int, mark: int, near: dict[str, int]):
+        self.tag, self.box, self.base, self.bad, self.inside, self.mark, self.near = tag, box, base, bad, inside, mark, near
+        self.inline: dict[str, int] = {}  # open inline elements of a box
+
+
+class Page:
+    """Boxes (path, parent, look) and blocks (box, text or None if a name says it is no article, content hash) of a page."""
+
+    def __init__(self, page: str):
+        self.paths, self.parents, self.looks = [0], [-1], [0]
+        self.found: list[tuple[int, str, bool, int, int]] = []  # box, text, named, inside, mark
+        self.mark_of = [-1]  # the mark around each mark
+        self.stack = [_Open("", 0, 0, False, 0, 0, {})]
+        self.open: dict[str, int] = {}
+        self.text: list[str] = []
+        for before, tag, closing, attributes in tags(page):
+            if before:
+                self.text.append(before)
+            if tag is None:
+                break
+            if closing:
+                self._end(tag)
+            elif tag not in _RAW:
+                self._start(tag, attributes)
+        self._flush()
+        self._judge()
+
+    def _flush(self) -> None:
+        if self.text:
+            top = self.stack[-1]
+            words = unescape("".join(self.text)).split()
+            if words:
+                self.found.append((top.box, " ".join(words), top.bad, top.inside, top.mark))
+            self.text.clear()
+
+    def _pop_to(self, k: int) -> None:
+        for o in self.stack[k:]:
+            self.open[o.tag] -= 1
+        del self.stack[k:]
+
+    def _end(self, tag: str) -> None:
+        if tag in _VOID:
+            return
+        if not self.open.get(tag):
+            if tag == "p":
+                self._flush()
+            return
+        stack = self.stack
+        if tag in _INLINE and tag not in ("td", "th"):
+            inline = stack[stack[-1].base].inline
+            if not inline.get(tag):
+                return  # open outside of this box only
+            inline[tag] -= 1
+            k = len(stack) - 1
+            while stack[k].tag != tag:
+                k -= 1
+            if (stack[k].bad, stack[k].mark) != (stack[k - 1].bad, stack[k - 1].mark):
+                self._flush()
+            self.open[tag] -= 1
+            del stack[k]
+            return
+        k = len(stack) - 1
+        inline = True
+        while stack[k].tag != tag:
+            inline &= stack[k].tag in _INLINE
+            k -= 1
+        if not inline or tag not in _INLINE:
+            self._flush()
+        self._pop_to(k)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        stack = self.stack
+        if tag in ("br", "td", "th", "img"):
+            self.text.append(" ")
+        if tag in _VOID:
             if tag == "hr":
-                flush()
-            continue
-        elif tag not in _INLINE:
-            flush()
-            if tag in _CLOSES_P:
-                close("p", ("article", "section", "div", "main", "body", "table", "li", "blockquote"))
-        else:
-            inner.append(tag)
-        if tag in _SELF_CLOSING:
-            close(tag, _SELF_CLOSING[tag])
+                self._flush()
+            box = stack[-1].box
+            self.looks[box] = (self.looks[box] * 31 + xxhash.xxh3_64_intdigest(tag)) & _MASK
+            return
+        if tag not in _INLINE:
+            self._flush()
+        for kind in ("p",) if tag in _CLOSES_P else (tag,) if tag in _CLOSED_BY_OWN else ():
+            if (k := stack[-1].near.get(kind, 0)) > 0:
+                if tag in ("td", "th"):
+                    self.text.append(" ")
+                self._pop_to(k)
         if tag == "body":
-            del stack[1:]
-        attributes = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(found[3])} if found[3] else {}
+            self._pop_to(1)
+        named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         top = stack[-1]
-        role = attributes.get("role", "")
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        role = named.get("role", "")
+        names = f"{named.get('class', '')} {named.get('id', '')}"
         words = set(_SPLIT.split(names))
-        bad = top.no_article or tag in _NOT_ARTICLE or role in _ROLES or (top.inside < 2 and tag == "header")
+        bad = top.bad or tag in _NOT_ARTICLE or role in _ROLES or (top.inside < 2 and tag == "header")
         # an article is marked by a whole name only (a card's `teaser`, not `comments-open`), body and main by none
         marked = not bad and tag not in ("body", "main") and bool((set(names.split()) if tag == "article" else words) & _WORDS)
         marked |= not bad and tag not in ("body", "main", "article") and top.inside < 2 and "header" in words
-        marks = top.marks
+        mark = top.mark
         if marked:
-            n_marks += 1
-            marks = (*marks, n_marks)
+            self.mark_of.append(mark)
+            mark = len(self.mark_of) - 1
         inside = top.inside
         if not bad and (tag == "article" or role == "article"):
             inside = 3 if inside in (1, 3) else 2
         elif not bad and (tag == "main" or role == "main"):
             inside = max(inside, 1)
-        if tag in _INLINE and (marked or (bad and not top.no_article)):
-            flush()
-        style = tag + "".join(f".{w}" for w in attributes.get("class", "").split()) + (f"#{attributes['id']}" if attributes.get("id") else "")
-        if not found[3].endswith("/") or tag not in _VOID:
-            stack.append(_Open(tag, f"{top.path}/{style}", bad, inside, marks))
-    flush()
-    return _main_text(_unmarked(out))
+        style = tag + "".join(f".{w}" for w in named.get("class", "").split()) + (f"#{named['id']}" if named.get("id") else "")
+        style = xxhash.xxh3_64_intdigest(_NUMBER.sub("0", style))
+        box = top.box
+        self.looks[box] = (self.looks[box] * 31 + style) & _MASK
+        if tag in _INLINE:
+            if (bad, mark) != (top.bad, top.mark):
+                self._flush()
+            base = top.base
+            if tag not in ("td", "th"):
+                inline = stack[base].inline
+                inline[tag] = inline.get(tag, 0) + 1
+        else:
+            base = len(stack)
+            self.paths.append(xxhash.xxh3_64_intdigest(self.paths[box].to_bytes(8, "little") + style.to_bytes(8, "little")))
+            self.parents.append(box)
+            self.looks.append(0)
+            box = len(self.paths) - 1
+        near = top.near
+        if tag in _STOPS or tag in _CLOSED_BY_OWN:
+            near = near | dict.fromkeys(_STOPS.get(tag, ()), 0)
+            if tag in _CLOSED_BY_OWN:
+                near[tag] = len(stack)
+        stack.append(_Open(tag, box, base, bad, inside, mark, near))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _judge(self) -> None:
+        """A box of most of a page's text is marked for nothing, unless an article or main is outside of it."""
+        total = in_main = 0
+        chars, main = [0] * len(self.mark_of), [0] * len(self.mark_of)
+        for _, text, named, inside, mark in self.found:
+            if not named:
+                total += len(text)
+                in_main += len(text) * (inside > 0)
+                chars[mark] += len(text)
+                main[mark] += len(text) * (inside > 0)
+        for k in range(len(self.mark_of) - 1, 0, -1):
+            chars[self.mark_of[k]] += chars[k]
+            main[self.mark_of[k]] += main[k]
+        good = [True] * len(self.mark_of)
+        for k in range(1, len(good)):
+            good[k] = good[self.mark_of[k]] and 2 * chars[k] > total and main[k] == in_main
+        self.blocks = [(box, None if named or not good[mark] else text, _long(text)) for box, text, named, _, mark in self.found]
+
+
+def blocks(page: str) -> list[str]:
+    """The texts of a page that no name says to be no article, in page order."""
+    return [text for _, text, _ in Page(page).blocks if text is not None]
+
+
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("site", pa.int64()), ("paths", _LONGS), ("parents", _INTS), ("looks", _LONGS), ("boxes", _INTS), ("contents", _LONGS), ("texts", pa.list_(pa.string()))])
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, site, nodes, contents, looks (hashes) and texts of each page's blocks."""
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("site", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("nodes", "contents", "looks")), ("texts", pa.list_(pa.string()))]
-    schema = pa.schema(fields)
+    """row, page_id, url, site; paths, parents and looks of the boxes that hold text; boxes, contents (hashes) and texts of the blocks."""
+
+    def of_page(html: str) -> tuple:
+        page = Page(html)
+        wanted = bytearray(len(page.paths))
+        for box, _, _ in page.blocks:
+            while box >= 0 and not wanted[box]:
+                wanted[box] = 1
+                box = page.parents[box]
+        number, n = [-1] * (len(wanted) + 1), 0
+        for k, yes in enumerate(wanted):
+            if yes:
+                number[k], n = n, n + 1
+        kept = [k for k, yes in enumerate(wanted) if yes]
+        signed = lambda values: [values[k] - (1 << 63) for k in kept]
+        return (
+            signed(page.paths), [number[page.parents[k]] for k in kept], signed(page.looks),
+            [number[b] for b, _, _ in page.blocks], [c for _, _, c in page.blocks], [t for _, t, _ in page.blocks],
+        )
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                found = blocks(page or "")
-                host = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", url or "", re.I)
-                site = _long((host[1] if host else url or "").lower())
-                rows.append((page_id, url, site, [_long(b[0]) for b in found], [_long(b[3]) for b in found], [_long(b[1]) for b in found], [b[3] for b in found]))
+                host = _HOST.match(url or "")
+                rows.append((page_id, url, _long((host[1] if host else url or "").lower()), *of_page(page or "")))
+                size += len(page or "")
+                if size > 4 << 20:
+                    yield _batch(rows, _PARSED)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(rows, _PARSED)
 
     slim = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
-    kept = "page_id long, url string, site long, nodes array<long>, contents array<long>, looks array<long>, texts array<string>"
-    return slim.mapInArrow(run, kept).withColumn("row", F.monotonically_increasing_id())
+    kind = "page_id long, url string, site long, paths array<long>, parents array<int>, looks array<long>, boxes array<int>, contents array<long>, texts array<string>"
+    return slim.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
+
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def style_tree(parsed: DataFrame, settings: StyleTreeSettings) -> DataFrame:
-    """site, key: the nodes (key: node) and the texts of nodes (key: node xor content) of low importance.
 
-    Pages of a site with the same texts are one body, which counts a text once, however often it repeats it; counts are summed in each task
-    before they are shuffled, and a node's entropy is put together from its sums, so a site with a third of all pages is no single group.
+def _entropy(sum_n_ln_n, n):
+    """Of counts with sum n, as a share of ln n; 1 where n is 1."""
+    return 1 - F.coalesce(F.try_divide(sum_n_ln_n, n * F.ln(n)), F.lit(0.0))
+
+
+def importance(parsed: DataFrame, settings: StyleTreeSettings) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The site style trees: (site, node, importance, most) of each node, most being the highest importance of texts in its
+    branch; (site, key) of single texts on most bodies of a site, key being node xor content; and the kept tables that these are read from.
+
+    Counts are summed in each task before they are shuffled, and a node's entropy is put together from its
+    sums, so a site with a third of all pages is no single group.
     """
     body = F.xxhash64(F.sort_array(F.array_distinct("contents")))
-    bodies = keep(parsed.groupBy("site", body.alias("body")).agg(F.min(F.struct("contents", "nodes", "looks")).alias("b")).select("site", "b.*"), "bodies")
-    seen = bodies.select("site", F.explode(F.array_distinct(F.arrays_zip("nodes", "contents", "looks"))).alias("b")).select("site", "b.*")
-    per_text = seen.groupBy("site", F.col("nodes").alias("node"), F.col("contents").alias("content"), F.col("looks").alias("look")).agg(F.count(F.lit(1)).alias("n"))
-    n_log_n = F.sum(F.col("n") * F.ln("n"))
-    texts = per_text.groupBy("site", "node", "content").agg(F.sum("n").alias("n"))
-    nodes = texts.groupBy("site", "node").agg(F.sum("n").alias("m"), n_log_n.alias("c"))
-    looks = per_text.groupBy("site", "node", "look").agg(F.sum("n").alias("n")).groupBy("site", "node").agg(n_log_n.alias("l"))
-    # entropy of counts n with sum m, as a share of ln m: (ln m - sum(n ln n) / m) / ln m
-    share = lambda x: 1 - F.try_divide(F.col(x), F.col("m") * F.ln("m"))
-    importance = 1 - (1 - share("c")) * (1 - share("l"))
-    smoothed = (F.col("m") * importance + settings.prior) / (F.col("m") + settings.prior)
+    first = F.min(F.struct("contents", "paths", "parents", "looks", "boxes"))
+    bodies = keep(parsed.groupBy("site", body.alias("body")).agg(first.alias("b")).select("site", "b.*"), "bodies")
+    up = F.when(F.col("z.parents") >= 0, F.get("paths", F.col("z.parents")))
+    node = bodies.select("site", "paths", F.explode(F.arrays_zip("paths", "parents", "looks")).alias("z")).select("site", F.col("z.paths").alias("node"), up.alias("up"), F.col("z.looks").alias("look"))
+    looks = node.groupBy("site", "node", "look").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("up"))
+    n_ln_n = F.sum(F.col("n") * F.ln("n"))
+    looks = looks.groupBy("site", "node").agg(F.sum("n").alias("m"), n_ln_n.alias("l"), F.max("up").alias("up"))
+    at = F.arrays_zip(F.transform("boxes", lambda b: F.get("paths", b)).alias("node"), F.col("contents").alias("content"))
+    text = bodies.select("site", F.explode(F.array_distinct(at)).alias("z")).select("site", "z.node", "z.content")
+    texts = keep(text.groupBy("site", "node", "content").agg(F.count(F.lit(1)).alias("n")), "contents")
+    contents = texts.groupBy("site", "node").agg(F.sum("n").alias("w"), n_ln_n.alias("c"))
+    tree = looks.join(contents, ["site", "node"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    own = F.when(F.col("w") > 0, _entropy(F.col("c"), F.col("w")))
+    weight = settings.presentation * F.col("m")
+    tree = tree.select(
+        "site", "node", "up", (F.coalesce(own * F.col("w"), F.lit(0.0)) + weight * _entropy(F.col("l"), F.col("m"))).alias("s"), (F.col("w") + weight).alias("t"), F.coalesce(own, F.lit(0.0)).alias("most")
+    )
+    tree = _sum_up(keep(tree, "tree"))
     pages = bodies.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    dull = nodes.join(looks, ["site", "node"]).where(smoothed < settings.least_importance).select("site", F.col("node").alias("key"))
     repeated = texts.join(pages, "site").where(F.col("n") > settings.most_share * (F.col("pages") + settings.prior))
-    return dull.unionAll(repeated.select("site", F.col("node").bitwiseXOR(F.col("content")).alias("key"))).distinct()
+    smoothed = (F.col("s") + settings.prior) / (F.col("t") + settings.prior)
+    keys = repeated.select("site", F.col("node").bitwiseXOR(F.col("content")).alias("key")).distinct()
+    return tree.select("site", "node", smoothed.alias("importance"), "most"), keys, [bodies, texts, tree]
+
+
+def _sum_up(tree: DataFrame) -> DataFrame:
+    """Sums of s and t and the highest most over each node's branch: every round looks twice as far down, so a depth of d takes log2(d) rounds."""
+    while not tree.where("up is not null").isEmpty():
+        below = tree.where("up is not null").groupBy("site", F.col("up").alias("node")).agg(F.sum("s").alias("s2"), F.sum("t").alias("t2"), F.max("most").alias("most2"))
+        summed = tree.join(below, ["site", "node"], "left")
+        above = tree.where("up is not null").select("site", F.col("node").alias("up"), F.col("up").alias("next"))
+        zero = F.lit(0.0)
+        new = summed.join(above, ["site", "up"], "left").select(
+            "site", "node", F.col("next").alias("up"), (F.col("s") + F.coalesce("s2", zero)).alias("s"), (F.col("t") + F.coalesce("t2", zero)).alias("t"), F.greatest("most", "most2").alias("most")
+        )
+        new = keep(new, "tree")
+        drop(tree)
+        tree = new
+    return tree
+
+
+_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.int64()), ("n_named", pa.int64())])
+
+
+def _prune(batches):
+    """Each page without the boxes that are cut, or stand in one that is, and without texts that are cut."""
+    for batch in batches:
+        rows = []
+        columns = ("page_id", "url", "paths", "parents", "boxes", "contents", "texts", "cut")
+        for page_id, url, paths, parents, boxes, contents, texts, cut in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            cut, gone = set(cut or ()), []
+            for path, parent in zip(paths, parents, strict=True):
+                gone.append(path in cut or (parent >= 0 and gone[parent]))
+            left = [t for t, b, c in zip(texts, boxes, contents, strict=True) if t is not None and not gone[b] and paths[b] ^ c not in cut]
+            n_named = texts.count(None)
+            text = "\n".join(left)
+            rows.append((page_id, url, text, len(text), len(texts) - n_named - len(left), n_named))
+        if rows:
+            yield _batch(rows, _RESULT)
 
 
 def extract(pages: DataFrame, settings: StyleTreeSettings = StyleTreeSettings(), most_broadcast: int = 200_000) -> DataFrame:
-    """page_id, url, text, n_chars, n_removed (blocks removed by the style tree) per page."""
-    parsed = keep(parse(pages), "blocks")
-    noise = keep(style_tree(parsed, settings), "noise").groupBy("site").agg(F.collect_set("key").alias("noise"))
+    """page_id, url, text, n_chars, n_removed (blocks cut by the style tree), n_named (blocks cut by a name) per page."""
+    parsed = keep(parse(pages), "parsed")
+    tree, repeated, read = importance(parsed, settings)
+    dull = (F.col("importance") < settings.least_importance) & (F.col("most") < settings.least_importance)
+    noise = keep(tree.where(dull).select("site", F.col("node").alias("key")).unionAll(repeated), "noise").groupBy("site").agg(F.collect_set("key").alias("noise"))
+    drop(*read)
     if noise.select(F.coalesce(F.sum(F.size("noise")), F.lit(0))).first()[0] <= most_broadcast:
         noise = F.broadcast(noise)  # else Spark joins by shuffle
-    joined = parsed.join(noise, "site", "left")
-    blocks_of = F.arrays_zip("nodes", "contents", "texts")
-    good = lambda b: ~F.array_contains("noise", b["nodes"]) & ~F.array_contains("noise", b["nodes"].bitwiseXOR(b["contents"]))
-    kept = F.when(F.col("noise").isNull(), F.col("texts")).otherwise(F.transform(F.filter(blocks_of, good), lambda b: b["texts"]))
-    text = F.array_join(kept, "\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("texts") - F.size(kept)).cast("long").alias("n_removed"))
+    keys = F.zip_with(F.transform("boxes", lambda b: F.get("paths", b)), "contents", lambda a, b: a.bitwiseXOR(b))
+    cut = F.when(F.col("noise").isNotNull(), F.array_intersect("noise", F.concat("paths", keys)))
+    joined = parsed.join(noise, "site", "left").select("page_id", "url", "paths", "parents", "boxes", "contents", "texts", cut.alias("cut"))
+    return joined.mapInArrow(_prune, "page_id long, url string, text string, n_chars long, n_removed long, n_named long")
