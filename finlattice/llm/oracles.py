@@ -80,4 +80,51 @@ WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM docu
 SELECT g.doc_id, len(gs)::BIGINT AS n_shingles, coalesce(c.c, g.doc_id) AS component_id FROM g LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op4_jaccard": OP4, "op1_quality": OP1, "op2_vectors": OP2, "op3_warc": OP3}
+# DuckDB has no crc32: the usual table of 256 remainders, and a fold over the bytes of a hexadecimal text
+_CRC_TABLE = "(SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) FROM (SELECT unnest(range(256)) AS n))"
+
+
+def _crc32(text: str) -> str:
+    """Of a text; crc.t must be in reach."""
+    byte = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+  own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS bytes
+    FROM conversations WHERE conv_id IS NOT NULL),
+  h AS (SELECT c, c - c % 5 AS base, {_crc32("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM own), crc),
+  turns AS (SELECT h.c, b.i, b.x, b.bytes FROM h JOIN own b ON b.c = h.base AND b.i <= h.h
+    UNION ALL SELECT h.c, o.i + 1000000, o.x, o.bytes FROM h JOIN own o ON o.c = h.c AND o.i > h.h),
+  seq AS (SELECT h.c, coalesce(list(x ORDER BY i) FILTER (WHERE x IS NOT NULL), []) AS xs, coalesce(list(bytes ORDER BY i) FILTER (WHERE x IS NOT NULL), []) AS bs FROM h LEFT JOIN turns USING (c) GROUP BY h.c),
+  prefix AS (SELECT c, len(xs) AS n, d, list_aggregate(list_concat([''], xs[1:d]), 'string_agg', '') AS p, list_aggregate(list_concat([''], xs[1:d - 1]), 'string_agg', '') AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS bytes
+    FROM (SELECT c, xs, bs, unnest(range(0, len(xs) + 1)) AS d FROM seq)),
+  node AS (SELECT p, d, CASE WHEN d > 0 THEN any_value(up) END AS up, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes, string_agg(CASE WHEN n = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM prefix GROUP BY p, d),
+  child AS (SELECT up AS p, count(*) AS k FROM node WHERE up IS NOT NULL GROUP BY up),
+  full_node AS (SELECT node.*, coalesce(child.k, 0) AS k FROM node LEFT JOIN child USING (p)),
+  above AS (SELECT p AS top, p, up, k, n, bytes FROM full_node UNION ALL SELECT f.p, a.p, f.up, a.k, a.n, a.bytes FROM above a JOIN full_node f ON f.p = a.up),
+  sums AS (SELECT top AS p, count_if(k = 0) AS leaves, sum((n - 1) * bytes)::BIGINT AS saved FROM above GROUP BY top)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, u.c AS parent_conv_id, f.n::BIGINT AS n_convs, f.k::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_node f JOIN sums USING (p) LEFT JOIN full_node u ON u.p = f.up
+"""
+
+OP12 = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, list_transform(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]'), lambda p: list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '')) AS ps FROM documents),
+  piece AS (SELECT lang, unnest(ps) AS ws FROM d),
+  gram AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: list_aggregate(ws[i:i + k - 1], 'string_agg', ' '))) AS phrase FROM piece, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k),
+  f AS (SELECT lang, k, phrase, count(*) AS a FROM gram GROUP BY ALL),
+  total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+  cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+  cut AS (SELECT lang, k, phrase, a, w, j, list_aggregate(w[1:j], 'string_agg', ' ') AS head, list_aggregate(w[j + 1:k], 'string_agg', ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+  scored AS (SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score FROM cut c
+    JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+  best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+  inner_part AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a AS longer FROM cand WHERE k = 3),
+  most AS (SELECT lang, phrase, max(longer) AS longer FROM inner_part GROUP BY ALL),
+  left_over AS (SELECT best.* FROM best LEFT JOIN most USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM left_over JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_trie": OP11, "op12_collocations": OP12, "op4_jaccard": OP4, "op1_quality": OP1, "op2_vectors": OP2, "op3_warc": OP3}

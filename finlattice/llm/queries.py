@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._tables import load
 from .bpe import encode_documents
+from .collocations import collocations
 from .html import extract
 from .jaccard import join as jaccard_join
 from .language import identify
@@ -17,6 +18,8 @@ from .oracles import ORACLES
 from .packing import ATTENTION, pack, pieces
 from .quality import quality
 from .repeats import summary as repeat_summary
+from .sharding import document_shards
+from .trie import prefix_trie, rebuilt
 from .vectors import near_duplicates
 from .warc import round_trip
 
@@ -66,8 +69,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(load(spark, sf_dir, "pages"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(load(spark, sf_dir, "conversations")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(load(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op6_repeats, op7_bpe, op8_language, op9_packing, op10_html, packing_attention)}
+    return {f.__name__: f for f in (op1_quality, op2_vectors, op3_warc, op4_jaccard, op5_licenses, op6_repeats, op7_bpe, op8_language, op9_packing, op10_html, op11_trie, op12_collocations, op13_sharding, packing_attention)}
 
 
 def oracle_sql() -> dict[str, str]:
