@@ -32,7 +32,7 @@ from ._tables import drop, keep, text_batches
 #: Bits of the map of frequent phrases; words that a task numbers at once (three numbers make a code).
 FILTER_BITS, WORD_BITS = 27, 21
 #: Codes of a container before it bursts, codes that a task's trie holds before it spills, bytes of text cut into words at once.
-BURST, MOST_CODES, CHUNK = 1 << 16, 3_000_000, 2 << 20
+BURST, MOST_CODES, CHUNK = 1 << 16, 1_000_000, 1 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 0: in a word, 1: between words, 2: between pieces
 _KIND[[0x20, 0x09]] = 1
@@ -244,6 +244,7 @@ def _runs(spilled, n: int, words: Dictionary):
             phrase = pc.binary_join_element_wise(phrase, *(names.take(k) for k in numbers[1:]), " ")
         table = pa.table({"lang": langs.take(numbers[0]), "phrase": phrase, "n": pa.array(counts)}).sort_by([("lang", "ascending"), ("phrase", "ascending")])
         yield from table.combine_chunks().to_batches()
+        pa.default_memory_pool().release_unused()
 
 
 def _counted(n: int, filter_: Broadcast | None):
