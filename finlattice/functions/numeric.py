@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -107,3 +109,15 @@ def confidence_tier(score) -> Column:
 def correlation(a, b) -> Column:
     """Aggregate correlation of two columns that are null together; null without variance."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def _six(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.6g}").astype(object)
+
+
+def six_digits(x) -> Column:
+    """A number as a text of six significant digits at most, null without one.
+
+    Which of two texts is nearer hangs on the number's binary digits, which no expression shows, so this goes through Arrow batches.
+    """
+    return F.pandas_udf(_six, T.StringType())(_c(x).cast("double"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import new_folder
+
 
 def step_sums(steps: DataFrame, flows: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
     """Per step the sum of `value` in (the step before, this step]: each flow is dealt to the first step at or after its day, no range join."""
@@ -41,17 +43,37 @@ def fund_returns(nav: DataFrame, keys: list[str], day: str, official: str = "pct
 
 
 def thinned(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """About `most` rows, evenly spaced in order; numbering runs range by range, so no task sorts everything."""
-    n = df.count()
+    """All rows if they are `most` at most, else rows floor(k * n / most) in order for k from 0: exactly `most`.
+
+    Rows are written range by range with their number in the range, so the ranges' sizes give every row's place and no task sorts everything.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "ranged")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = sorted(tuple(r) for r in ranged.groupBy(F.shiftright("_id", 33)).count().collect())  # a row per partition
+    n, before = 0, {}
+    for part, size in sizes:
+        before[part], n = n, n + size
     if n <= most:
-        return df
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_before", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c"))  # a row per partition
-    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(before), "_p")
-    at = F.col("_k") + F.col("_before") - 1
-    kept = numbered.where((at == 0) | (F.floor(at * most / n) != F.floor((at - 1) * most / n)))
-    return kept.drop("_p", "_c", "_k", "_before")
+        return ranged.drop("_id")
+    offset = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair))
+    at = offset[F.shiftright("_id", 33)] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    k = F.expr(f"(_at * {most} + {n - 1}) div {n}")  # the first k that reaches this row or a later one
+    return ranged.withColumn("_at", at).withColumn("_k", k).where(f"_k < {most} and (_k * {n}) div {most} = _at").drop("_id", "_at", "_k")
+
+
+def scatter(frame: DataFrame, fields: list[str], order: list[str], most: int = 400, least_percent: float = 50.0) -> tuple[list[str], DataFrame | None]:
+    """The two fields that are named most often (ties by name) among those of enough values, and at most `most` rows that have both.
+
+    ([], None) where fewer than two fields qualify.
+    """
+    named = sorted(dict.fromkeys(f for f in fields if f in frame.columns), key=lambda f: (-fields.count(f), f))
+    counts = frame.agg(F.count(F.lit(1)).alias("n"), *(F.count(f).alias(f"c{k}") for k, f in enumerate(named))).first()
+    chosen = [f for k, f in enumerate(named) if counts["n"] and 100.0 * counts[f"c{k}"] / counts["n"] >= least_percent][:2]
+    if len(chosen) < 2:
+        return [], None
+    rows = frame.where(F.col(chosen[0]).isNotNull() & F.col(chosen[1]).isNotNull())
+    return chosen, thinned(rows, order, most)
 
 
 def price_maps(prices: DataFrame, keys: list[str], period, value: str, day: str) -> DataFrame:

@@ -29,7 +29,7 @@ def attribute(holdings: DataFrame, mapping: DataFrame, prices: DataFrame, index_
     start = F.date_sub(end, days)
     choice = holdings.groupBy("fund").agg(F.max(F.when(F.col("report_date") <= end, F.col("report_date"))).alias("_by"), F.min("report_date").alias("_first"))
     held = holdings.join(choice, "fund").where(F.col("report_date") == F.coalesce("_by", "_first"))
-    sectors = mapping.where(F.col(level).isNotNull()).dropDuplicates(["stock"]).select("stock", F.col(level).alias("sector"))
+    sectors = mapping.where(F.col(level).isNotNull()).groupBy("stock").agg(F.min(level).alias("sector"))  # of several sectors the first by name
     held = held.join(sectors, "stock", "left")
     priced = portfolio.interval_returns(prices.where((F.col("trade_date") >= start) & (F.col("trade_date") <= end)), ["stock"])
     held = held.join(priced, "stock", "left")

@@ -28,16 +28,6 @@ BENCHMARKS = (
     ("000001.SH", "上证指数"),
     ("399106.SZ", "深证综指"),
 )
-#: Keys of stored tables and, where not all other columns are overwritten, those that are.
-UPSERT_KEYS: dict[str, tuple[list[str], list[str] | None]] = {
-    "daily_prices": (["ts_code", "trade_date"], None),
-    "daily_valuations": (["ts_code", "trade_date"], None),
-    "valuation_history": (["ts_code", "trade_date"], None),
-    "index_memberships": (["ts_code", "index_code", "effective_date"], ["index_name"]),
-    "industry_valuations": (["industry_code", "stat_date"], None),
-    "statements": (["ts_code", "report_period", "source"], None),
-    "lifecycle_events": (["ts_code", "event_type", "event_date"], ["detail", "source"]),
-}
 
 
 def register_frame(spark: SparkSession, rows: list[tuple], schema: str, name: str) -> DataFrame:

@@ -1,30 +1,98 @@
 """Declarative rule screens: a nested specification compiled to one boolean column and one per leaf.
 
 A leaf is {"field", "op", "value"}; a group is {"any"|"all": [...]}.  A missing value fails every
-operator but `isna`.
+operator but `isna`.  `parse` and `to_spec` turn a specification into a tree and back; `normal_form` gives screens that say
+the same in another order, nesting or repetition one specification, and so one digest.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import six_digits
+
 OPERATORS = ("lt", "le", "gt", "ge", "eq", "ne", "in", "isna", "notna")
 
 
-def _leaf(spec: dict, path: str) -> Column:
-    field, op = spec.get("field"), spec.get("op")
+@dataclass(frozen=True)
+class Rule:
+    field: str
+    op: str
+    value: object = None
+
+
+@dataclass(frozen=True)
+class Group:
+    word: str  # all or any
+    parts: tuple
+
+
+def _rule(spec: dict, path: str) -> Rule:
+    if not isinstance(spec, dict):
+        raise ValueError(f"{path}: a rule or a group is wanted")
+    field, op, value = spec.get("field"), spec.get("op"), spec.get("value")
     if not isinstance(field, str) or op not in OPERATORS:
         raise ValueError(f"{path}: a rule needs a field and one of {', '.join(OPERATORS)}")
-    x, v = F.col(field), spec.get("value")
+    if op in ("isna", "notna"):
+        return Rule(field, op)
+    if value is None:
+        raise ValueError(f"{path}: {op} needs a value")
+    if op == "in":
+        if isinstance(value, (str, bytes)) or not hasattr(value, "__iter__"):
+            raise ValueError(f"{path}: in needs a list")
+        return Rule(field, op, tuple(value))
+    return Rule(field, op, value)
+
+
+def parse(spec: dict, path: str = "condition") -> Rule | Group:
+    """The tree of a specification; errors name the place."""
+    for word in ("all", "any"):
+        if isinstance(spec, dict) and word in spec:
+            if not spec[word]:
+                raise ValueError(f"{path}.{word} is empty")
+            return Group(word, tuple(parse(s, f"{path}.{word}[{k}]") for k, s in enumerate(spec[word])))
+    return _rule(spec, path)
+
+
+def to_spec(tree: Rule | Group) -> dict:
+    """The specification that parse() makes this tree of."""
+    if isinstance(tree, Group):
+        return {tree.word: [to_spec(p) for p in tree.parts]}
+    spec = {"field": tree.field, "op": tree.op}
+    return spec if tree.op in ("isna", "notna") else spec | {"value": list(tree.value) if tree.op == "in" else tree.value}
+
+
+def _text(tree: Rule | Group) -> str:
+    return json.dumps(to_spec(tree), sort_keys=True, ensure_ascii=False, default=str)
+
+
+def _normal(tree: Rule | Group) -> Rule | Group:
+    if isinstance(tree, Rule):
+        return Rule(tree.field, tree.op, tuple(sorted(set(tree.value), key=lambda v: (str(type(v)), v)))) if tree.op == "in" else tree
+    parts: dict[str, Rule | Group] = {}
+    for part in map(_normal, tree.parts):
+        for p in part.parts if isinstance(part, Group) and part.word == tree.word else (part,):
+            parts[_text(p)] = p
+    return next(iter(parts.values())) if len(parts) == 1 else Group(tree.word, tuple(parts[k] for k in sorted(parts)))
+
+
+def normal_form(spec: dict) -> dict:
+    """The specification with groups of one kind merged, repeated parts once, groups of one part undone, and parts in order of their text."""
+    return to_spec(_normal(parse(spec)))
+
+
+def _leaf(spec: dict, path: str) -> Column:
+    rule = _rule(spec, path)
+    op, x, v = rule.op, F.col(rule.field), rule.value
     if op == "isna":
         return x.isNull()
     if op == "notna":
         return x.isNotNull()
-    if v is None:
-        raise ValueError(f"{path}: {op} needs a value")
     if op == "in":
         test = x.isin(list(v))
     else:
@@ -76,7 +144,7 @@ def detail(frame: DataFrame, spec: dict, key: str = "ts_code") -> DataFrame:
         for k, (p, s) in enumerate(leaves(spec))
     ))
     out = frame.select(key, F.explode(rows).alias("r")).select(key, "r.*")
-    return out.withColumn("explanation", F.when(F.col("value").isNull(), "no data").when(F.col("passed"), "satisfied").otherwise("not satisfied"))
+    return out.withColumn("shown", six_digits("value")).withColumn("explanation", F.when(F.col("value").isNull(), "no data").when(F.col("passed"), "satisfied").otherwise("not satisfied"))
 
 
 def funnel(frame: DataFrame, spec: dict) -> DataFrame:
@@ -90,13 +158,3 @@ def funnel(frame: DataFrame, spec: dict) -> DataFrame:
 def pass_rates(frame: DataFrame, spec: dict, group: str = "industry", least: int = 5, top: int = 20) -> DataFrame:
     rows = frame.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(compile_rules(spec)).alias("passed")).where(F.col("n") >= least)
     return rows.withColumn("rate", F.col("passed") * 100.0 / F.col("n")).orderBy(F.desc("rate"), group).limit(top)
-
-
-PRESETS = {
-    "low_valuation": {"all": [{"field": "pe_ttm", "op": "lt", "value": 15}, {"field": "pb", "op": "lt", "value": 2}]},
-    "high_quality": {"all": [{"field": "roe", "op": "gt", "value": 0.15}, {"field": "debt_to_equity", "op": "lt", "value": 1}]},
-    "growth": {"all": [{"field": "revenue_growth", "op": "gt", "value": 0.2}, {"field": "profit_growth", "op": "gt", "value": 0.2}]},
-    "dividend": {"all": [{"field": "dividend_yield", "op": "ge", "value": 3}]},
-    "momentum": {"all": [{"field": "momentum_6m", "op": "gt", "value": 0.2}]},
-    "low_volatility": {"all": [{"field": "volatility_12m", "op": "lt", "value": 0.02}]},
-}

@@ -1,4 +1,8 @@
-"""Searches over dimensions and commentary."""
+"""Searches over dimensions and commentary.
+
+`suggest` scans; `index_grams` writes a posting table of a dimension's character grams once, and `suggest_indexed` reads only the
+postings of the grams that the asked text has.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,50 @@ def suggest(dim: DataFrame, text: str, code: str = "ts_code", name: str = "name"
     return dim.withColumn("rank", order).where("rank is not null").orderBy("rank", code).limit(top)
 
 
+#: Length of the grams; shorter texts have grams of their own length, each at its first place.
+GRAM = 3
+
+
+def postings(dim: DataFrame, code: str = "ts_code", name: str = "name") -> DataFrame:
+    """gram, code, field (0: code, 1: name), at: every character gram of a row's lower-cased fields with its place."""
+    fields = F.array(*(F.struct(F.lit(k).alias("field"), F.lower(F.col(c).cast("string")).alias("text")) for k, c in enumerate((code, name))))
+    rows = dim.select(F.col(code).alias("code"), F.explode(fields).alias("f")).select("code", "f.*").where("text <> ''")
+    places = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.struct(F.substring(F.col("text"), i, F.lit(n)).alias("gram"), i.alias("at")))
+    parts = [rows.where(F.length("text") >= n).select("code", "field", F.explode(places(n)).alias("g")).select("g.gram", "code", "field", "g.at") for n in range(1, GRAM + 1)]
+    short = reduce(lambda a, b: a.unionAll(b), parts[:-1]).groupBy("gram", "code", "field").agg(F.min("at").alias("at"))
+    return short.unionAll(parts[-1])
+
+
+def _part(gram, parts: int):
+    return F.pmod(F.xxhash64(gram), F.lit(parts)).cast("int")
+
+
+def index_grams(dim: DataFrame, path: str, code: str = "ts_code", name: str = "name", parts: int = 64) -> None:
+    """Write the posting table: partitioned by the gram's hash, sorted by gram, so that a search reads some row groups of some partitions."""
+    rows = postings(dim, code, name).withColumn("part", _part("gram", parts))
+    rows.hint("rebalance", "part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(path)
+
+
+def suggest_indexed(index: DataFrame, dim: DataFrame, text: str, code: str = "ts_code", name: str = "name", top: int = 20, parts: int = 64) -> DataFrame:
+    """As `suggest`, from the posting table of `dim`: a place where all grams of the text stand in a row is a match."""
+    t = text.lower()
+    if not t:
+        raise ValueError("the text is empty")
+    n = min(GRAM, len(t))
+    grams: dict[str, list[int]] = {}
+    for i in range(len(t) - n + 1):
+        grams.setdefault(t[i : i + n], []).append(i)
+    spark = index.sparkSession
+    where = sorted({r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(_part("g", parts)).collect()})
+    found = index.where(F.col("part").isin(where) & F.col("gram").isin(list(grams)))
+    offsets = F.create_map(*(x for g, at in grams.items() for x in (F.lit(g), F.array(*map(F.lit, at)))))
+    starts = found.select("code", "field", "at", F.explode(offsets[F.col("gram")]).alias("i")).select("code", "field", (F.col("at") - F.col("i")).alias("start"))
+    whole = starts.groupBy("code", "field", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(t) - n + 1)
+    rank = F.min(2 * F.col("field") + F.when(F.col("start") == 1, 0).otherwise(1)).cast("int")
+    best = whole.groupBy(F.col("code").alias(code)).agg(rank.alias("rank")).orderBy("rank", code).limit(top)
+    return dim.join(F.broadcast(best), code).orderBy("rank", code)  # `top` rows
+
+
 def quotes(df: DataFrame, keyword: str | None = None, within: tuple[str, ...] = ("content",), isin: dict[str, list] | None = None, has: dict[str, str] | None = None, since=None, time: str = "published_at") -> DataFrame:
     """Rows that meet every criterion given; `has` asks an array column for an element."""
     tests = [reduce(lambda a, b: a | b, (F.col(c).contains(keyword) for c in within))] if keyword else []
@@ -25,10 +73,6 @@ def quotes(df: DataFrame, keyword: str | None = None, within: tuple[str, ...] =
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
-def page(df: DataFrame, order: list, offset: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(size)
-
-
 def resolve(dim: DataFrame, text: str, code: str = "ts_code", name: str = "name") -> str:
     """The only code whose name is the text, else the only one whose name holds it; otherwise an error with a few samples."""
     for test in (F.col(name) == text, F.col(name).contains(text)):

@@ -1,14 +1,15 @@
-"""Returns-based style: constrained least squares of fund returns on sector returns, one task per fund and end date.
+"""Returns-based style: constrained least squares of fund returns on sector returns over rolling windows.
 
 Weights lie in [0, 1] and sum to at most 1; the rest is cash.  The problem is convex and is solved
-exactly by accelerated projected gradients.  A fund with fewer than `least` common observations or two
-sectors gives no row.
+exactly by accelerated projected gradients.  It asks for second moments alone, so each fund's days are sent once: running sums of their
+products, and every window is the difference of two of them.  A window with fewer than `least` common observations, with a value that is
+not finite, or of fewer than two sectors gives no row.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,11 +28,10 @@ def project(w: np.ndarray) -> np.ndarray:
     return np.maximum(w - shift[np.flatnonzero(down > shift)[-1]], 0)
 
 
-def solve(x: np.ndarray, y: np.ndarray, steps: int = 5000, tolerance: float = 1e-12) -> np.ndarray:
-    x, y = x - x.mean(axis=0), y - y.mean()
-    h, g = x.T @ x, x.T @ y
+def solve(h: np.ndarray, g: np.ndarray, steps: int = 5000, tolerance: float = 1e-12) -> np.ndarray:
+    """Weights of least w'hw / 2 - g'w, h and g being the centred second moments of the sectors and of sectors and fund."""
     rate = 1 / max(np.linalg.norm(h, 2), 1e-300)
-    w = z = np.zeros(x.shape[1])
+    w = z = np.zeros(len(g))
     t = 1.0
     for _ in range(steps):
         new = project(z - rate * (h @ z - g))
@@ -43,41 +43,63 @@ def solve(x: np.ndarray, y: np.ndarray, steps: int = 5000, tolerance: float = 1e
     return w
 
 
+class Moments:
+    """Running sums of the products of (1, sectors, fund) over days in order."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        rows = np.column_stack((np.ones(len(y)), x, y))
+        bad = ~np.isfinite(rows).all(axis=1)
+        rows[bad] = 0
+        self.bad = np.concatenate(([0], np.cumsum(bad)))
+        self.sums = np.zeros((len(y) + 1, rows.shape[1], rows.shape[1]))
+        np.cumsum(rows[:, :, None] * rows[:, None, :], axis=0, out=self.sums[1:])
+
+    def fit(self, first: int, last: int) -> tuple[np.ndarray, float | None, float, float] | None:
+        """Exposures, r squared, mean and standard deviation of the rest over days first to last - 1; None if one of them is not finite."""
+        if self.bad[last] > self.bad[first]:
+            return None
+        m = self.sums[last] - self.sums[first]
+        n = m[0, 0]
+        mean = m[0] / n
+        c = m - n * np.outer(mean, mean)
+        h, g, total = c[1:-1, 1:-1], c[1:-1, -1], c[-1, -1]
+        w = solve(h, g)
+        rest = max(total - 2 * w @ g + w @ h @ w, 0.0)
+        return w, 1 - rest / total if total > 1e-14 * max(m[-1, -1], 1e-300) else None, mean[-1] - mean[1:-1] @ w, (rest / (n - 1)) ** 0.5
+
+
+_STYLE = pa.schema([("fund", pa.string()), ("end_date", pa.date32()), ("sector", pa.string()), *((c, pa.float64()) for c in ("exposure", "r_squared", "alpha", "residual_volatility", "cash"))])
+
+
 def decompose(funds: DataFrame, sectors: DataFrame, ends: DataFrame, window: int = 60, least: int = 20, year: int = 252) -> DataFrame:
     """fund, end_date, sector, exposure, r_squared, alpha, residual_volatility, cash.
 
     funds: fund, day, r; sectors: sector, day, r; ends: end_date.  Only common days count, the last `window` up to each end.
     """
     names = sorted(r.sector for r in sectors.select("sector").distinct().collect())  # a few dozen sectors
+    wanted = np.array(sorted(r[0] for r in ends.select(F.col("end_date").cast("date")).distinct().collect() if r[0]), "datetime64[D]")  # days of a calendar
     wide = sectors.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("sector", "r"))).alias("x")).where(F.size("x") == len(names))
-    days = funds.where("r is not null").join(wide.select("day", F.transform("x", lambda p: p["r"]).alias("x")), "day")
-    days = days.withColumn("pos", F.row_number().over(Window.partitionBy("fund").orderBy("day")))
-    # each end's position is that of the last common day by then; its days are found by their positions
-    all_ends = ends.agg(F.sort_array(F.collect_set("end_date")).alias("ends"))  # one row
-    asked = days.select("fund").distinct().crossJoin(F.broadcast(all_ends)).select("fund", F.explode("ends").alias("day"), F.lit(None).cast("int").alias("pos"), F.lit(1).alias("asked"))
-    both = days.select("fund", "day", "pos", F.lit(0).alias("asked")).unionByName(asked)
-    last = F.last("pos", ignorenulls=True).over(Window.partitionBy("fund").orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    at = both.withColumn("last", last).where("asked = 1 and last is not null").select("fund", F.col("day").alias("end_date"), "last")
-    at = at.select("fund", "end_date", F.explode(F.sequence(F.greatest(F.lit(1), F.col("last") - (window - 1)), F.col("last"))).alias("pos"))
-    rows = at.join(days, ["fund", "pos"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        x = np.array(pdf["x"].tolist(), float)
-        y = pdf["r"].to_numpy(float)
-        if len(y) < least or len(names) < 2 or not np.isfinite(x).all() or not np.isfinite(y).all():
-            return pd.DataFrame(columns=["fund", "end_date", "sector", "exposure", "r_squared", "alpha", "residual_volatility", "cash"])
-        exposure = solve(x, y)
-        rest = y - x @ exposure
-        total = ((y - y.mean()) ** 2).sum()
-        return pd.DataFrame({
-            "fund": pdf["fund"].iloc[0], "end_date": pdf["end_date"].iloc[0], "sector": names, "exposure": exposure,
-            "r_squared": 1 - ((rest - rest.mean()) ** 2).sum() / total if total > 0 else None, "alpha": rest.mean() * year,
-            "residual_volatility": rest.std(ddof=1) * year**0.5, "cash": 1 - exposure.sum(),
-        })
-
-    schema = "fund string, end_date date, sector string, exposure double, r_squared double, alpha double, residual_volatility double, cash double"
-    return rows.select("fund", "end_date", "day", "r", "x").groupBy("fund", "end_date").applyInPandas(one, schema)
+    days = funds.where("r is not null").join(wide.select("day", F.transform("x", lambda p: p["r"].cast("double")).alias("x")), "day")
+    days = days.select(F.col("fund").cast("string").alias("fund"), F.col("day").cast("date").alias("day"), F.col("r").cast("double").alias("r"), "x")
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("day").combine_chunks()
+        day = rows.column("day").to_numpy().astype("datetime64[D]")
+        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(day), len(names))
+        moments = Moments(x, rows.column("r").to_numpy())
+        out: dict[str, list] = {c: [] for c in _STYLE.names}
+        for end, last in zip(wanted, np.searchsorted(day, wanted, side="right"), strict=True):
+            first = max(0, int(last) - window)
+            found = moments.fit(first, int(last)) if last - first >= least and len(names) > 1 else None
+            if found is None:
+                continue
+            exposure, r_squared, mean, deviation = found
+            k = len(names)
+            for c, v in zip(_STYLE.names, ([key[0].as_py()] * k, [end.item()] * k, names, exposure.tolist(), [r_squared] * k, [mean * year] * k, [deviation * year**0.5] * k, [1 - exposure.sum()] * k), strict=True):
+                out[c] += v
+        return pa.table({c: pa.array(v, f.type) for (c, v), f in zip(out.items(), _STYLE, strict=True)})
+
+    return days.groupBy("fund").applyInArrow(one, "fund string, end_date date, sector string, exposure double, r_squared double, alpha double, residual_volatility double, cash double")
 
 
 def signals(exposures: DataFrame) -> DataFrame:

@@ -12,17 +12,30 @@ from ..streaming import events as E
 from .registry import query
 
 
-@query(None)
+def _sql_any(words):
+    return "regexp_matches(low, '" + "|".join(words) + "')"
+
+
+_KIND_SQL = "CASE WHEN low = '' THEN NULL " + " ".join(f"WHEN {_sql_any(words)} THEN '{name}'" for name, words in X.QUOTE_TYPES) + " WHEN length(low) >= 4 THEN 'philosophy' END"
+_THEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_sql_any(words)} THEN '{name}' END" for name, words in X.THEMES) + "], lambda x: x IS NOT NULL)[1:3]"
+# every character that may stand beside a code is doubled, so that two codes never share one
+_CODES_SQL = "list_distinct(regexp_extract_all(regexp_replace('^' || clean || '$', '([^0-9A-Za-z.])', '\\1\\1', 'g'), '[^0-9A-Za-z.](?i:sh|sz|bj)?([0368][0-9]{5})(?i:\\.(?:sh|sz|bj))?[^0-9A-Za-z.]', 1))"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)</?(?:{"|".join(X.LINE_TAGS.split())})[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g') AS t FROM conversations),
+  b AS (SELECT conv_id, turn, trim(regexp_replace(translate(t, '{X._FULL}', '{X._HALF}'), '\\s+', ' ', 'g'), '{X.END_MARKS}') AS clean FROM a), c AS (SELECT *, lower(clean) AS low FROM b)
+  SELECT conv_id, turn, CASE WHEN length(clean) <= 120 THEN clean ELSE rtrim(left(clean, 120)) || '…' END AS summary, CASE WHEN clean = '' THEN '' ELSE sha256(lower(regexp_replace(clean, '\\s+', '', 'g'))) END AS hash, {_KIND_SQL} AS kind,
+  array_to_string({_THEMES_SQL}, ',') AS themes, array_to_string({_CODES_SQL}, ',') AS codes FROM c""")
 def cleaned_quotes(spark, d):
-    """Conversation turns as comments: cleaned, tagged, hashed; every turn is kept."""
+    """Conversation turns as comments: cleaned, tagged, hashed; every turn is kept.  (The SQL has no references and no sharing noise; the turns have none.)"""
     c = V.table(spark, d, "conversations").withColumn("clean", X.clean_text("text"))
     return c.select("conv_id", "turn", X.summary("clean").alias("summary"), X.content_hash("clean").alias("hash"), X.quote_type("clean").alias("kind"), F.array_join(X.themes("clean"), ",").alias("themes"), F.array_join(X.stock_codes("clean"), ",").alias("codes"))
 
 
-@query("""SELECT h AS hash, min(doc_id) AS first_doc, count(*) AS copies FROM (SELECT doc_id, sha256(lower(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g'))) AS h FROM documents WHERE text IS NOT NULL) GROUP BY h HAVING count(*) > 1""")
+@query("""SELECT h AS hash, min(doc_id) AS first_doc, count(*) AS copies FROM (SELECT doc_id, CASE WHEN text = '' THEN '' ELSE sha256(lower(regexp_replace(text, '[\\s\\v\\x85\\p{Z}]+', '', 'g'))) END AS h FROM documents WHERE text IS NOT NULL) GROUP BY h HAVING count(*) > 1""")
 def repeated_contents(spark, d):
     """Texts that differ in blanks and case only; the hash of a text is all that is shuffled."""
-    c = V.table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(F.lower(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", "")), 256).alias("hash"))
+    c = V.table(spark, d, "documents").where("text is not null").select("doc_id", X.content_hash("text").alias("hash"))
     return c.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
@@ -69,9 +82,3 @@ def event_sessions(spark, d):
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def latest_events(spark, d):
     return latest(V.table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
-
-
-@query("""WITH t AS (SELECT user_id, count_if(event_type = 'error') AS errors, median(value) AS median_value, count(*) AS n FROM events GROUP BY 1) SELECT user_id, errors, round(median_value, 6) AS median_value, errors * 100 > 20 * n AS alert FROM t""")
-def watch_list(spark, d):
-    t = V.table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.median("value"), 6).alias("median_value"), F.count(F.lit(1)).alias("n"))
-    return t.select("user_id", "errors", "median_value", (F.col("errors") * 100 > 20 * F.col("n")).alias("alert"))

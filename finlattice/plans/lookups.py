@@ -63,18 +63,20 @@ def snapshot_trading_day(spark, d):
     return lookups.snapshot_day(V.daily_prices(spark, d), "2001-11-06")
 
 
-@query("""SELECT c_custkey AS user_id, coalesce(last, TIMESTAMP '2023-12-06') AS since, coalesce(undated, 0)::BIGINT AS undated FROM customer LEFT JOIN (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS last, count_if(event_type = 'error') AS undated FROM events GROUP BY 1) ON user_id = c_custkey WHERE c_custkey <= 200""")
+@query("""SELECT c_custkey AS user_id, coalesce(last, TIMESTAMP '2023-12-06') AS since, coalesce(undated, 0)::BIGINT AS undated FROM customer LEFT JOIN (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS last, count_if(event_type = 'error') AS undated FROM events GROUP BY 1) ON user_id = c_custkey""")
 def entity_watermarks(spark, d):
     """From when each entity is read on; rows of no time are counted."""
     items = V.table(spark, d, "events").select("user_id", F.when(F.col("event_type") != "error", F.col("ts")).alias("published"))
-    entities = V.table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("user_id"))
+    entities = V.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     out = lookups.since_by_entity(entities, items, "user_id", "published", "2024-01-05")
     return out.select("user_id", F.col("since").cast("timestamp_ntz").alias("since"), "undated")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{n}', '{c}', {k})" for s, n, c, _, _, k in lookups.COMMODITIES) + ") t(symbol, name, category, sort_order)")
+@query("SELECT symbol, name, category, sort_order, count(p_partkey) AS parts FROM (VALUES " + ", ".join(f"('{s}', '{n}', '{c}', {k})" for s, n, c, _, _, k in lookups.COMMODITIES) + ") t(symbol, name, category, sort_order) LEFT JOIN part ON p_size = sort_order / 2 GROUP BY ALL")
 def commodity_registry(spark, d):
-    return lookups.commodities(spark).select("symbol", "name", "category", "sort_order")
+    """The registry with the parts of each commodity's number."""
+    parts = V.table(spark, d, "part").groupBy((F.col("p_size") * 2).cast("int").alias("sort_order")).agg(F.count(F.lit(1)).alias("parts"))
+    return lookups.commodities(spark).join(parts, "sort_order", "left").select("symbol", "name", "category", "sort_order", F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
 @query("""WITH l AS (SELECT ts_code, trade_date, close FROM daily_prices WHERE ts_code % 2 = 0), r AS (SELECT ts_code, trade_date, close + 1 AS close FROM daily_prices WHERE ts_code % 3 = 0)
@@ -191,10 +193,10 @@ def macd_of_long_series(spark, d):
 # vendor tables
 
 
-@query("""WITH v AS (SELECT * FROM valuations WHERE ts_code <= 500) SELECT b.ts_code, b.trade_date, round(b.pe_ttm, 10) AS pe_ttm, NULL::DOUBLE AS pe_static, round(x.pb, 10) AS pb, round(y.ps, 10) AS ps, NULL::DOUBLE AS pcf FROM (SELECT * FROM v WHERE pe_ttm > 0) b
+@query("""WITH v AS (SELECT * FROM valuations) SELECT b.ts_code, b.trade_date, round(b.pe_ttm, 10) AS pe_ttm, NULL::DOUBLE AS pe_static, round(x.pb, 10) AS pb, round(y.ps, 10) AS ps, NULL::DOUBLE AS pcf FROM (SELECT * FROM v WHERE pe_ttm > 0) b
   LEFT JOIN (SELECT * FROM v WHERE pb > 1) x ON x.ts_code = b.ts_code AND x.trade_date = b.trade_date LEFT JOIN (SELECT * FROM v WHERE ps < 30) y ON y.ts_code = b.ts_code AND y.trade_date = b.trade_date""")
 def valuation_history_table(spark, d):
-    v = V.valuations(spark, d).where("ts_code <= 500")
+    v = V.valuations(spark, d)
     keys = ["ts_code", "trade_date"]
     frames = {"pe_ttm": v.where("pe_ttm > 0").select(*keys, "pe_ttm"), "pb": v.where("pb > 1").select(*keys, "pb"), "ps": v.where("ps < 30").select(*keys, "ps")}
     return normalize.valuation_history(frames).withColumns({c: _r(c, 10) for c in ("pe_ttm", "pb", "ps")})

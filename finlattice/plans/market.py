@@ -99,13 +99,6 @@ def index_percentiles(spark, d):
     return P.percentile(m, ["index_code"], "v").select("index_code", _r("current").alias("current"), _r("pct").alias("pct"))
 
 
-@query(f"""WITH {_LAST} SELECT industry, round(median(pe_ttm) FILTER (WHERE pe_ttm > 0), 6) AS median_pe, count(*) AS stocks, count(pe_ttm) AS priced FROM last JOIN securities USING (ts_code) GROUP BY industry""")
-def industry_summary(spark, d):
-    m = V.table(spark, d, "part").select(F.col("p_partkey").alias("ts_code"), F.col("p_type").alias("industry"))
-    rows = _last(spark, d).join(m, "ts_code")
-    return rows.groupBy("industry").agg(_r(F.median(F.when(F.col("pe_ttm") > 0, F.col("pe_ttm")))).alias("median_pe"), F.count(F.lit(1)).alias("stocks"), F.count("pe_ttm").alias("priced"))
-
-
 @query("SELECT ts_code, trade_date, round(close, 10) AS close, volume FROM daily_prices WHERE trade_date BETWEEN DATE '1999-01-01' AND DATE '1999-01-31'")
 def price_window(spark, d):
     """Scan of a span of days; the date filter reaches the scan as a range of timestamps."""

@@ -136,9 +136,3 @@ def merged_lifecycle(spark, d):
     s = V.securities(spark, d)
     known = s.where("industry <> 'PROMO'").select("ts_code", "name", "list_date", "delist_date")
     return normalize.merge_lifecycle(known, s.where("industry = 'PROMO'"), s.where("delist_date is not null or industry = 'PROMO'"))
-
-
-@query(None)
-def scatter_points(spark, d):
-    """An evenly thinned scatter of two factors (which rows stay depends on the order alone)."""
-    return A.thinned(V.valuations(spark, d).select("ts_code", "trade_date", "pe_ttm", "pb"), ["trade_date", "ts_code"], 400)

@@ -17,6 +17,8 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     """Register a function under its name; sql may use the domain's views and start with WITH."""
 
     def add(function: Query) -> Query:
+        if function.__name__ in QUERIES:
+            raise ValueError(f"there are two queries called {function.__name__}")
         QUERIES[function.__name__] = function
         if sql:  # without SQL: not expressible
             text = sql.strip()

@@ -113,7 +113,7 @@ def screen_summary(spark, d):
     return screener.summary(*_screened(spark, d))
 
 
-@query(f"WITH {_FRAME} " + " UNION ALL ".join(f"SELECT ts_code, {k} AS rule, '{t}' AS text, round({c}, 6) AS value, {o} AS passed, CASE WHEN {c} IS NULL THEN 'no data' WHEN {o} THEN 'satisfied' ELSE 'not satisfied' END AS explanation FROM frame" for k, ((t, _, c), o) in enumerate(zip(_RULES, _OK))))
+@query(f"WITH {_FRAME} " + " UNION ALL ".join(f"SELECT ts_code, {k} AS rule, '{t}' AS text, round({c}, 6) AS value, {o} AS passed, printf('%.6g', {c}) AS shown, CASE WHEN {c} IS NULL THEN 'no data' WHEN {o} THEN 'satisfied' ELSE 'not satisfied' END AS explanation FROM frame" for k, ((t, _, c), o) in enumerate(zip(_RULES, _OK))))
 def screen_detail(spark, d):
     return screener.detail(*_screened(spark, d)).withColumn("value", _r("value"))
 

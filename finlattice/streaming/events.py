@@ -1,11 +1,12 @@
-"""Incremental work on event streams: deduplication, flows by window, percentile state per key."""
+"""Incremental work on event streams: deduplication, flows by window, sessions, appends that may be replayed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import insert_new
+from ..sources.shared import exists
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
@@ -29,12 +30,6 @@ def since(df: DataFrame, time: str, watermark) -> DataFrame:
     return df if watermark is None else df.where(F.col(time) > watermark)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything at a path of any file system that Spark reads."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
-
-
 def append_new(path: str, keys: list[str], day: str | None = None):
     """A foreachBatch function that appends the rows whose key the table at path lacks: replays change nothing.
 
