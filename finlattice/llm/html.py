@@ -3,12 +3,13 @@
 Every page is parsed once, in linear time, into its boxes (elements that start a line of their own) and text blocks.
 A box is known by its style path (tag, class and id of itself and all boxes around it, hashed step by step),
 and pages of one host are merged along these paths into the site's tree.  Pages with the same texts are one body.
-Each node of the tree has two entropies over the site's bodies, as a share of the most possible: of its
-presentation (the styles of the elements in it) and of its own texts.  They are summed up the tree, so that a
-branch has the importance of all that it holds; a few texts of full importance smooth it.  Branches
-of low importance in which no text is important are cut from every page of the host, and so is a single text that
-most bodies of the site repeat.  Elements that say themselves that they are no article (nav, footer, class ad
-and so on) go by their name, as few pages of a host cannot tell them by entropy.
+Each node of the tree is judged over all bodies of the site: its presentation by the entropy of the styles in it, its texts by the
+larger of their entropy and of the mean of 1 - ln(bodies that hold a text), both as a share of ln(bodies of the site).  So a
+text of one body is important however rare its node is, and so are many different texts that near copies share; a few
+texts that the site's pages choose from are not.  Importance is summed up the tree, so that a branch has that of all it
+holds.  Branches of low importance in which no node's texts are important are cut from every page of the host, and so is a
+single text that most bodies of the site repeat.  What the tree leaves goes by its name where that says that it is no article (nav,
+footer, class ad and so on), as words of a page's own in such places cannot be told by entropy.
 
 Defined results: a null or empty page has an empty text; a null url is one site of its own; null ids
 are returned as null; repeated rows give repeated results (and are one body of their site); pages nested
@@ -45,6 +46,8 @@ _WORDS = frozenset(
     "footer cookie cookies consent gdpr banner popup modal newsletter subscribe subscription signup login comment comments disqus respond reply replies "
     "recommended recommendations widget toolbar pagination pager skip alert alerts disclaimer announcement toast overlay teaser toc".split()
 )
+# Words of these that articles also use of their own parts, such as a lead or a list of sections.
+_OF_ARTICLES = frozenset("teaser toc announcement disclaimer widget overlay skip".split())
 _MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?])")
 _IN_TAG = re.compile(r"=\s*[\"']|>")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -57,9 +60,9 @@ _MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class StyleTreeSettings:
-    prior: float = 2.0  # texts of full importance added to each branch, and bodies without its texts added to each site
-    presentation: float = 0.1  # weight of one body's presentation beside one text
-    least_importance: float = 0.3  # of a branch
+    prior: float = 2.0  # bodies without the texts in question, added to each site
+    presentation: float = 0.1  # weight of a node's presentation beside one text
+    least_importance: float = 0.45  # of a branch
     most_share: float = 0.5  # of a site's bodies that may hold the same text
 
 
@@ -211,7 +214,7 @@ class Page:
         words = set(_SPLIT.split(names))
         bad = top.bad or tag in _NOT_ARTICLE or role in _ROLES or (top.inside < 2 and tag == "header")
         # an article is marked by a whole name only (a card's `teaser`, not `comments-open`), body and main by none
-        marked = not bad and tag not in ("body", "main") and bool((set(names.split()) if tag == "article" else words) & _WORDS)
+        marked = not bad and tag not in ("body", "main") and bool((set(names.split()) if tag == "article" else words) & (_WORDS if top.inside < 2 else _WORDS - _OF_ARTICLES))
         marked |= not bad and tag not in ("body", "main", "article") and top.inside < 2 and "header" in words
         mark = top.mark
         if marked:
@@ -318,9 +321,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _entropy(sum_n_ln_n, n):
-    """Of counts with sum n, as a share of ln n; 1 where n is 1."""
-    return 1 - F.coalesce(F.try_divide(sum_n_ln_n, n * F.ln(n)), F.lit(0.0))
+def _share(sum_n_ln_n, n, bodies):
+    """Entropy of counts with sum n, as a share of ln(bodies); 1 at most."""
+    return F.least(F.lit(1.0), (F.ln(n) - sum_n_ln_n / n) / F.ln(bodies))
 
 
 def importance(parsed: DataFrame, settings: StyleTreeSettings) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -341,19 +344,20 @@ def importance(parsed: DataFrame, settings: StyleTreeSettings) -> tuple[DataFram
     at = F.arrays_zip(F.transform("boxes", lambda b: F.get("paths", b)).alias("node"), F.col("contents").alias("content"))
     text = bodies.select("site", F.explode(F.array_distinct(at)).alias("z")).select("site", "z.node", "z.content")
     texts = keep(text.groupBy("site", "node", "content").agg(F.count(F.lit(1)).alias("n")), "contents")
-    contents = texts.groupBy("site", "node").agg(F.sum("n").alias("w"), n_ln_n.alias("c"))
-    tree = looks.join(contents, ["site", "node"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    own = F.when(F.col("w") > 0, _entropy(F.col("c"), F.col("w")))
-    weight = settings.presentation * F.col("m")
+    pages = bodies.groupBy("site").agg((F.count(F.lit(1)) + settings.prior).alias("bodies"))  # a row per site
+    counted = texts.join(pages, "site")
+    rare = F.avg(1 - F.ln("n") / F.ln("bodies"))
+    contents = counted.groupBy("site", "node").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"), n_ln_n.alias("c"), rare.alias("rare"))
+    tree = looks.join(pages, "site").join(contents, ["site", "node"], "left")
+    own = F.when(F.col("k") > 0, F.greatest("rare", _share(F.col("c"), F.col("w"), F.col("bodies"))))
+    look = F.when(F.col("m") == 1, 1.0).otherwise(_share(F.col("l"), F.col("m"), F.col("bodies")))
     tree = tree.select(
-        "site", "node", "up", (F.coalesce(own * F.col("w"), F.lit(0.0)) + weight * _entropy(F.col("l"), F.col("m"))).alias("s"), (F.col("w") + weight).alias("t"), F.coalesce(own, F.lit(0.0)).alias("most")
+        "site", "node", "up", (F.coalesce(own * F.col("k"), F.lit(0.0)) + settings.presentation * look).alias("s"), (F.coalesce("k", F.lit(0)) + settings.presentation).alias("t"), F.coalesce(own, F.lit(0.0)).alias("most")
     )
     tree = _sum_up(keep(tree, "tree"))
-    pages = bodies.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    repeated = texts.join(pages, "site").where(F.col("n") > settings.most_share * (F.col("pages") + settings.prior))
-    smoothed = (F.col("s") + settings.prior) / (F.col("t") + settings.prior)
+    repeated = counted.where(F.col("n") > settings.most_share * F.col("bodies"))
     keys = repeated.select("site", F.col("node").bitwiseXOR(F.col("content")).alias("key")).distinct()
-    return tree.select("site", "node", smoothed.alias("importance"), "most"), keys, [bodies, texts, tree]
+    return tree.select("site", "node", (F.col("s") / F.col("t")).alias("importance"), "most"), keys, [bodies, texts, tree]
 
 
 def _sum_up(tree: DataFrame) -> DataFrame:
@@ -372,7 +376,7 @@ def _sum_up(tree: DataFrame) -> DataFrame:
     return tree
 
 
-_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.int64()), ("n_named", pa.int64())])
+_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.int64()), ("n_named", pa.int64()), ("n_tree", pa.int64())])
 
 
 def _prune(batches):
@@ -384,16 +388,16 @@ def _prune(batches):
             cut, gone = set(cut or ()), []
             for path, parent in zip(paths, parents, strict=True):
                 gone.append(path in cut or (parent >= 0 and gone[parent]))
-            left = [t for t, b, c in zip(texts, boxes, contents, strict=True) if t is not None and not gone[b] and paths[b] ^ c not in cut]
+            stay = [t for t, b, c in zip(texts, boxes, contents, strict=True) if not gone[b] and paths[b] ^ c not in cut]
+            text = "\n".join(t for t in stay if t is not None)
             n_named = texts.count(None)
-            text = "\n".join(left)
-            rows.append((page_id, url, text, len(text), len(texts) - n_named - len(left), n_named))
+            rows.append((page_id, url, text, len(text), len(texts) - n_named - len(stay) + stay.count(None), n_named, len(texts) - len(stay)))
         if rows:
             yield _batch(rows, _RESULT)
 
 
 def extract(pages: DataFrame, settings: StyleTreeSettings = StyleTreeSettings(), most_broadcast: int = 200_000) -> DataFrame:
-    """page_id, url, text, n_chars, n_removed (blocks cut by the style tree), n_named (blocks cut by a name) per page."""
+    """page_id, url, text, n_chars, n_removed (blocks cut by the style tree alone), n_named (blocks of a telling name), n_tree (all that the tree cuts) per page."""
     parsed = keep(parse(pages), "parsed")
     tree, repeated, read = importance(parsed, settings)
     dull = (F.col("importance") < settings.least_importance) & (F.col("most") < settings.least_importance)
@@ -404,4 +408,4 @@ def extract(pages: DataFrame, settings: StyleTreeSettings = StyleTreeSettings(),
     keys = F.zip_with(F.transform("boxes", lambda b: F.get("paths", b)), "contents", lambda a, b: a.bitwiseXOR(b))
     cut = F.when(F.col("noise").isNotNull(), F.array_intersect("noise", F.concat("paths", keys)))
     joined = parsed.join(noise, "site", "left").select("page_id", "url", "paths", "parents", "boxes", "contents", "texts", cut.alias("cut"))
-    return joined.mapInArrow(_prune, "page_id long, url string, text string, n_chars long, n_removed long, n_named long")
+    return joined.mapInArrow(_prune, "page_id long, url string, text string, n_chars long, n_removed long, n_named long, n_tree long")

@@ -623,7 +623,7 @@ def brute_style_tree(pages, settings):
         chosen = ([c for _, _, c in page.blocks], page.paths, page)
         if body not in sites[site] or chosen[:2] < sites[site][body][:2]:
             sites[site][body] = chosen
-    entropy = lambda counts: 1.0 if sum(counts) < 2 else 1 - sum(n * np.log(n) for n in counts) / (sum(counts) * np.log(sum(counts)))
+    entropy = lambda counts, b: min(1.0, -sum(n / sum(counts) * np.log(n / sum(counts)) for n in counts) / np.log(b))
     cut, texts = set(), set()
     for site, bodies in sites.items():
         looks, contents, children = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
@@ -642,14 +642,15 @@ def brute_style_tree(pages, settings):
                 if contents[path][content] > settings.most_share * (len(bodies) + settings.prior):
                     texts.add((site, path, content))
 
-        def branch(node, looks=looks, contents=contents, children=children):
-            own = entropy(contents[node].values()) if contents[node] else 0.0
-            w, m = sum(contents[node].values()), settings.presentation * sum(looks[node].values())
-            s, t, most = own * w + m * entropy(looks[node].values()), w + m, own
+        def branch(node, looks=looks, contents=contents, children=children, n_bodies=len(bodies)):
+            counts, styles, b = list(contents[node].values()), list(looks[node].values()), n_bodies + settings.prior
+            own = max(np.mean([1 - np.log(n) / np.log(b) for n in counts]), entropy(counts, b)) if counts else 0.0
+            look = 1.0 if sum(styles) == 1 else entropy(styles, b)
+            s, t, most = own * len(counts) + settings.presentation * look, len(counts) + settings.presentation, own
             for child in children[node]:
                 s2, t2, most2 = branch(child)
                 s, t, most = s + s2, t + t2, max(most, most2)
-            if (s + settings.prior) / (t + settings.prior) < settings.least_importance and most < settings.least_importance:
+            if s / t < settings.least_importance and most < settings.least_importance:
                 cut.add((site, node))
             return s, t, most
 
@@ -756,3 +757,26 @@ def test_pipeline(spark, sf):
     assert {i: n - removed[i] for i, n in once.items() if n > removed[i]} == {i: len(r.text.split()) for i, r in found.items()}
     packed = stages["best-fit packing"](spark, cut, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(found)
+
+
+def test_leads_and_contents_of_an_article_stay(spark):
+    page = "<body><div class=teaser>elsewhere</div><article><p class=teaser>The lead words</p><div class='toc widget'>Part one</div><p>Body</p><div class=ad>Buy</div></article></body>"
+    assert html.extract(spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")).first().text == "The lead words\nPart one\nBody"
+
+
+def test_near_copies_of_a_short_site_stay(spark):
+    """Three pages of a host that share all paragraphs but one: many different texts, so no template."""
+    rows = [(k, f"http://a.example/{k}", "<body><div>" + "".join(f"<p>{prose(4000 + j, 15)}</p>" for j in range(8)) + f"<p>{prose(k, 15)}</p></div></body>") for k in range(3)]
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), html.StyleTreeSettings(most_share=1.0)).collect()
+    assert all(r.text.count("\n") == 8 and r.n_removed == 0 for r in out)
+
+
+def test_the_tree_decides_on_templates_without_telling_names(spark):
+    """Rails that pages choose from a few links: cut though nothing in their names says so, on every page that has one."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        links = "".join(f"<li>{w}</li>" for w in rng.sample(["Home", "News", "About", "Contact"], 2)) if k % 2 else ""
+        rows.append((k, f"http://b.example/{k}", f"<body><div class=x><p>{prose(k, 30)}</p></div><div class=y><ul>{links}</ul></div></body>"))
+    out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == prose(r.page_id, 30) and r.n_removed == 2 * (r.page_id % 2) and r.n_named == 0 for r in out)
