@@ -50,9 +50,9 @@ class Container:
         """Codes are distinct."""
         at = 0
         while at < len(codes):
-            if 4 * self.n > len(self.codes):
+            if 8 * self.n > 3 * len(self.codes):
                 held, number = self.items()
-                self.codes, self.counts, self.n = np.full(4 * len(self.codes), _FREE), np.zeros(4 * len(self.codes), np.int64), 0
+                self.codes, self.counts, self.n = np.full(2 * len(self.codes), _FREE), np.zeros(2 * len(self.codes), np.int64), 0
                 self._put(held, number)
             room = len(self.codes) // 2 - self.n
             self._put(codes[at : at + room], counts[at : at + room])
@@ -242,7 +242,7 @@ def _runs(spilled, n: int, words: Dictionary):
         phrase = names.take(numbers[0])
         if n > 1:
             phrase = pc.binary_join_element_wise(phrase, *(names.take(k) for k in numbers[1:]), " ")
-        table = pa.table({"lang": langs.take(numbers[0]), "phrase": phrase, "n": pa.array(counts)}).sort_by([("lang", "ascending"), ("phrase", "ascending")])
+        table = pa.table({"lang": langs.take(numbers[0]), "phrase": phrase, "n": pa.array(counts)}).sort_by([("phrase", "ascending"), ("lang", "ascending")])
         yield from table.combine_chunks().to_batches()
         pa.default_memory_pool().release_unused()
 
@@ -295,7 +295,7 @@ def _counted(n: int, filter_: Broadcast | None):
 
 
 def _merge(batches):
-    """Sums of a stream sorted by lang and phrase."""
+    """Sums of a stream sorted by phrase and lang."""
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -312,12 +312,12 @@ def _merge(batches):
         yield held
 
 
-def phrase_counts(docs: DataFrame, n: int, filter_: Broadcast | None = None) -> DataFrame:
-    """lang, phrase, n: the phrases of n words (joined by a space) whose parts of n - 1 words pass the filter."""
+def phrase_counts(docs: DataFrame, n: int, filter_: Broadcast | None = None, least: int = 1) -> DataFrame:
+    """lang, phrase, n: the phrases of n words (joined by a space) that occur so often and whose parts of n - 1 words pass the filter."""
     slim = docs.selectExpr("cast(lang as string) lang", "cast(text as string) text")
     runs = keep(slim.mapInArrow(_counted(n, filter_), "lang string, phrase string, n long"), "runs")
-    spread = runs.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
-    merged = keep(spread.mapInArrow(_merge, "lang string, phrase string, n long"), "phrases")
+    spread = runs.repartitionByRange("phrase", "lang").sortWithinPartitions("phrase", "lang")  # Spark's sort sees the first bytes of the first column
+    merged = keep(spread.mapInArrow(_merge, "lang string, phrase string, n long").where(F.col("n") >= least), "phrases")
     drop(runs)
     return merged
 
@@ -352,9 +352,9 @@ def collocations(docs: DataFrame, least: int = 10, within_percent: int = 50, top
     enough = F.col("n") >= least
     one = words.where(enough).select("lang", "phrase", F.col("n").alias("a"))
     map1 = send(frequent_bits(one))
-    two = keep(phrase_counts(docs, 2, map1).where(enough).select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w")), "two")
+    two = phrase_counts(docs, 2, map1, least).select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     map2 = send(frequent_bits(two))
-    three = keep(phrase_counts(docs, 3, map2).where(enough).select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w")), "three")
+    three = phrase_counts(docs, 3, map2, least).select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     map1.unpersist()
     map2.unpersist()
 

@@ -155,7 +155,7 @@ def test_runs_of_tries_that_burst_and_spill(monkeypatch, n, chunk, burst, most):
     got, runs = Counter(), 0
     for run in C._counted(n, everything if n > 1 else None)([batch, batch]):
         keys = list(zip(run["lang"].to_pylist(), [p.encode() for p in run["phrase"].to_pylist()], strict=True))
-        assert keys == sorted(set(keys))
+        assert keys == sorted(set(keys), key=lambda k: k[::-1])
         runs += 1
         for k, c in zip(keys, run["n"].to_pylist(), strict=True):
             got[k] += c
