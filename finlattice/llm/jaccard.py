@@ -10,11 +10,12 @@ then probed, each by binary search in the other's sorted shingles, and the candi
 1. Documents of equal sets are one class; its smallest id stands for it.
 2. Short lists are range-partitioned and sorted by shingle and size, so that a very common shingle is many
    tasks; ids that share a list with a partner of possible size stay.
-3. In each list every document is paired with the likeliest of the few before it (by size and by sketch), and of these partners
-   it keeps the one of most lists.  These pairs are probed; the links found give components.
+3. To begin with, one partner a document: in each list the likeliest of the few before it (by size and by sketch) and of these the one
+   of most lists.  The occurrences of these pairs are counted over all their short lists; those that occur in H are probed, in the long
+   lists alone, and the links found give components.
 4. Lists whose documents are all in one component have nothing more to tell.  The others are merged in full: pairs of different components
    and possible size, whose sketches (parities of 512 places) differ in no more bits than the sets may differ in, are counted over all lists, and
-   those that occur often enough are probed.  A list longer than `tile` is cut into tiles of pairs of blocks.
+   those that occur often enough are probed in the same way.  A list longer than `tile` is cut into tiles of pairs of blocks.
 
 Every link between different components is found, so components are exact; links inside a component
 are not counted.  Defined results: a null or empty text, or one without a word, has no shingles and is
@@ -234,9 +235,22 @@ def _candidates(lists_of: DataFrame, percent: int, tile: int) -> DataFrame:
     name = F.concat_ws("/", F.col("token").cast("string"), F.when(F.col("blocks") > 1, tile_name)).cast("binary")
     rows = rows.select(name.alias("list"), "doc_id", "n", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch", "component")
     pairs = rows.repartition("list").sortWithinPartitions("list", "n", "doc_id").mapInArrow(_merged(percent), "u long, v long, nu long, nv long")
-    need = lambda n: F.least(F.floor((percent * F.col(n) + 99) / 100), 1 + F.floor(F.col(n) / 50))  # noqa: E731  hits()
     counts = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
-    return counts.where(F.col("shared") >= F.least(need("nu"), need("nv"))).select("u", "v", "shared")
+    return counts.where(_often_enough(percent)).select("u", "v", "shared")
+
+
+def _often_enough(percent: int):
+    """Whether a pair (shared, nu, nv) occurs in the short lists that it must occur in; see hits()."""
+    need = lambda n: F.least(F.floor((percent * F.col(n) + 99) / 100), 1 + F.floor(F.col(n) / 50))
+    return F.col("shared") >= F.least(need("nu"), need("nv"))
+
+
+def _counted(pairs: DataFrame, lists_of: DataFrame, percent: int) -> DataFrame:
+    """u, v, shared of the pairs (u, v) that occur together in enough short lists: all that they share, not those that they were met in."""
+    side = lambda name: lists_of.select(F.col("doc_id").alias(name), F.col("n").alias(f"n{name}"), F.col("lists").alias(f"l{name}"))
+    joined = pairs.join(side("v").hint("merge"), "v").join(side("u").hint("merge"), "u")
+    counts = joined.select("u", "v", "nu", "nv", F.size(F.array_intersect("lu", "lv")).cast("long").alias("shared"))
+    return counts.where(_often_enough(percent)).select("u", "v", "shared")
 
 
 _SENT = pa.schema([("u", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("self", pa.bool_()), ("shared", pa.int64()), ("shingles", pa.binary()), ("long", pa.binary()), ("end_level", pa.int64()), ("end_hash", pa.int64())])
@@ -257,10 +271,7 @@ def _compare(percent: int):
                         now, own = (key_u, part), row
                     continue
                 query, other = (own, row) if own[2] <= row[2] else (row, own)
-                if shared is None:  # pairs from neighbours: short lists are probed as well
-                    shared, probes = 0, query[0]
-                else:
-                    probes = query[0][np.unpackbits(np.frombuffer(query[1], np.uint8), count=len(query[0])).astype(bool)]
+                probes = query[0][np.unpackbits(np.frombuffer(query[1], np.uint8), count=len(query[0])).astype(bool)]
                 at = np.minimum(np.searchsorted(other[0], probes), len(other[0]) - 1)
                 both = shared + int((other[0][at] == probes).sum())
                 if 100 * both >= percent * (len(query[0]) + len(other[0]) - both):
@@ -272,7 +283,7 @@ def _compare(percent: int):
 
 
 def probe(docs: DataFrame, pairs: DataFrame, width: int, percent: int, levels, fan_in: int = 512) -> DataFrame:
-    """The pairs (u, v; shared: occurrences in short lists, null if not counted) whose sets are similar.
+    """The pairs (u, v; shared: occurrences in the short lists of both) whose sets are similar.
 
     u's shingles are sent to as many tasks as its number of partners asks for.
     """
@@ -328,18 +339,18 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -
 
     near = _list_rows(lists_of).repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id")
     pairs = near.mapInArrow(_nearest(percent), "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
-    pairs = pairs.groupBy("v").agg(F.max(F.struct("lists", "u"))["u"].alias("u"))  # one partner each: the one of most lists
-    pairs = keep(pairs.select("u", "v", F.lit(None).cast("long").alias("shared")), "pairs")
+    met = keep(pairs.groupBy("v").agg(F.max(F.struct("lists", "u"))["u"].alias("u")).select("u", "v"), "met")  # one partner each: the one of most lists
+    pairs = keep(_counted(met, lists_of, percent), "pairs")
     links = keep(probe(docs, pairs, width, percent, levels), "links")
     found = keep(components(links), "components")
     placed = lists_of.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    done = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    done = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = keep(_candidates(placed, percent, tile).join(done, ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = keep(probe(docs, rest, width, percent, levels), "links")
         found = components(links.unionAll(more))
     found = keep(found, "components")
-    drop(tokens, lists_of, pairs, rest, links)
+    drop(tokens, lists_of, met, pairs, rest, links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = table.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -212,6 +212,39 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids} | ({None: (len(sets[None]), None)} if None in sets else {})
 
 
+def chained(seed):
+    """Chains of texts, each near the next one alone, with ids in any order."""
+    rng = random.Random(seed)
+    rows, ids = [], rng.sample(range(1000), 160)
+    for k in range(16):
+        words = prose(7000 + 31 * seed + k, 160).split()
+        for _ in range(10):
+            words[rng.randrange(160)] = f"new{rng.randrange(10**6)}"
+            words[rng.randrange(160)] = f"new{rng.randrange(10**6)}"
+            rows.append((ids.pop(), " ".join(words)))
+    return rows
+
+
+def test_jaccard_counts_before_it_probes(spark, monkeypatch):
+    """Every pair that is probed, in either round, comes with all its occurrences in short lists, and both rounds find links."""
+    rows = chained(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 3, 90)
+    probed, probe, candidates = [], jaccard.probe, jaccard._candidates
+    monkeypatch.setattr(jaccard, "probe", lambda docs, pairs, *a: probed.append([tuple(r) for r in pairs.select("u", "v", "shared").collect()]) or probe(docs, pairs, *a))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 3, 90).collect()} == want
+    levels = spark.sparkContext.broadcast(jaccard.word_levels(df))
+    short = {r.doc_id: set(r.short) for r in jaccard.shingle_table(df, 3, 90, levels).collect()}
+    assert len(probed) == 2 and all(len(p) > 5 for p in probed)
+    assert all(shared == len(short[u] & short[v]) for pairs in probed for u, v, shared in pairs)
+    # without the search among components the result is another one
+    monkeypatch.setattr(jaccard, "_candidates", lambda placed, *a: candidates(placed, *a).where("1 = 0"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 3, 90).collect()} != want
+    # and nothing is found where nothing is counted
+    monkeypatch.setattr(jaccard, "_counted", lambda pairs, *a: pairs.selectExpr("u", "v", "0L shared").where("1 = 0"))
+    assert all(r.component_id == r.doc_id for r in jaccard.join(df, 3, 90).collect())
+
+
 @pytest.mark.parametrize("width,percent,tile", [(3, 90, 4096), (5, 80, 3)])
 def test_jaccard_by_brute_force(spark, docs, width, percent, tile):
     rng = random.Random(9)
