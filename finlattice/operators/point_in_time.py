@@ -73,3 +73,18 @@ def step_factors(prices: DataFrame, events: DataFrame, key="ts_code", day="trade
     w = Window.partitionBy(key).orderBy(day, F.col("_f").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     stepped = both.withColumn(factor, F.coalesce(F.last("_f", ignorenulls=True).over(w), F.lit(1.0)))
     return stepped.where("_f is null").drop("_f")
+
+
+def latest_of(df: DataFrame, key: str, value, as_of=None, day: str = "available_date", order: tuple[str, ...] = ()) -> DataFrame:
+    """The last row of one key by its day (then `order`) among those at or before as_of; no row where there is none."""
+    mine = df.where(F.col(key) == F.lit(value))
+    mine = mine if as_of is None else mine.where(F.col(day) <= F.lit(as_of).cast("date"))
+    return mine.orderBy(F.desc_nulls_last(day), *(F.desc_nulls_last(c) for c in order)).limit(1)
+
+
+def adjusted(prices: DataFrame, events: DataFrame, key="ts_code", day="trade_date", close="close", factor="factor", digits: int = 4) -> DataFrame:
+    """Prices with `forward` (over the code's last factor) and `backward` (times the factor) adjusted closes, rounded."""
+    stepped = step_factors(prices, events, key, day, factor)
+    last = stepped.groupBy(key).agg(F.max_by(factor, day).alias("_last"))
+    out = stepped.join(last, key)
+    return out.withColumns({"forward": F.round(F.try_divide(F.col(close) * F.col(factor), F.col("_last")), digits), "backward": F.round(F.col(close) * F.col(factor), digits)}).drop("_last")

@@ -38,19 +38,29 @@ def rank(df: DataFrame, column: str, by: list[str], ascending: bool = True) -> D
 
 
 def neutralize_groups(df: DataFrame, columns: list[str], group: str, by: list[str] = ()) -> DataFrame:
-    """Less the group's mean; a blank group has none."""
+    """Less the group's mean; a blank group has none, and if all are blank (over the whole table) the plan fails when it runs."""
     name = F.trim(group)
     means = df.where(name != "").groupBy(*by, name.alias("_g")).agg(*(F.avg(c).alias(f"_m_{c}") for c in columns))
     out = df.withColumn("_g", name).join(means, [*by, "_g"], "left")
+    if not by:
+        known = df.agg(F.count_if(name != "").alias("_k"))
+        out = out.crossJoin(F.broadcast(known))  # one row
+        failed = F.raise_error(F.lit(f"{group} is blank in every row")).cast("double")
+        return out.withColumns({c: F.when(F.col("_k") == 0, failed).otherwise(F.col(c) - F.col(f"_m_{c}")) for c in columns}).drop("_g", "_k", *(f"_m_{c}" for c in columns))
     return out.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns}).drop("_g", *(f"_m_{c}" for c in columns))
 
 
 def neutralize_size(df: DataFrame, columns: list[str], size: str, by: list[str] = ()) -> DataFrame:
-    """Residual of the regression on the logarithm of size; null below three rows or without variance."""
+    """Residual of the regression on the logarithm of size.
+
+    Below three rows or without variance of sizes there is none: within groups that is null, over the whole table the plan fails when it runs.
+    """
     x = F.when(F.col(size) > 0, F.ln(size))
     aggs = [a for c in columns for a in (F.regr_slope(c, x).alias(f"_b_{c}"), F.regr_intercept(c, x).alias(f"_a_{c}"), F.regr_count(c, x).alias(f"_n_{c}"))]
     out = _per_group(df, list(by), aggs)
-    fitted = {c: F.when(F.col(f"_n_{c}") >= 3, F.col(c) - (F.col(f"_a_{c}") + F.col(f"_b_{c}") * x)) for c in columns}
+    failed = lambda c: F.lit(None).cast("double") if by else F.raise_error(F.concat(F.lit(f"{c}: "), F.col(f"_n_{c}").cast("string"), F.lit(f" rows with a {size}, or all of one {size}"))).cast("double")
+    enough = lambda c: (F.col(f"_n_{c}") >= 3) & F.col(f"_b_{c}").isNotNull()
+    fitted = {c: F.when(enough(c), F.col(c) - (F.col(f"_a_{c}") + F.col(f"_b_{c}") * x)).otherwise(failed(c)) for c in columns}
     return out.withColumns(fitted).drop(*(f"_{k}_{c}" for c in columns for k in "abn"))
 
 

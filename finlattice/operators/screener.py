@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import six_digits
+from . import preprocess
 
 OPERATORS = ("lt", "le", "gt", "ge", "eq", "ne", "in", "isna", "notna")
 
@@ -158,3 +159,21 @@ def funnel(frame: DataFrame, spec: dict) -> DataFrame:
 def pass_rates(frame: DataFrame, spec: dict, group: str = "industry", least: int = 5, top: int = 20) -> DataFrame:
     rows = frame.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(compile_rules(spec)).alias("passed")).where(F.col("n") >= least)
     return rows.withColumn("rate", F.col("passed") * 100.0 / F.col("n")).orderBy(F.desc("rate"), group).limit(top)
+
+
+def run(frame: DataFrame, spec: dict, key: str = "ts_code") -> dict[str, DataFrame]:
+    """A screen from factors to verdicts: {"rules": a condition, "preprocess": steps of preprocess.apply, "factors": columns to show}.
+
+    summary (key, passed, failed_rules and the columns that the rules or `factors` name, as they are after preprocessing), detail,
+    counts (total, passed, failed) and codes (of those that pass).
+    """
+    rules = spec.get("rules")
+    tree = parse(rules, "rules")
+    rows = preprocess.apply(frame, [(name, dict(options)) for name, options in spec.get("preprocess", ())])
+    shown = list(dict.fromkeys([leaf["field"] for _, leaf in leaves(to_spec(tree))] + list(spec.get("factors", ()))))
+    missing = [c for c in shown if c not in rows.columns]
+    if missing:
+        raise ValueError(f"factors missing: {', '.join(missing)}")
+    judged = rows.select(key, *(F.col(c) for c in shown), compile_rules(rules).alias("passed"), F.array_compact(F.array(*(F.when(~_leaf(s, p), describe(s)) for p, s in leaves(rules)))).alias("failed_rules"))
+    counts = judged.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    return {"summary": judged, "detail": detail(rows, rules, key), "counts": counts, "codes": judged.where("passed").select(key).orderBy(key)}

@@ -88,3 +88,10 @@ def tag_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Elements of a comma-joined column by frequency."""
     rows = df.select(F.explode(F.split(column, ",")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     return rows.orderBy(F.desc("n"), "tag").limit(top) if top else rows
+
+
+def events(df: DataFrame, key: str | None = None, as_of=None, kind: str | None = None, code: str = "ts_code", day: str = "event_date", event: str = "event_type") -> DataFrame:
+    """Events of a code, by a day and of a type, whichever are given, in order of day, code and type."""
+    for given, holds in ((key, lambda: F.col(code) == F.lit(key)), (as_of, lambda: F.col(day) <= F.lit(as_of).cast("date")), (kind, lambda: F.col(event) == F.lit(kind))):
+        df = df.where(holds()) if given is not None else df
+    return df.orderBy(day, code, event)

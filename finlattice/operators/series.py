@@ -104,6 +104,16 @@ def momentum(df: DataFrame, keys: list[str], value: str, offsets: tuple[int, ...
     return rows.groupBy(*keys).agg(*((F.try_divide(at(1), at(k + 1)) - 1).alias(f"mom_{k}") for k in offsets))
 
 
+def snapshot(df: DataFrame, keys: list[str], value: str = "close", averages: tuple[int, ...] = (5, 20, 60), offsets: tuple[int, ...] = (5, 20, 60, 120, 250), day: str = "trade_date") -> DataFrame:
+    """A row per key with its last day and value, moving averages (null with fewer rows), RSI, MACD and momentum; what cannot be told is null."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(day))
+    rows = df.where(F.col(value).isNotNull())
+    recent = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(averages))
+    means = [F.when(F.count_if(F.col("n") <= k) == k, F.avg(F.when(F.col("n") <= k, F.col(value)))).alias(f"ma{k}") for k in averages]
+    last = recent.groupBy(*keys).agg(F.max(day).alias("as_of"), F.max(F.when(F.col("n") == 1, F.col(value))).alias("close"), *means)
+    return last.join(rsi(rows, keys, value, day=day), keys, "left").join(macd(rows, keys, value, day=day), keys, "left").join(momentum(rows, keys, value, offsets, day), keys, "left")
+
+
 def month_end(df: DataFrame, keys: list[str], value: str, day: str = "trade_date") -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, F.last_day(day).alias("month")).agg(F.max_by(value, day).alias(value))
 

@@ -45,20 +45,27 @@ def _statements(spark, d):
 
 def sources(spark, d):
     """What feeds the factor frame, each by ts_code: valuations, prices, statements now and a year before, dividends."""
+    day, before = F.lit(DAY).cast("date"), F.lit(BEFORE).cast("date")
+    last = lambda c, name: F.max_by(c, "trade_date").alias(name)
+    val = V.valued_prices(spark, d).where(F.col("trade_date") <= day).groupBy("ts_code").agg(
+        last("pe_ttm", "pe_ttm"), last("pb", "pb"), last("ps", "ps"), last("amount", "total_mv"), (F.max_by("volume", "trade_date") / 100).alias("dv_ttm")
+    )
     st = _statements(spark, d)
-    now, before = pit.cross_section(st, DAY), pit.cross_section(st, BEFORE)
-    day = F.lit(DAY).cast("date")
-    val = V.valuations(spark, d).where(F.col("trade_date") <= day).groupBy("ts_code").agg(*(F.max_by(c, "trade_date").alias(c) for c in ("pe_ttm", "pb", "ps")))
-    snapshot = V.daily_prices(spark, d).where(F.col("trade_date") <= day).groupBy("ts_code").agg(F.max_by("amount", "trade_date").alias("total_mv"), (F.max_by("volume", "trade_date") / 100).alias("dv_ttm"))
-    seen = st.where(F.col("available_date") <= day).groupBy("ts_code")
-    paid = seen.agg(F.count_distinct(F.when(F.col("profit") > 0, F.year("report_period"))).cast("double").alias("dividend_years"), F.count_distinct(F.year("report_period")).cast("double").alias("dividend_years_total"))
-    statement = now.select(
-        "ts_code", "roe", N.return_on_invested_capital(F.col("revenue") * 0.2, "tax", "profit", "shares", "cost").alias("roic"), N.safe_divide(F.col("revenue") - F.col("cost"), "revenue").alias("gross_margin"),
-        N.safe_divide("profit", "revenue").alias("operating_margin"), N.growth("revenue", "r0").alias("revenue_yoy"), N.growth("profit", "p0").alias("profit_yoy"), N.growth("eps", "e0").alias("eps_yoy"),
-        "eps", "cfo", "free_cash_flow", "dps", F.col("profit").alias("net_profit"), F.col("cost").alias("interest_bearing_debt"), (F.col("shares") * 10).alias("equity"), F.col("tax").alias("cash"), (F.col("profit") + F.col("tax")).alias("ebitda"),
+    row = F.struct("report_period", "available_date", "source", *(c for c in st.columns if c not in ("ts_code", "report_period", "available_date", "source")))
+    seen = F.col("available_date") <= day
+    year = F.when(seen, F.year("report_period"))
+    both = st.groupBy("ts_code").agg(  # the last statement by either day and the years, in one pass
+        F.max(F.when(seen, row)).alias("n"), F.max(F.when(F.col("available_date") <= before, row)).alias("b"),
+        F.size(F.collect_set(F.when(F.col("profit") > 0, year))).cast("double").alias("dividend_years"), F.size(F.collect_set(year)).cast("double").alias("dividend_years_total"),
+    ).where("n is not null")
+    n = lambda c: F.col(f"n.{c}")
+    statement = both.select(
+        "ts_code", n("roe").alias("roe"), N.return_on_invested_capital(n("revenue") * 0.2, n("tax"), n("profit"), n("shares"), n("cost")).alias("roic"), N.safe_divide(n("revenue") - n("cost"), n("revenue")).alias("gross_margin"),
+        N.safe_divide(n("profit"), n("revenue")).alias("operating_margin"), N.growth(n("revenue"), n("r0")).alias("revenue_yoy"), N.growth(n("profit"), n("p0")).alias("profit_yoy"), N.growth(n("eps"), n("e0")).alias("eps_yoy"),
+        n("eps").alias("eps"), n("cfo").alias("cfo"), n("free_cash_flow").alias("free_cash_flow"), n("dps").alias("dps"), n("profit").alias("net_profit"), n("cost").alias("interest_bearing_debt"), (n("shares") * 10).alias("equity"), n("tax").alias("cash"),
+        (n("profit") + n("tax")).alias("ebitda"), F.col("b.roe").alias("roe_prior_year"), F.col("b.free_cash_flow").alias("free_cash_flow_prev"), F.col("b.dps").alias("dps_prior_year"), "dividend_years", "dividend_years_total",
     )
-    earlier = before.select("ts_code", F.col("roe").alias("roe_prior_year"), F.col("free_cash_flow").alias("free_cash_flow_prev"), F.col("dps").alias("dps_prior_year"))
-    return [val, snapshot, statement, earlier, paid, pit.price_inputs(V.daily_prices(spark, d), DAY)]
+    return [val, statement, pit.price_inputs(V.daily_prices(spark, d), DAY)]
 
 
 def full_frame(spark, d, names=None):

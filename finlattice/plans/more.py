@@ -68,14 +68,27 @@ def unavailable_indicators(spark, d):
     return A.with_unavailable(rows, "indicator", ["ps", "pcf", "pb"])
 
 
-@query("""WITH f AS (SELECT l_suppkey AS stock, sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE -l_extendedprice / 2 END) AS net, sum(l_extendedprice) AS turnover FROM lineitem GROUP BY 1)
-  SELECT l1 AS sector, round(sum(net), 2) AS net, round(sum(turnover), 2) AS turnover, count(DISTINCT stock) AS stocks, round(sum(net) * 100 / nullif(sum(turnover), 0), 6) AS rate FROM f JOIN sectors USING (stock) GROUP BY 1""")
+_FLOW = """f AS (SELECT l_suppkey AS stock, sum(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0 END) AS inflow, sum(CASE WHEN l_returnflag <> 'N' THEN l_extendedprice / 2 ELSE 0 END) AS outflow, sum(l_extendedprice) AS turnover FROM lineitem GROUP BY 1)"""
+
+
+def _stock_flows(spark, d):
+    came = F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice")).otherwise(0.0)
+    went = F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") / 2).otherwise(0.0)
+    f = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("stock")).agg(F.sum(came).alias("inflow"), F.sum(went).alias("outflow"), F.sum("l_extendedprice").alias("turnover"))
+    return f.withColumn("net", F.col("inflow") - F.col("outflow")), V.sectors(spark, d).select("stock", F.col("l1").alias("sector"), F.lower("l1").alias("name"))
+
+
+@query(f"""WITH {_FLOW} SELECT l1 AS sector, lower(l1) AS name, round(sum(inflow), 2) AS inflow, round(sum(outflow), 2) AS outflow, round(sum(inflow - outflow), 2) AS net, round(sum(turnover), 2) AS turnover, count(DISTINCT stock) AS stocks,
+  round(sum(inflow - outflow) * 100 / nullif(sum(turnover), 0), 6) AS rate FROM f JOIN sectors USING (stock) GROUP BY 1""")
 def stock_to_sector_flows(spark, d):
-    f = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("stock")).agg(
-        F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice")).otherwise(-F.col("l_extendedprice") / 2)).alias("net"), F.sum("l_extendedprice").alias("turnover")
-    )
-    out = normalize.sector_flows(f, V.sectors(spark, d).select("stock", F.col("l1").alias("sector")))
-    return out.select("sector", _r("net", 2).alias("net"), _r("turnover", 2).alias("turnover"), "stocks", _r("rate").alias("rate"))
+    out = normalize.sector_flows(*_stock_flows(spark, d))
+    return out.select("sector", "name", *(_r(c, 2).alias(c) for c in ("inflow", "outflow", "net", "turnover")), "stocks", _r("rate").alias("rate"))
+
+
+@query(f"WITH {_FLOW} SELECT count(DISTINCT l1) AS sector_count, count(l1) AS stock_matched, count(*) AS stock_total, round(count(l1) / count(*)::DOUBLE, 4) AS stock_coverage FROM f LEFT JOIN sectors USING (stock)")
+def flow_coverage(spark, d):
+    """How many of the stocks with flows have a sector."""
+    return normalize.flow_coverage(*_stock_flows(spark, d))
 
 
 @query("""WITH e AS (SELECT c_mktsegment AS fund, report_date, l1 AS sector, avg(weight) AS w FROM holdings JOIN sectors USING (stock) JOIN customer ON c_custkey = fund GROUP BY ALL),

@@ -76,6 +76,26 @@ def first_source(sources: list[DataFrame], keys: list[str], value: str) -> DataF
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, "source").alias(value), F.min("source").alias("source"))
 
 
+def investors(raw: DataFrame, created) -> DataFrame:
+    """Investors of a register: trimmed codes, cleaned names (rows without either go), joined tags and aliases, addresses, active unless told otherwise."""
+    lists = {c: F.nullif(F.array_join(F.filter(F.transform(F.col(c), lambda t: F.trim(t)), lambda t: t != ""), ","), F.lit("")) if dict(raw.dtypes)[c].startswith("array") else F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("aliases", "style_tags")}
+    out = raw.select(
+        F.trim(F.coalesce(F.col("investor_code").cast("string"), F.lit(""))).alias("investor_code"), X.clean_text("name").alias("name"), lists["aliases"].alias("aliases"), F.nullif(X.clean_text("role"), F.lit("")).alias("role"), lists["style_tags"].alias("style_tags"),
+        X.url_or_null("profile_url").alias("profile_url"), F.coalesce(X.truthy(F.col("is_active")), F.lit(True)).alias("is_active"), F.lit(created).cast("timestamp").alias("created_time"),
+    ).where("investor_code <> '' and name <> ''")
+    return latest(out, ["investor_code"], [])
+
+
+def investor_accounts(raw: DataFrame, default_platform: str | None = None) -> DataFrame:
+    """Accounts of investors on platforms: an account without a number is known by its platform and its own number or name; incomplete rows go."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    platform = F.when(text("platform") != "", text("platform")).otherwise(F.lit(default_platform or ""))
+    out = raw.select(text("investor_code").alias("investor_code"), platform.alias("platform"), X.clean_text("account_name").alias("account_name"), F.nullif(text("account_uid"), F.lit("")).alias("account_uid"), text("account_id").alias("account_id"), X.url_or_null("home_url").alias("home_url"), F.coalesce(X.truthy(F.col("is_enabled")), F.lit(True)).alias("is_enabled"))
+    out = out.where("investor_code <> '' and account_name <> '' and platform <> ''")
+    named = F.concat_ws(":", F.col("platform"), F.coalesce("account_uid", "account_name"))
+    return latest(out.withColumn("account_id", F.when(F.col("account_id") != "", F.col("account_id")).otherwise(named)), ["account_id"], [])
+
+
 def stock_flows(raw: DataFrame, code: str, amounts: list[str], order: list[str]) -> DataFrame:
     """Flow snapshots: amount texts to numbers, six-digit codes only, one row per code."""
     out = raw.where(F.col(code).rlike(r"^\d{6}$")).withColumns({c: X_amount(c) for c in amounts})
@@ -87,10 +107,22 @@ def X_amount(column: str) -> Column:
 
 
 def sector_flows(flows: DataFrame, mapping: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Stock flows to sectors: sums (nothing known is 0), number of stocks, name and rate of net flow to turnover in percent."""
-    joined = flows.join(mapping.dropDuplicates(["stock"]), "stock")
-    out = joined.groupBy(*by, "sector").agg(F.coalesce(F.sum("net"), F.lit(0.0)).alias("net"), F.coalesce(F.sum("turnover"), F.lit(0.0)).alias("turnover"), F.countDistinct("stock").alias("stocks"))
-    return out.withColumn("rate", F.try_divide(F.col("net") * 100, F.nullif("turnover", F.lit(0.0))))
+    """Stock flows to sectors: sums of what there is of inflow, outflow, net and turnover (nothing known is 0), number of stocks, name and rate of net flow to turnover in percent.
+
+    A stock that the mapping has twice belongs to its first sector by name; blank sectors do not count.
+    """
+    named = "name" in mapping.columns
+    once = mapping.where(F.trim(F.col("sector").cast("string")) != "").groupBy("stock").agg(F.min(F.struct("sector", *(["name"] if named else []))).alias("_m")).select("stock", "_m.*")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("inflow", "outflow", "net", "turnover") if c in flows.columns]
+    out = flows.join(once, "stock").groupBy(*by, "sector").agg(*([F.min("name").alias("name")] if named else []), *sums, F.countDistinct("stock").alias("stocks"))
+    return out.withColumn("rate", F.when(F.col("turnover") > 0, F.col("net") * 100 / F.col("turnover")))
+
+
+def flow_coverage(flows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row: sector_count, stock_matched, stock_total and stock_coverage of sector_flows()."""
+    once = mapping.where(F.trim(F.col("sector").cast("string")) != "").groupBy("stock").agg(F.min("sector").alias("sector"))
+    out = flows.join(once, "stock", "left").agg(F.countDistinct("sector").alias("sector_count"), F.countDistinct(F.when(F.col("sector").isNotNull(), F.col("stock"))).alias("stock_matched"), F.count(F.lit(1)).alias("stock_total"))
+    return out.withColumn("stock_coverage", F.when(F.col("stock_total") > 0, F.round(F.col("stock_matched") / F.col("stock_total"), 4)).otherwise(0.0))
 
 
 def back_filled_mapping(leaves: DataFrame, parents: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ There is one writer at a time; readers need not know of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,3 +145,16 @@ class KeyedTable:
             for gone in set(self._parts(staged)) - left:
                 delete(self.spark, f"{self.path}/{_PART}={gone}")
             delete(self.spark, staged)
+
+
+def routed(table: KeyedTable, wanted: DataFrame, fetch: Callable[[DataFrame], DataFrame], remote_first: bool = False, owner: str | None = None) -> DataFrame:
+    """Rows of the wanted keys (or first keys): the table's, with what it lacks fetched and written back.
+
+    With remote_first all are fetched and written, and the table's rows answer for keys that the source does not have.
+    """
+    by = [k for k in table.spec.keys if k in wanted.columns]
+    wanted = wanted.select(*by).distinct()
+    asked = wanted if remote_first else wanted.join(table.read().select(*by).distinct(), by, "left_anti")
+    if not asked.isEmpty():
+        table.upsert(fetch(asked), owner)
+    return table.read().join(wanted, by, "left_semi")

@@ -26,12 +26,16 @@ def securities(spark, d) -> DataFrame:
     return p.join(days, "ts_code", "left").withColumn("delist_date", F.when(F.col("last") < F.lit("2001-06-01").cast("date"), F.col("last"))).drop("last")
 
 
-def valuations(spark, d) -> DataFrame:
-    """ts_code, trade_date, pe_ttm (some not positive), pb, ps."""
+def valued_prices(spark, d) -> DataFrame:
+    """daily_prices with pe_ttm (some not positive), pb and ps."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("ts_code"), "p_retailprice", "p_size")
-    return daily_prices(spark, d).join(p, "ts_code").select(
-        "ts_code", "trade_date", (F.col("close") / (F.col("p_retailprice") / 100) - 5).alias("pe_ttm"), (F.col("close") / 1000).alias("pb"), (F.col("close") / (50 + F.col("p_size"))).alias("ps")
-    )
+    valued = {"pe_ttm": F.col("close") / (F.col("p_retailprice") / 100) - 5, "pb": F.col("close") / 1000, "ps": F.col("close") / (50 + F.col("p_size"))}
+    return daily_prices(spark, d).join(p, "ts_code").select("ts_code", "trade_date", "close", "volume", "amount", *(c.alias(n) for n, c in valued.items()))
+
+
+def valuations(spark, d) -> DataFrame:
+    """ts_code, trade_date, pe_ttm, pb, ps."""
+    return valued_prices(spark, d).select("ts_code", "trade_date", "pe_ttm", "pb", "ps")
 
 
 def fundamentals(spark, d) -> DataFrame:

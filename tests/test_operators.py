@@ -375,3 +375,28 @@ def test_saved_snapshots(spark, tmp_path):
     frame = spark.createDataFrame([(1, 5.0), (2, None)], "ts_code int, x double")
     names = [snapshots.create(frame, {"field": "x", "op": "gt", "value": v}, day, str(tmp_path)) for v, day in ((1, "2024-01-01"), (2, "2024-02-01"))]
     assert [(r.name, r.as_of, r.rows) for r in snapshots.saved(spark, str(tmp_path)).collect()] == [(names[1], "2024-02-01", 2), (names[0], "2024-01-01", 2)]
+
+
+def test_neutralising_without_groups_or_sizes_fails(spark):
+    df = spark.createDataFrame([("a", " ", 1.0, 5.0), ("b", None, 2.0, 5.0), ("c", "", 3.0, 5.0)], "k string, g string, x double, mv double")
+    with pytest.raises(Exception, match="g is blank in every row"):
+        preprocess.neutralize_groups(df, ["x"], "g").collect()
+    for rows in (df, df.limit(2).withColumn("mv", F.col("x"))):
+        with pytest.raises(Exception, match="rows with a mv"):
+            preprocess.neutralize_size(rows, ["x"], "mv").collect()
+    assert col(preprocess.neutralize_size(df.withColumn("by", F.lit(1)), ["x"], "mv", ["by"]), "x") == [None] * 3
+
+
+def test_a_mapping_counts_each_stock_once(spark):
+    flows = spark.createDataFrame([("a", 5.0, 2.0, 3.0, 10.0), ("b", None, 1.0, -1.0, 0.0), ("z", 1.0, 1.0, 0.0, 1.0)], "stock string, inflow double, outflow double, net double, turnover double")
+    mapping = spark.createDataFrame([("a", "S2", "n2"), ("a", "S1", "n1"), ("b", "S3", "n3"), ("z", " ", "x")], "stock string, sector string, name string")
+    out = {r.sector: tuple(r) for r in normalize.sector_flows(flows, mapping).collect()}
+    assert out == {"S1": ("S1", "n1", 5.0, 2.0, 3.0, 10.0, 1, 30.0), "S3": ("S3", "n3", 0.0, 1.0, -1.0, 0.0, 1, None)}
+    assert tuple(normalize.flow_coverage(flows, mapping).first()) == (2, 2, 3, 0.6667)
+
+
+def test_snapshot_of_short_series(spark):
+    rows = [("a", D(2024, 1, 1) + dt.timedelta(k), 10.0 + k) for k in range(30)] + [("b", D(2024, 1, 1), 5.0), ("n", D(2024, 1, 1), None)]
+    out = {r.k: r for r in series.snapshot(spark.createDataFrame(rows, "k string, trade_date date, close double"), ["k"], offsets=(5, 40)).collect()}
+    assert set(out) == {"a", "b"} and (out["a"].close, out["a"].ma5, out["a"].ma20, out["a"].ma60, out["a"].rsi, out["a"].mom_40) == (39.0, 37.0, 29.5, None, 100.0, None)
+    assert out["a"].mom_5 == pytest.approx(39 / 34 - 1) and out["a"].dif is not None and (out["b"].ma5, out["b"].rsi, out["b"].dif) == (None, None, None)

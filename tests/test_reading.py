@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from finlattice.functions import text as X
 from finlattice.functions.numeric import six_digits
+from finlattice.operators import point_in_time as pit
 from finlattice.operators import alignment, benchmarks, commodities, investors, lookups, pages, screener, search, style
 from finlattice.sources import responses
 
@@ -277,3 +278,34 @@ def test_nobody_has_a_profile(spark):
     found = investors.profile(people, people, none, "a")
     assert found["investor"].count() == 1 and found["quotes"].count() == 0
     assert investors.listed(people, people, none).first().asDict() == {"investor_code": "a", "account_count": 1, "quote_count": 0, "verified_count": 0, "last_captured": None}
+
+
+def test_adjusted_prices_step_at_events(spark):
+    p = spark.createDataFrame([("a", dt.date(2024, 1, k), 10.0) for k in range(1, 6)], "ts_code string, trade_date date, close double")
+    e = spark.createDataFrame([("a", dt.date(2024, 1, 2), 1.5), ("a", dt.date(2024, 1, 4), 3.0)], "ts_code string, trade_date date, factor double")
+    assert [(r.forward, r.backward) for r in pit.adjusted(p, e).orderBy("trade_date").collect()] == [(3.3333, 10.0), (5.0, 15.0), (5.0, 15.0), (10.0, 30.0), (10.0, 30.0)]
+    assert pit.latest_of(p, "ts_code", "z", day="trade_date").count() == 0
+    assert pit.latest_of(p, "ts_code", "a", "2024-01-03", "trade_date").first().trade_date == dt.date(2024, 1, 3)
+
+
+def test_days_become_text_at_any_depth(spark):
+    df = spark.sql("select date'2024-01-02' d, array(named_struct('t', timestamp'2024-01-02 03:04:05', 'n', 1), null) a, map('k', date'2023-05-06') m, map(date'2022-02-03', 2) k, 'x' s, cast(null as struct<d: date>) z")
+    r = X.iso_payload(df).first()
+    assert (r.d, r.a[0].t, r.a[1], r.m, r.k, r.s, r.z) == ("2024-01-02", "2024-01-02 03:04:05", None, {"k": "2023-05-06"}, {"2022-02-03": 2}, "x", None)
+
+
+def test_a_screen_with_preprocessing_names_what_is_missing(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(5)], "ts_code int, x double")
+    out = screener.run(df, {"preprocess": [("zscore", {"columns": ["x"]})], "rules": {"field": "x", "op": "gt", "value": 0}})
+    assert tuple(out["counts"].first()) == (5, 2, 3) and [r.ts_code for r in out["codes"].collect()] == [3, 4]
+    assert out["summary"].columns == ["ts_code", "x", "passed", "failed_rules"] and out["detail"].count() == 5
+    with pytest.raises(ValueError, match="factors missing: y"):
+        screener.run(df, {"rules": {"field": "y", "op": "isna"}})
+    with pytest.raises(ValueError, match="rules"):
+        screener.run(df, {})
+
+
+def test_events_by_what_is_given(spark):
+    df = spark.createDataFrame([("a", dt.date(2024, 1, 2), "X"), ("b", dt.date(2024, 1, 1), "Y"), ("a", dt.date(2023, 1, 1), "Y")], "ts_code string, event_date date, event_type string")
+    pick = lambda *a: [(r.ts_code, r.event_type) for r in search.events(df, *a).collect()]
+    assert (pick(), pick("a"), pick(None, "2024-01-01"), pick("a", None, "X")) == ([("a", "Y"), ("b", "Y"), ("a", "X")], [("a", "Y"), ("a", "X")], [("a", "Y"), ("b", "Y")], [("a", "X")])

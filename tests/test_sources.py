@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finlattice.operators import alignment, snapshots
-from finlattice.sources import normalize
+from finlattice.sources import normalize, vendor_pages
 
 D = dt.date
 
@@ -95,3 +95,27 @@ def test_snapshots_are_immutable(spark, tmp_path):
     assert snapshots.rerun(spark, str(tmp_path), name, frame).count() == 0
     changed = spark.createDataFrame([("a", 25.0), ("c", 1.0)], "ts_code string, pe double")
     assert {r.ts_code: r.kind for r in snapshots.rerun(spark, str(tmp_path), name, changed).collect()} == {"a": "changed", "b": "removed", "c": "added"}
+
+
+def test_vendor_pages_by_header_place_span_and_unit():
+    head = "<tr><th>序号</th><th>股票代码</th><th>股票名称</th><th>占净值比例</th><th>持股数（万股）</th><th>持仓市值（{}）</th></tr>"
+    row = "<tr><td>{}</td><td>{}</td><td>{}</td><td>{}</td><td>{}</td><td>{}</td></tr>"
+    table = "<table>" + head.format("万元") + row.format(3, "600519", "<a>贵州&amp;茅台</a>", "9.53%", "1,000.5", "1,234.5") + row.format("", "700", "腾讯", "--", "-", "") + "<tr><td>9</td></tr></table>"
+    menu = "<table><tr><td>menu</td></tr></table>"
+    assert vendor_pages.rows_of(menu + table) == [(3, "600519", "贵州&茅台", pytest.approx(0.0953), 12_345_000.0, 1000.5), (2, "700", "腾讯", None, None, None)]
+    assert vendor_pages.rows_of("<table>" + head.format("元") + row.format(1, "1", "n", "1%", "2", "7") + "</table>")[0][4] == 7.0
+    # a vendor's class without a header: by place, in ten thousands
+    assert vendor_pages.rows_of(f"{menu}<table class='tzxq big'><tr><td colspan=6>x</td></tr>{row.format(1, '000001', 'n', '5', '6', '7')}</table>") == [(1, "000001", "n", 0.05, 70_000.0, 6.0)]
+    # a name that spans two rows stands in both, and a cell over two columns moves the next ones
+    spans = "<table><tr><th colspan=2>股票名称</th><th>股票代码</th><th>占净值比例</th></tr><tr><td rowspan=2>A</td><td>a</td><td>600000</td><td>1</td></tr><tr><td>b</td><td>600001</td><td>2</td></tr></table>"
+    assert [(r[1], r[2], r[3]) for r in vendor_pages.rows_of(spans)] == [("600000", "A", 0.01), ("600001", "A", 0.02)]
+    assert vendor_pages.rows_of(menu) == vendor_pages.rows_of(None) == vendor_pages.rows_of("<table>") == []
+
+
+def test_script_strings(spark):
+    cases = {r'var a={ content:"x\"y\'z\\ \/ \u4e2d\n\t\v\q",b:1}': "x\"y'z\\ / 中\n\t\x0b", 'content : "line\nbreak"': "line\nbreak", 'content:"cut off': None, "nothing": None, 'content:""': ""}
+    assert {k: vendor_pages.script_string(k) for k in cases} == cases and vendor_pages.script_string(None) is None
+    assert vendor_pages.script_string('content:"' + "<td>\\/" * 100_000 + '"') == "<td>/" * 100_000
+    page = "<table><tr><th>股票代码</th><th>a</th><th>占净值比例</th></tr><tr><td>700</td><td></td><td>5%</td></tr></table>"
+    df = spark.createDataFrame([(1, 'x={content:"' + page.replace("/", "\\/") + '"}'), (2, page), (3, None)], "k long, t string")
+    assert [(r.k, r.rank, r.stock_code, r.weight) for r in vendor_pages.holdings(df, "k", "t", True).collect()] == [(1, 1, "000700.SZ", 0.05)]

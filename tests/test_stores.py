@@ -170,3 +170,19 @@ def test_stream_percentiles_of_a_window_and_stale_keys(spark, tmp_path):
 def test_buckets_are_in_order():
     values = sorted(random.Random(2).lognormvariate(0, 5) for _ in range(5000))
     assert [SP.bucket(v) for v in values] == sorted(SP.bucket(v) for v in values)
+
+
+def test_routes_write_back_what_they_fetch(spark, prices):
+    prices.upsert(price(spark, ("a", "2024-01-02", 1.0), ("c", "2024-01-02", 3.0)))
+    asked = []
+
+    def fetch(wanted):
+        asked.append(sorted(r[0] for r in wanted.collect()))
+        return price(spark, ("a", "2024-01-02", 10.0), ("b", "2024-01-02", 20.0)).join(wanted, "ts_code", "left_semi")
+
+    codes = lambda *c: spark.createDataFrame([(x,) for x in c], "ts_code string")
+    get = lambda *a, **k: {r.ts_code: r.close for r in store.routed(prices, *a, **k).collect()}
+    assert get(codes("a", "b", "b"), fetch) == {"a": 1.0, "b": 20.0} and asked == [["b"]]
+    assert get(codes("a", "b"), fetch) == {"a": 1.0, "b": 20.0} and len(asked) == 1
+    assert get(codes("a", "b", "c", "z"), fetch, remote_first=True) == {"a": 10.0, "b": 20.0, "c": 3.0}
+    assert {r[0]: r[2] for r in rows_of(prices)} == {"a": 10.0, "b": 20.0, "c": 3.0}
