@@ -12,7 +12,8 @@ then probed, each by binary search in the other's sorted shingles, and the candi
    tasks; ids that share a list with a partner of possible size stay.
 3. To begin with, one partner a document: in each list the likeliest of the few before it (by size and by sketch) and of these the one
    of most lists.  The occurrences of these pairs are counted over all their short lists; those that occur in H are probed, in the long
-   lists alone, and the links found give components.
+   lists alone, and the links found give components.  As long as that finds links and lists of several components are long, it is done
+   again among these, with partners of other components: so a large group of near copies becomes one component in a few rounds of linear work.
 4. Lists whose documents are all in one component have nothing more to tell.  The others are merged in full: pairs of different components
    and possible size, whose sketches (parities of 512 places) differ in no more bits than the sets may differ in, are counted over all lists, and
    those that occur often enough are probed in the same way.  A list longer than `tile` is cut into tiles of pairs of blocks.
@@ -39,6 +40,7 @@ from .components import components
 
 _BITS = 512  # of a sketch
 _BEFORE = 4  # earlier documents of a list that one is compared with at first
+_LONG = 64  # mean length of lists of several components beyond which partners are sought once more
 _MOST_BROADCAST = 1_000_000  # rows of (id, keys)
 _WORD_BITS = 16  # words are counted by so many bits of their hashes
 
@@ -171,7 +173,7 @@ def _pair_batch(doc: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def _nearest(percent: int):
-    """Of a stream sorted by token and n: each row with the one of least different sketch of the few before it."""
+    """Of a stream sorted by token and n: each row with the one of least different sketch of the few before it that are of another component."""
 
     def run(batches):
         held = None
@@ -179,12 +181,12 @@ def _nearest(percent: int):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
-            token, doc, n = (table.column(c).to_numpy() for c in ("token", "doc_id", "n"))
+            token, doc, n, component = (table.column(c).to_numpy() for c in ("token", "doc_id", "n", "component"))
             sketches = _sketches(table.column("sketch"))
             best, partner = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
             for step in range(1, _BEFORE + 1):
                 i = np.arange(len(doc) - step)
-                i = i[(token[i] == token[i + step]) & (100 * n[i] >= percent * n[i + step]) & (doc[i] != doc[i + step])]
+                i = i[(token[i] == token[i + step]) & (100 * n[i] >= percent * n[i + step]) & (component[i] != component[i + step])]
                 j = i + step
                 differ = _differ(sketches, i, j)
                 better = (differ * (100 + percent) <= (100 - percent) * (n[i] + n[j])) & (differ < best[j])
@@ -224,12 +226,22 @@ def _list_rows(lists_of: DataFrame) -> DataFrame:
     return lists_of.select("*", F.explode("lists").alias("token")).drop("lists")
 
 
-def _candidates(lists_of: DataFrame, percent: int, tile: int) -> DataFrame:
+def _several(placed: DataFrame) -> DataFrame:
+    """token, length of the lists that hold several components."""
+    lists = _list_rows(placed).groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("x"), F.max("component").alias("y"))
+    return keep(lists.where("x <> y").select("token", "length"), "several")
+
+
+def _crowded(several: DataFrame) -> bool:
+    """Whether a document of these lists shares one with _LONG others on average."""
+    squares, rows = several.agg(F.sum(F.col("length") * F.col("length")), F.sum("length")).first()
+    return bool(rows) and squares > _LONG * rows
+
+
+def _candidates(placed: DataFrame, several: DataFrame, percent: int, tile: int) -> DataFrame:
     """u, v, shared: pairs of different components that occur together in enough short lists."""
-    rows = _list_rows(lists_of)
-    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    several = keep(several.select("token", F.ceil(F.col("length") / tile).cast("int").alias("blocks")), "several")
-    rows = rows.join(several.hint("merge"), "token")
+    blocks = F.ceil(F.col("length") / tile).cast("int").alias("blocks")
+    rows = _list_rows(placed).join(several.select("token", blocks).hint("merge"), "token")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile_name = F.concat(F.least("own", "other"), F.lit("/"), F.greatest("own", "other"))
     name = F.concat_ws("/", F.col("token").cast("string"), F.when(F.col("blocks") > 1, tile_name)).cast("binary")
@@ -337,20 +349,29 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -
     per_doc = shared.groupBy("doc_id").agg(F.collect_set("token").alias("lists"))
     lists_of = keep(per_doc.hint("merge").join(reps.select("doc_id", "n", "sketch"), "doc_id").select("doc_id", "n", "sketch", "lists"), "lists")
 
-    near = _list_rows(lists_of).repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id")
-    pairs = near.mapInArrow(_nearest(percent), "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
-    met = keep(pairs.groupBy("v").agg(F.max(F.struct("lists", "u"))["u"].alias("u")).select("u", "v"), "met")  # one partner each: the one of most lists
-    pairs = keep(_counted(met, lists_of, percent), "pairs")
-    links = keep(probe(docs, pairs, width, percent, levels), "links")
-    found = keep(components(links), "components")
-    placed = lists_of.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    done = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = keep(_candidates(placed, percent, tile).join(done, ["u", "v"], "left_anti"), "pairs")
+    placed, links, done, several, most = lists_of.withColumn("component", F.col("doc_id")), None, None, None, 0
+    while True:
+        rows = _list_rows(placed) if several is None else _list_rows(placed).join(several.select("token").hint("merge"), "token")
+        near = rows.repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id")
+        pairs = near.mapInArrow(_nearest(percent), "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
+        pairs = pairs if done is None else pairs.join(done.unionAll(done.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
+        met = keep(pairs.groupBy("v").agg(F.max(F.struct("lists", "u"))["u"].alias("u")).select("u", "v"), "met")  # one partner each: the one of most lists
+        pairs = keep(_counted(met, lists_of, percent), "pairs")
+        new = keep(probe(docs, pairs, width, percent, levels), "links")
+        tried = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        links, done = (new, tried) if links is None else (links.unionAll(new), done.unionAll(tried))
+        found = keep(components(links), "components")
+        placed = lists_of.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several, n_new = _several(placed), new.count()
+        most = max(most, n_new)
+        if 20 * n_new <= most or not _crowded(several):  # what rounds no longer find is left to the search among components
+            break
+    rest = keep(_candidates(placed, several, percent, tile).join(done, ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = keep(probe(docs, rest, width, percent, levels), "links")
         found = components(links.unionAll(more))
     found = keep(found, "components")
-    drop(tokens, lists_of, met, pairs, rest, links)
+    drop(tokens, lists_of, several, rest)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = table.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
