@@ -10,9 +10,12 @@ from ..functions.numeric import correlation
 
 
 def sector_weights(constituents: DataFrame, mapping: DataFrame, by: list[str], level: str = "l1", weight: str = "weight") -> DataFrame:
-    """Weight of each sector within the mapped part of each group, and the share of weight that is mapped."""
-    # mapping has a row per stock; Spark broadcasts it when it is small
-    joined = constituents.join(mapping.select("stock", F.col(level).alias("sector")), "stock", "left")
+    """Weight of each sector within the mapped part of each group, and the share of weight that is mapped.
+
+    A stock that the mapping has twice belongs to its first sector by name.
+    """
+    once = mapping.groupBy("stock").agg(F.min(level).alias("sector"))  # a row per stock: Spark broadcasts it when it is small
+    joined = constituents.join(once, "stock", "left")
     sums = joined.groupBy(*by, "sector").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("stocks"))
     totals = sums.groupBy(*by).agg(F.sum("w").alias("all_w"), F.sum(F.when(F.col("sector").isNotNull(), F.col("w"))).alias("mapped_w"))
     return sums.where("sector is not null").join(totals, by).select(*by, "sector", "stocks", F.try_divide("w", "mapped_w").alias("weight"), F.try_divide("mapped_w", "all_w").alias("coverage"))

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import pages, percentiles, screener, search
+from ..operators import pages, percentiles, portfolio, screener, search, style
 from ..operators import point_in_time as pit
 from ..sources import normalize
 from ..sources import views as V
-from . import research
+from ..sources.shared import new_folder
+from ..streaming import events as E
+from . import corpus, research
 from .registry import query
 
 _r = lambda c, n=6: F.round(c, n)
@@ -52,7 +54,7 @@ def statement_of_one(spark, d):
 
 @query("""WITH e AS (SELECT ts_code, trade_date, 1 + row_number() OVER (PARTITION BY ts_code ORDER BY trade_date) * 0.13::DOUBLE AS factor FROM daily_prices WHERE ts_code % 2 = 0 AND day(trade_date) = 15),
   s AS (SELECT p.ts_code, p.trade_date, p.close, coalesce(e.factor, 1.0) AS factor FROM daily_prices p ASOF LEFT JOIN e ON e.ts_code = p.ts_code AND e.trade_date <= p.trade_date), l AS (SELECT ts_code, max_by(factor, trade_date) AS last FROM s GROUP BY 1)
-  SELECT ts_code, trade_date, factor, abs(close * factor / last - round(close * factor / last, 4)) < 0.00005001 AS near, round(close * factor, 8) AS backward FROM s JOIN l USING (ts_code)""")
+  SELECT ts_code, trade_date, factor, abs(close * factor / last - round(close * factor / last, 4)) < 0.00005001 AS near, round(close * factor * 1.0000000001::DOUBLE, 6) AS backward FROM s JOIN l USING (ts_code)""")
 def adjusted_prices(spark, d):
     """Closes adjusted by factors that step up at events."""
     p = V.daily_prices(spark, d).select("ts_code", "trade_date", "close")
@@ -60,7 +62,7 @@ def adjusted_prices(spark, d):
     out = pit.adjusted(p, e)
     last = out.groupBy("ts_code").agg(F.max_by("factor", "trade_date").alias("last"))
     out = out.join(last, "ts_code")
-    return out.select("ts_code", "trade_date", "factor", (F.abs(F.col("close") * F.col("factor") / F.col("last") - F.col("forward")) < 0.00005001).alias("near"), _r(F.col("close") * F.col("factor"), 8).alias("backward"))
+    return out.select("ts_code", "trade_date", "factor", (F.abs(F.col("close") * F.col("factor") / F.col("last") - F.col("forward")) < 0.00005001).alias("near"), _r(F.col("close") * F.col("factor") * 1.0000000001).alias("backward"))
 
 
 _SELECTED = "m AS (SELECT trade_date, median(pe_ttm) AS v FROM valuations JOIN part ON p_partkey = ts_code WHERE p_brand = 'Brand#13' GROUP BY 1)"
@@ -123,3 +125,46 @@ def dated_payloads(spark, d):
     o = V.table(spark, d, "orders")
     rows = o.groupBy(F.col("o_custkey").alias("code")).agg(F.struct(F.max("o_orderdate").cast("date").alias("as_of"), F.sort_array(F.collect_list(F.struct("o_orderkey", F.col("o_orderdate").alias("t")))).alias("rows")).alias("payload"), F.count(F.lit(1)).alias("n"))
     return X.iso_payload(rows).select("code", "payload.as_of", F.transform("payload.rows", lambda r: r["t"]).alias("times"), "n")
+
+
+@query("""WITH h AS (SELECT c_mktsegment AS fund, report_date AS end_date, l1 AS sector, sum(market_value) AS mv FROM holdings JOIN sectors USING (stock) JOIN customer ON c_custkey = fund GROUP BY ALL), e AS (SELECT fund, end_date, sector, mv / sum(mv) OVER (PARTITION BY fund, end_date) AS x FROM h),
+  l AS (SELECT *, x - lag(x, 1) OVER w AS c1, x - lag(x, 5) OVER w AS c5, x - lag(x, 20) OVER w AS c20 FROM e WINDOW w AS (PARTITION BY fund, sector ORDER BY end_date))
+  SELECT fund, end_date, sector, round(x, 6) AS exposure, round(c1, 6) AS change_1step, round(c5, 6) AS change_5step, round(c20, 6) AS change_20step, CASE WHEN c1 >= 0.05 THEN 'strong_increase' WHEN c1 >= 0.02 THEN 'increase' WHEN c1 >= 0.005 THEN 'slight_increase' WHEN c1 <= -0.05 THEN 'strong_decrease' WHEN c1 <= -0.02 THEN 'decrease' WHEN c1 <= -0.005 THEN 'slight_decrease' WHEN c1 IS NOT NULL THEN 'neutral' END AS signal,
+  round(sum(abs(c1)) OVER (PARTITION BY fund, end_date) / 2, 6) AS turnover FROM l""")
+def exposure_signals(spark, d):
+    """Exposures of segments' holdings against 1, 5 and 20 reports before, with signals and turnover."""
+    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("fund"), F.col("c_mktsegment").alias("segment"))
+    held = V.holdings(spark, d).join(c, "fund").select(F.col("segment").alias("fund"), F.col("report_date").alias("end_date"), "stock", "market_value")
+    e = portfolio.sector_weights(held, V.sectors(spark, d), ["fund", "end_date"], weight="market_value").select("fund", "end_date", "sector", F.col("weight").alias("exposure"))
+    out = style.signals(e)
+    return out.select("fund", "end_date", "sector", *(_r(x).alias(x) for x in ("exposure", "change_1step", "change_5step", "change_20step")), "signal", _r("turnover").alias("turnover"))
+
+
+@query(f"""WITH {corpus._CLEAN_SQL}, q AS (SELECT conv_id, turn, clean, {corpus._HASH_SQL} AS content_hash FROM c WHERE length(clean) >= 4),
+  n AS (SELECT CASE WHEN turn % 2 = 0 THEN 'guba' ELSE 'manual' END AS platform, CASE WHEN turn % 3 = 0 THEN conv_id::VARCHAR || '-' || turn::VARCHAR ELSE 'h' || left(content_hash, 16) END AS own, turn, conv_id, content_hash FROM q)
+  SELECT platform || ':' || own AS quote_id, conv_id::VARCHAR AS investor_code, platform, content_hash, CASE WHEN platform = 'manual' THEN CASE WHEN conv_id % 2 = 0 THEN 'checked' ELSE 'unverified' END ELSE 'unverified' END AS verification, CASE WHEN conv_id % 2 = 0 THEN 'https://x/' || turn::VARCHAR END AS source_url
+  FROM n QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY platform || ':' || own DESC) = 1""")
+def quote_rows(spark, d):
+    """Conversation turns as stored quotes: long enough, with ids of their own or of their content, one per content."""
+    c = V.table(spark, d, "conversations")
+    raw = c.select(
+        F.col("conv_id").cast("string").alias("investor_code"), F.when(F.col("turn") % 2 == 0, "guba").otherwise("manual").alias("platform"), F.when(F.col("turn") % 3 == 0, F.concat_ws("-", "conv_id", "turn")).alias("platform_id"), F.col("text").alias("content"),
+        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("https://x/"), F.col("turn").cast("string"))).otherwise("x").alias("source_url"), F.lit("2024-01-02 03:04:05").alias("published_at"), F.when(F.col("conv_id") % 2 == 0, "checked").alias("verification"),
+    )
+    return normalize.quotes(raw).select("quote_id", "investor_code", "platform", "content_hash", "verification", "source_url")
+
+
+@query("""WITH f AS (SELECT * FROM events WHERE event_id % 3 <> 0 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)) SELECT event_id, user_id, event_type, value FROM f UNION ALL SELECT event_id, user_id, event_type, value FROM events WHERE ts > (SELECT max(ts) FROM f)""")
+def appended_events(spark, d):
+    """Events that came in two loads: the first twice, the second from the first one's last time on, by day partitions."""
+    e = V.table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    bounds = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    path = new_folder(spark, "appended")
+    write = E.append_new(path, ["event_id", "day"], "day")
+    first = e.where((F.col("event_id") % 3 != 0) & (F.col("ts") < F.lit(bounds["a"] + (bounds["b"] - bounds["a"]) / 2)))
+    write(first, 0)
+    write(first, 0)
+    loaded = spark.read.schema(e.schema).parquet(path)
+    last = loaded.agg(F.max("ts")).first()[0]
+    write(E.since(e, "ts", F.lit(last)), 1)
+    return spark.read.schema(e.schema).parquet(path).select("event_id", "user_id", "event_type", "value")

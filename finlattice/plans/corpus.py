@@ -22,9 +22,13 @@ _THEMES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_sql_any(words)} THEN '{n
 _CODES_SQL = "list_distinct(regexp_extract_all(regexp_replace('^' || clean || '$', '([^0-9A-Za-z.])', '\\1\\1', 'g'), '[^0-9A-Za-z.](?i:sh|sz|bj)?([0368][0-9]{5})(?i:\\.(?:sh|sz|bj))?[^0-9A-Za-z.]', 1))"
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)</?(?:{"|".join(X.LINE_TAGS.split())})[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g') AS t FROM conversations),
-  b AS (SELECT conv_id, turn, trim(regexp_replace(translate(t, '{X._FULL}', '{X._HALF}'), '\\s+', ' ', 'g'), '{X.END_MARKS}') AS clean FROM a), c AS (SELECT *, lower(clean) AS low FROM b)
-  SELECT conv_id, turn, CASE WHEN length(clean) <= 120 THEN clean ELSE rtrim(left(clean, 120)) || '…' END AS summary, CASE WHEN clean = '' THEN '' ELSE sha256(lower(regexp_replace(clean, '\\s+', '', 'g'))) END AS hash, {_KIND_SQL} AS kind,
+_CLEAN_SQL = f"""a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)</?(?:{"|".join(X.LINE_TAGS.split())})[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g') AS t FROM conversations),
+  b AS (SELECT conv_id, turn, trim(regexp_replace(translate(t, '{X._FULL}', '{X._HALF}'), '\\s+', ' ', 'g'), '{X.END_MARKS}') AS clean FROM a), c AS (SELECT *, lower(clean) AS low FROM b)"""
+_HASH_SQL = "CASE WHEN clean = '' THEN '' ELSE sha256(lower(regexp_replace(clean, '\\s+', '', 'g'))) END"
+
+
+@query(f"""WITH {_CLEAN_SQL}
+  SELECT conv_id, turn, CASE WHEN length(clean) <= 120 THEN clean ELSE rtrim(left(clean, 120)) || '…' END AS summary, {_HASH_SQL} AS hash, {_KIND_SQL} AS kind,
   array_to_string({_THEMES_SQL}, ',') AS themes, array_to_string({_CODES_SQL}, ',') AS codes FROM c""")
 def cleaned_quotes(spark, d):
     """Conversation turns as comments: cleaned, tagged, hashed; every turn is kept.  (The SQL has no references and no sharing noise; the turns have none.)"""

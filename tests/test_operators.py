@@ -400,3 +400,9 @@ def test_snapshot_of_short_series(spark):
     out = {r.k: r for r in series.snapshot(spark.createDataFrame(rows, "k string, trade_date date, close double"), ["k"], offsets=(5, 40)).collect()}
     assert set(out) == {"a", "b"} and (out["a"].close, out["a"].ma5, out["a"].ma20, out["a"].ma60, out["a"].rsi, out["a"].mom_40) == (39.0, 37.0, 29.5, None, 100.0, None)
     assert out["a"].mom_5 == pytest.approx(39 / 34 - 1) and out["a"].dif is not None and (out["b"].ma5, out["b"].rsi, out["b"].dif) == (None, None, None)
+
+
+def test_a_stock_that_is_mapped_twice_weighs_once(spark):
+    held = spark.createDataFrame([("f", "a", 3.0), ("f", "b", 1.0), ("f", "z", 4.0)], "fund string, stock string, weight double")
+    mapping = spark.createDataFrame([("a", "S2"), ("a", "S1"), ("b", "S2")], "stock string, l1 string")
+    assert {r.sector: (r.weight, r.coverage) for r in portfolio.sector_weights(held, mapping, ["fund"]).collect()} == {"S1": (0.75, 0.5), "S2": (0.25, 0.5)}
