@@ -17,8 +17,9 @@ def sector_weights(constituents: DataFrame, mapping: DataFrame, by: list[str], l
     once = mapping.groupBy("stock").agg(F.min(level).alias("sector"))  # a row per stock: Spark broadcasts it when it is small
     joined = constituents.join(once, "stock", "left")
     sums = joined.groupBy(*by, "sector").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("stocks"))
-    totals = sums.groupBy(*by).agg(F.sum("w").alias("all_w"), F.sum(F.when(F.col("sector").isNotNull(), F.col("w"))).alias("mapped_w"))
-    return sums.where("sector is not null").join(totals, by).select(*by, "sector", "stocks", F.try_divide("w", "mapped_w").alias("weight"), F.try_divide("mapped_w", "all_w").alias("coverage"))
+    group = Window.partitionBy(*by)  # a row per sector; the totals are of these very sums, so a sector that stands alone weighs exactly 1
+    totals = sums.withColumns({"all_w": F.sum("w").over(group), "mapped_w": F.sum(F.when(F.col("sector").isNotNull(), F.col("w"))).over(group)})
+    return totals.where("sector is not null").select(*by, "sector", "stocks", F.try_divide("w", "mapped_w").alias("weight"), F.try_divide("mapped_w", "all_w").alias("coverage"))
 
 
 def interval_returns(prices: DataFrame, keys: list[str], value: str = "close", day: str = "trade_date") -> DataFrame:

@@ -63,7 +63,9 @@ def exposure_comparison(spark, d):
     e = portfolio.sector_weights(V.holdings(spark, d), V.sectors(spark, d), ["fund", "report_date"])
     half = lambda test: e.where(test).groupBy("fund", "sector").agg(F.sum("weight").alias("w"))
     out = portfolio.compare_maps(half("report_date < '1998-07-01'"), half("report_date >= '1998-07-01'"), ["fund"], "sector", "w")
-    return out.select("fund", "common", _r("correlation", 5).alias("correlation"), _r("coverage").alias("coverage"))
+    near = F.round("correlation", 5)
+    signed = F.when((near == 0) & (F.col("correlation") < 0), F.lit(-0.0)).otherwise(near)  # the SQL keeps the sign of a correlation that rounds to zero
+    return out.select("fund", "common", signed.alias("correlation"), _r("coverage").alias("coverage"))
 
 
 def _style_inputs(spark, d):
