@@ -14,7 +14,7 @@ def step_sums(steps: DataFrame, flows: DataFrame, keys: list[str], day: str, val
     w = Window.partitionBy(*keys).orderBy(day, "_kind").rowsBetween(0, Window.unboundedFollowing)
     both = flows.select(*keys, day, F.col(value).alias("_v"), F.lit(0).alias("_kind")).unionByName(steps.select(*keys, day, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_kind")))
     dealt = both.withColumn("_step", F.first(F.when(F.col("_kind") == 1, F.col(day)), ignorenulls=True).over(w))
-    sums = dealt.where("_step is not null").groupBy(*keys, F.col("_step").alias(day)).agg(F.sum("_v").alias(value), F.count("_v").alias("n"))
+    sums = dealt.where("_step is not null").groupBy(*keys, F.col("_step").alias(day)).agg(F.sum("_v").alias(value), F.count_if(F.col("_kind") == 0).alias("n"))
     first = steps.groupBy(*keys).agg(F.min(day).alias("_first"))
     return sums.join(first, keys).where(F.col(day) > F.col("_first")).drop("_first")
 

@@ -81,8 +81,10 @@ def sector_index(spark, d) -> DataFrame:
 
 def flows(spark, d) -> DataFrame:
     """sector (user), trade_date, net: what each user's events add up to per day, purchases in and the rest out."""
-    e = table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("sector"), F.col("ts").cast("date").alias("trade_date")).agg(
+    # a day's events are added in order of time, as one after another in the SQL: whether a net of about zero is positive hangs on it
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("trade_date"), "ts", "event_id", "event_type", "value")
+    e = e.repartition("user_id", "trade_date").sortWithinPartitions("user_id", "trade_date", "ts", "event_id")
+    return e.groupBy(F.col("user_id").alias("sector"), "trade_date").agg(
         F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(-F.col("value") / 4)).alias("net"), F.sum("value").alias("turnover")
     )
 

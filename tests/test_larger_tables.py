@@ -22,3 +22,29 @@ def test_a_sector_that_stands_alone_weighs_one(spark):
     other = spark.createDataFrame([(f, f"s{s}", float(s)) for f in range(300) for s in range(3)], "fund int, sector string, weight double")
     compared = portfolio.compare_maps(weights.groupBy("fund", "sector").agg(F.sum("weight").alias("weight")), other, ["fund"], "sector", "weight")
     assert {tuple(r) for r in compared.select("common", "correlation").collect()} == {(3, None)}
+
+
+def _events(spark, folder):
+    """Events of many users and one day whose cents nearly cancel, in order of time, dealt over several files."""
+    rng = random.Random(7)
+    start, rows = dt.datetime(2024, 1, 1), []
+    for user in range(400):
+        cents = [rng.randint(1, 900) for _ in range(4)]
+        values = [(c / 100, "purchase") for c in cents] + [(sum(cents) * 4 / 100, "view")]
+        for day in range(2):
+            rng.shuffle(values)
+            rows += [(day, k, user, kind, v) for k, (v, kind) in enumerate(values)]
+    rows = [(n, start + dt.timedelta(days=r[0], seconds=r[1]), *r[2:]) for n, r in enumerate(sorted(rows, key=lambda r: (r[0], r[1])))]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(16).write.parquet(str(folder / "events.parquet"))
+    return rows
+
+
+def test_flows_add_a_day_in_order_of_time(spark, tmp_path):
+    rows = _events(spark, tmp_path)
+    expected = {}
+    for _, ts, user, kind, value in rows:
+        expected[user, ts.date()] = expected.get((user, ts.date()), 0.0) + (value if kind == "purchase" else -value / 4)
+    assert {(r.sector, r.trade_date): r.net for r in V.flows(spark, str(tmp_path)).select("sector", "trade_date", "net").collect()} == expected
+    assert any(0 < abs(v) < 1e-9 for v in expected.values()) and 0.0 in expected.values()
