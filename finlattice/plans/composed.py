@@ -145,13 +145,13 @@ def exposure_signals(spark, d):
   SELECT platform || ':' || own AS quote_id, conv_id::VARCHAR AS investor_code, platform, content_hash, CASE WHEN platform = 'manual' THEN CASE WHEN conv_id % 2 = 0 THEN 'checked' ELSE 'unverified' END ELSE 'unverified' END AS verification, CASE WHEN conv_id % 2 = 0 THEN 'https://x/' || turn::VARCHAR END AS source_url
   FROM n QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY platform || ':' || own DESC) = 1""")
 def quote_rows(spark, d):
-    """Conversation turns as stored quotes: long enough, with ids of their own or of their content, one per content."""
+    """Conversation turns as stored quotes: long enough, with ids of their own or of their content, one per content; of turns with one id the first conversation's stays."""
     c = V.table(spark, d, "conversations")
     raw = c.select(
         F.col("conv_id").cast("string").alias("investor_code"), F.when(F.col("turn") % 2 == 0, "guba").otherwise("manual").alias("platform"), F.when(F.col("turn") % 3 == 0, F.concat_ws("-", "conv_id", "turn")).alias("platform_id"), F.col("text").alias("content"),
-        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("https://x/"), F.col("turn").cast("string"))).otherwise("x").alias("source_url"), F.lit("2024-01-02 03:04:05").alias("published_at"), F.when(F.col("conv_id") % 2 == 0, "checked").alias("verification"),
+        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("https://x/"), F.col("turn").cast("string"))).otherwise("x").alias("source_url"), F.lit("2024-01-02 03:04:05").alias("published_at"), F.when(F.col("conv_id") % 2 == 0, "checked").alias("verification"), "conv_id", "turn",
     )
-    return normalize.quotes(raw).select("quote_id", "investor_code", "platform", "content_hash", "verification", "source_url")
+    return normalize.quotes(raw, ["conv_id", "turn"]).select("quote_id", "investor_code", "platform", "content_hash", "verification", "source_url")
 
 
 @query("""WITH f AS (SELECT * FROM events WHERE event_id % 3 <> 0 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)) SELECT event_id, user_id, event_type, value FROM f UNION ALL SELECT event_id, user_id, event_type, value FROM events WHERE ts > (SELECT max(ts) FROM f)""")

@@ -147,16 +147,17 @@ def manual_quotes(spark: SparkSession, path: str) -> DataFrame:
     return quotes(rows)
 
 
-def quotes(raw: DataFrame) -> DataFrame:
-    """Comments to the engine's quotes: cleaned, long enough, tagged, one per content hash."""
+def quotes(raw: DataFrame, ties: list[str] = ()) -> DataFrame:
+    """Comments to the engine's quotes: cleaned, long enough, tagged, one per content hash: that of the last id, among equal ids the first by `ties`."""
     c = raw.withColumn("content", X.clean_text("content")).where(F.length("content") >= 4)
     c = c.withColumn("content_hash", X.content_hash("content"))
     verified = F.when(F.col("platform") == "manual", F.coalesce("verification", F.lit("unverified"))).otherwise("unverified")
     c = c.select(
         X.quote_id("platform", "platform_id", "content_hash").alias("quote_id"), "investor_code", "platform", "content", X.summary("content").alias("summary"), "content_hash", X.quote_type("content").alias("quote_type"),
         X.themes("content").alias("themes"), X.stock_codes("content").alias("stock_codes"), X.url_or_null("source_url").alias("source_url"), X.post_time("published_at").alias("published_at"), verified.alias("verification"),
+        *((-F.col(t)).alias(f"_{t}") for t in ties),
     )
-    return latest(c, ["content_hash"], ["quote_id"])
+    return latest(c, ["content_hash"], ["quote_id", *(f"_{t}" for t in ties)]).drop(*(f"_{t}" for t in ties))
 
 
 def jsonp_rows(raw: Column, schema: str) -> Column:

@@ -48,3 +48,21 @@ def test_flows_add_a_day_in_order_of_time(spark, tmp_path):
         expected[user, ts.date()] = expected.get((user, ts.date()), 0.0) + (value if kind == "purchase" else -value / 4)
     assert {(r.sector, r.trade_date): r.net for r in V.flows(spark, str(tmp_path)).select("sector", "trade_date", "net").collect()} == expected
     assert any(0 < abs(v) < 1e-9 for v in expected.values()) and 0.0 in expected.values()
+
+
+def test_copies_of_a_turn_keep_the_first_conversation(spark, tmp_path):
+    texts = [f"a text that {n} conversations share" for n in range(40)]
+    rows = [(c + copy * 1000, 1 + c % 2, "user", text) for copy in range(6) for c, text in enumerate(texts)]
+    duckdb.connect().execute("CREATE TABLE t(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)").executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows).execute(f"COPY t TO '{tmp_path}/conversations.parquet'")
+    found = {r.quote_id: r.investor_code for r in QUERIES["quote_rows"](spark, str(tmp_path)).collect()}
+    assert sorted(found.values(), key=int) == [str(c) for c in range(40)]
+    assert set(found) == {k for k in found if ":h" in k}
+    assert _compared(spark, "quote_rows", tmp_path, ["conversations"])
+
+
+def _compared(spark, name, folder, tables):
+    """Whether a query gives its SQL's rows in a folder that has only these tables."""
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        if t not in tables and not (folder / f"{t}.parquet").exists():
+            (folder / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    return rows_of_spark(QUERIES[name](spark, str(folder))) == rows_of_sql(ORACLES[name], str(folder))
