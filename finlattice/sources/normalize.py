@@ -19,14 +19,17 @@ def renamed(raw: DataFrame, columns: dict[str, str], **fixed: Column) -> DataFra
     return out.withColumns(fixed) if fixed else out
 
 
-def prices(raw: DataFrame, columns: dict[str, str], shares_per_lot: int = 1) -> DataFrame:
-    """ts_code, trade_date and numbers; rows without a code, day or positive close go; the last row of a key stays."""
-    out = renamed(raw, columns).withColumn("ts_code", X.security_code("ts_code")).withColumn("trade_date", X.date_text(F.col("trade_date").cast("string")))
+def prices(raw: DataFrame, columns: dict[str, str], shares_per_lot: int = 1, own: list[str] = ()) -> DataFrame:
+    """ts_code, trade_date and numbers; rows without a code, day or positive close go; the last row of a key stays.
+
+    own: the vendor's own identity of a listing, where its written codes are cut and may meet; listings of one code then stay apart.
+    """
+    out = renamed(raw, columns | {c: c for c in own}).withColumn("ts_code", X.security_code("ts_code")).withColumn("trade_date", X.date_text(F.col("trade_date").cast("string")))
     numbers = [c for c in columns if c not in ("ts_code", "trade_date")]
     out = out.withColumns({c: N.numeric(F.col(c).cast("string")) for c in numbers})
     if "volume" in numbers:
         out = out.withColumn("volume", F.col("volume") / shares_per_lot)
-    return latest(out.where("ts_code <> '' and trade_date is not null and close > 0"), ["ts_code", "trade_date"], [])
+    return latest(out.where("ts_code <> '' and trade_date is not null and close > 0"), [*own, "ts_code", "trade_date"], []).drop(*own)
 
 
 def clean_series(raw: DataFrame, keys: list[str], day: str, value: str, order: list[str] = ()) -> DataFrame:

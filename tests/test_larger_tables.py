@@ -66,3 +66,10 @@ def _compared(spark, name, folder, tables):
         if t not in tables and not (folder / f"{t}.parquet").exists():
             (folder / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
     return rows_of_spark(QUERIES[name](spark, str(folder))) == rows_of_sql(ORACLES[name], str(folder))
+
+
+def test_listings_whose_codes_are_cut_alike_stay_apart(spark, tmp_path):
+    parts = (118000, 1180001, 1180003, 1180007, 7, 17)
+    duckdb.sql(f"COPY (SELECT k::BIGINT AS l_partkey, TIMESTAMP '1998-01-05' + to_days(d::INT) AS l_shipdate, (k % 97 + 1) * 100.0::DOUBLE AS l_extendedprice, 10.0::DOUBLE AS l_quantity FROM (VALUES {', '.join(f'({k})' for k in parts)}) p(k), range(3) t(d)) TO '{tmp_path}/lineitem.parquet'")
+    assert QUERIES["vendor_prices_table"](spark, str(tmp_path)).count() == 3 * sum(k % 13 != 0 for k in parts)
+    assert _compared(spark, "vendor_prices_table", tmp_path, ["lineitem"])
