@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import keep
 from ..sources.store import SPECS, KeyedTable
 from . import portfolio
 
@@ -24,7 +25,7 @@ def refresh(stored: KeyedTable, codes: DataFrame, constituents: DataFrame, mappi
     mine = constituents.join(codes.select("benchmark_code").distinct(), "benchmark_code", "left_semi")
     last = mine.groupBy("benchmark_code").agg(F.max("as_of_date").alias("as_of_date"))
     found = portfolio.sector_weights(mine.join(last, ["benchmark_code", "as_of_date"]), mapping, ["benchmark_code", "as_of_date"], f"l{level}")
-    stored.replace(found.select("benchmark_code", F.lit(level).alias("level"), F.col("sector").alias("sector_code"), "weight", "coverage", "as_of_date"), ["benchmark_code", "level"])
+    stored.replace(keep(found.select("benchmark_code", F.lit(level).alias("level"), F.col("sector").alias("sector_code"), "weight", "coverage", "as_of_date"), "weights"), ["benchmark_code", "level"])  # few rows, which the write reads several times
 
 
 def snapshot(stored: KeyedTable, codes: DataFrame, constituents: DataFrame, mapping: DataFrame, level: int, today, anew: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -133,8 +133,7 @@ def dated_payloads(spark, d):
   round(sum(abs(c1)) OVER (PARTITION BY fund, end_date) / 2, 6) AS turnover FROM l""")
 def exposure_signals(spark, d):
     """Exposures of segments' holdings against 1, 5 and 20 reports before, with signals and turnover."""
-    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("fund"), F.col("c_mktsegment").alias("segment"))
-    held = V.holdings(spark, d).join(c, "fund").select(F.col("segment").alias("fund"), F.col("report_date").alias("end_date"), "stock", "market_value")
+    held = V.segment_holdings(spark, d).select(F.col("segment").alias("fund"), F.col("report_date").alias("end_date"), "stock", "market_value")
     e = portfolio.sector_weights(held, V.sectors(spark, d), ["fund", "end_date"], weight="market_value").select("fund", "end_date", "sector", F.col("weight").alias("exposure"))
     out = style.signals(e)
     return out.select("fund", "end_date", "sector", *(_r(x).alias(x) for x in ("exposure", "change_1step", "change_5step", "change_20step")), "signal", _r("turnover").alias("turnover"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment, benchmarks, cache, commodities, investors, lookups, pages, percentiles, portfolio, screener, search
 from ..sources import responses
 from ..sources import views as V
-from ..sources.shared import new_folder
+from ..sources.shared import keep, new_folder
 from ..sources.store import SPECS, KeyedTable
 from . import research
 from .market import _LEVEL, _PCT
@@ -49,9 +49,8 @@ _ASKED = [("BUILDING",), ("HOUSEHOLD",), ("MACHINERY",), ("FURNITURE",)]
 
 def _benchmarks(spark, d):
     """Weights of three benchmarks after two were stored before, and notes on all that were asked for."""
-    c = V.table(spark, d, "customer").select(F.col("c_custkey").alias("fund"), F.col("c_mktsegment").alias("benchmark_code"))
-    held = V.holdings(spark, d).join(c, "fund").where("benchmark_code <> 'MACHINERY' and (benchmark_code <> 'HOUSEHOLD' or report_date < '2001-06-30')")
-    held = held.groupBy("benchmark_code", F.col("report_date").alias("as_of_date"), "stock").agg(F.sum("market_value").alias("weight"))
+    held = V.segment_holdings(spark, d).select(F.col("segment").alias("benchmark_code"), F.col("report_date").alias("as_of_date"), "stock", F.col("market_value").alias("weight"))
+    held = keep(held.where("benchmark_code <> 'MACHINERY' and (benchmark_code <> 'HOUSEHOLD' or as_of_date < '2001-06-30')"), "constituents")
     stored, sectors = benchmarks.table(spark, new_folder(spark, "weights")), V.sectors(spark, d)
     codes = spark.createDataFrame(_ASKED, "benchmark_code string")
     benchmarks.snapshot(stored, codes.where("benchmark_code in ('BUILDING', 'HOUSEHOLD')"), held, sectors, 1, "2001-12-31")

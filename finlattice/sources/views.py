@@ -66,6 +66,13 @@ def holdings(spark, d) -> DataFrame:
     return held.withColumn("weight", F.col("market_value") / F.sum("market_value").over(Window.partitionBy("fund", "report_date")))
 
 
+def segment_holdings(spark, d) -> DataFrame:
+    """segment (of the customer), report_date, stock, market_value: the funds' holdings by segment, summed from the lines at once."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    o = table(spark, d, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), "segment", F.last_day(F.add_months(F.trunc(F.col("o_orderdate").cast("date"), "quarter"), 2)).alias("report_date"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey").groupBy("segment", "report_date", F.col("l_suppkey").alias("stock")).agg(F.sum("l_extendedprice").alias("market_value"))
+
+
 def fund_nav(spark, d) -> DataFrame:
     """fund (market segment), month, nav: monthly sums of orders in millions."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("fund"))

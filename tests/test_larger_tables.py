@@ -73,3 +73,25 @@ def test_listings_whose_codes_are_cut_alike_stay_apart(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT k::BIGINT AS l_partkey, TIMESTAMP '1998-01-05' + to_days(d::INT) AS l_shipdate, (k % 97 + 1) * 100.0::DOUBLE AS l_extendedprice, 10.0::DOUBLE AS l_quantity FROM (VALUES {', '.join(f'({k})' for k in parts)}) p(k), range(3) t(d)) TO '{tmp_path}/lineitem.parquet'")
     assert QUERIES["vendor_prices_table"](spark, str(tmp_path)).count() == 3 * sum(k % 13 != 0 for k in parts)
     assert _compared(spark, "vendor_prices_table", tmp_path, ["lineitem"])
+
+
+def _times_read(spark, name, folder, table):
+    """How many times a query reads each row of a table."""
+    read, counter = V.table, spark.sparkContext.accumulator(0)
+
+    def tick(_):
+        counter.add(1)
+        return True
+
+    ticked = F.udf(tick, "boolean").asNondeterministic()
+    V.table = lambda session, d, t: read(session, d, t).where(ticked(F.lit(1))) if t == table else read(session, d, t)
+    try:
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+    finally:
+        V.table = read
+    return counter.value / read(spark, folder, table).count()
+
+
+def test_constituents_are_made_once(spark, sf):
+    for name in ("benchmark_snapshots", "benchmark_notes"):
+        assert _times_read(spark, name, sf, "lineitem") == 1, name
