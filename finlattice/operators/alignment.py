@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import new_folder
+from ..sources.shared import keep, new_folder
 
 
 def step_sums(steps: DataFrame, flows: DataFrame, keys: list[str], day: str, value: str) -> DataFrame:
@@ -68,6 +68,7 @@ def scatter(frame: DataFrame, fields: list[str], order: list[str], most: int = 4
     ([], None) where fewer than two fields qualify.
     """
     named = sorted(dict.fromkeys(f for f in fields if f in frame.columns), key=lambda f: (-fields.count(f), f))
+    frame = keep(frame, "scatter")  # counted, ranged by samples and written: made once
     counts = frame.agg(F.count(F.lit(1)).alias("n"), *(F.count(f).alias(f"c{k}") for k, f in enumerate(named))).first()
     chosen = [f for k, f in enumerate(named) if counts["n"] and 100.0 * counts[f"c{k}"] / counts["n"] >= least_percent][:2]
     if len(chosen) < 2:

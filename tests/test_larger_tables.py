@@ -7,7 +7,7 @@ import duckdb
 from oracle import rows_of_spark, rows_of_sql
 from pyspark.sql import functions as F
 
-from finlattice.operators import portfolio
+from finlattice.operators import alignment, portfolio, search
 from finlattice.plans.catalogue import ORACLES, QUERIES
 from finlattice.sources import views as V
 
@@ -95,3 +95,29 @@ def _times_read(spark, name, folder, table):
 def test_constituents_are_made_once(spark, sf):
     for name in ("benchmark_snapshots", "benchmark_notes"):
         assert _times_read(spark, name, sf, "lineitem") == 1, name
+
+
+def test_the_frame_of_a_scatter_is_made_once(spark):
+    counter = spark.sparkContext.accumulator(0)
+
+    def tick(x):
+        counter.add(1)
+        return x
+
+    frame = spark.range(1000).select(F.col("id").alias("ts_code"), F.udf(tick, "double")(F.col("id").cast("double")).alias("a"), F.lit(2.0).alias("b"))
+    chosen, rows = alignment.scatter(frame, ["a", "b", "a"], ["ts_code"], 400)
+    assert (chosen, rows.count(), counter.value) == (["a", "b"], 400, 1000)
+
+
+def test_statements_are_made_once(spark, sf):
+    assert _times_read(spark, "statement_indicators", sf, "lineitem") == 1
+
+
+def test_postings_are_written_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "TASK_POSTINGS", 2000)
+    dim = spark.range(3000).select(F.col("id").alias("ts_code"), F.lit("oo common name").alias("name"))
+    search.index_grams(dim, str(tmp_path / "grams"))
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "grams")).groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 4000 and sum(sizes) > 60000
+    found = search.suggest_indexed(spark.read.parquet(str(tmp_path / "grams")), dim, "o").collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in search.suggest(dim, "o").collect()]
