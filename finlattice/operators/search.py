@@ -28,10 +28,16 @@ def postings(dim: DataFrame, code: str = "ts_code", name: str = "name") -> DataF
     """gram, code, field (0: code, 1: name), at: every character gram of a row's lower-cased fields with its place."""
     fields = F.array(*(F.struct(F.lit(k).alias("field"), F.lower(F.col(c).cast("string")).alias("text")) for k, c in enumerate((code, name))))
     rows = dim.select(F.col(code).alias("code"), F.explode(fields).alias("f")).select("code", "f.*").where("text <> ''")
-    places = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.struct(F.substring(F.col("text"), i, F.lit(n)).alias("gram"), i.alias("at")))
-    parts = [rows.where(F.length("text") >= n).select("code", "field", F.explode(places(n)).alias("g")).select("g.gram", "code", "field", "g.at") for n in range(1, GRAM + 1)]
-    short = reduce(lambda a, b: a.unionAll(b), parts[:-1]).groupBy("gram", "code", "field").agg(F.min("at").alias("at"))
-    return short.unionAll(parts[-1])
+    at = lambda n: F.sequence(F.lit(1), F.length("text") - (n - 1))
+    gram = lambda i, n: F.substring(F.col("text"), i, F.lit(n))
+    places = lambda n: F.transform(at(n), lambda i: F.struct(gram(i, n).alias("gram"), i.alias("at")))
+    firsts = lambda n: F.transform(F.array_distinct(F.transform(at(n), lambda i: gram(i, n))), lambda g: F.struct(g.alias("gram"), F.position(g, F.col("text")).alias("at")))
+    parts = [rows.where(F.length("text") >= n).select("code", "field", F.explode((firsts if n < GRAM else places)(n)).alias("g")).select("g.gram", "code", "field", "g.at") for n in range(1, GRAM + 1)]
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+#: Postings that one task explodes, sorts and writes, about; the number of tasks grows with the dimension.
+TASK_POSTINGS = 1_000_000
 
 
 def _part(gram, parts: int):
@@ -40,8 +46,12 @@ def _part(gram, parts: int):
 
 def index_grams(dim: DataFrame, path: str, code: str = "ts_code", name: str = "name", parts: int = 64) -> None:
     """Write the posting table: partitioned by the gram's hash, sorted by gram, so that a search reads some row groups of some partitions."""
-    rows = postings(dim, code, name).withColumn("part", _part("gram", parts))
-    rows.hint("rebalance", "part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(path)
+    length = reduce(lambda a, b: a + b, (F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in (code, name)))
+    total = dim.agg(F.sum(GRAM * length)).first()[0] or 0
+    tasks = max(1, -(-total // TASK_POSTINGS))
+    rows = postings(dim.repartition(tasks), code, name).withColumn("part", _part("gram", parts))
+    order = ["part", "gram", "code", "field", "at"]  # a frequent gram is cut between codes
+    rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.partitionBy("part").parquet(path)
 
 
 def suggest_indexed(index: DataFrame, dim: DataFrame, text: str, code: str = "ts_code", name: str = "name", top: int = 20, parts: int = 64) -> DataFrame:
@@ -57,8 +67,8 @@ def suggest_indexed(index: DataFrame, dim: DataFrame, text: str, code: str = "ts
     where = sorted({r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(_part("g", parts)).collect()})
     found = index.where(F.col("part").isin(where) & F.col("gram").isin(list(grams)))
     offsets = F.create_map(*(x for g, at in grams.items() for x in (F.lit(g), F.array(*map(F.lit, at)))))
-    starts = found.select("code", "field", "at", F.explode(offsets[F.col("gram")]).alias("i")).select("code", "field", (F.col("at") - F.col("i")).alias("start"))
-    whole = starts.groupBy("code", "field", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(t) - n + 1)
+    starts = found.select("code", "field", "at", F.explode(offsets[F.col("gram")]).alias("i")).select("code", "field", (F.col("at") - F.col("i")).alias("start"), "i")
+    whole = starts.groupBy("code", "field", "start").agg(F.size(F.collect_set("i")).alias("n")).where(F.col("n") == len(t) - n + 1)
     rank = F.min(2 * F.col("field") + F.when(F.col("start") == 1, 0).otherwise(1)).cast("int")
     best = whole.groupBy(F.col("code").alias(code)).agg(rank.alias("rank")).orderBy("rank", code).limit(top)
     return dim.join(F.broadcast(best), code).orderBy("rank", code)  # `top` rows
