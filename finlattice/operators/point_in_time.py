@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +32,13 @@ def cross_section(statements: DataFrame, as_of, keys=("ts_code",), order=("repor
 
 def with_previous_year(statements: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """Adds <measure>_prev from the same period a year before (29 February meets the 28th)."""
-    before = statements.select(*keys, F.add_months("report_period", 12).alias("report_period"), *(F.col(m).alias(f"{m}_prev") for m in measures))
-    before = before.groupBy(*keys, "report_period").agg(*(F.max(f"{m}_prev").alias(f"{m}_prev") for m in measures))
-    return statements.join(before, [*keys, "report_period"], "left")
+    # every statement also stands a year later for its successor, so the statements are made once and meet in one exchange
+    places = F.explode(F.array(F.struct(F.col("report_period").alias("at"), F.lit(True).alias("own")), F.struct(F.add_months("report_period", 12).alias("at"), F.lit(False).alias("own"))))
+    rows = statements.select("*", places.alias("_place"))
+    meet = Window.partitionBy(*keys, "_place.at")
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col("_place.at").isNotNull())  # a null meets nothing
+    rows = rows.withColumns({f"{m}_prev": F.when(known, F.max(F.when(~F.col("_place.own"), F.col(m))).over(meet)) for m in measures})
+    return rows.where("_place.own").select(*keys, "report_period", *(c for c in statements.columns if c not in keys and c != "report_period"), *(f"{m}_prev" for m in measures))
 
 
 def anchors(prices: DataFrame, as_of, days: dict[str, int], lookback: int = 400) -> DataFrame:

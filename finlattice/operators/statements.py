@@ -14,15 +14,17 @@ def later_date(a: str, b: str) -> Column:
     return F.greatest(a, b)
 
 
-def indicators(income: DataFrame, balance: DataFrame) -> DataFrame:
+def indicators(income: DataFrame, balance: DataFrame | None) -> DataFrame:
     """ts_code, report_period, announce_date, available_date, source and nine ratios of every income statement.
 
     The balance sheet of a period is its last announced one; growth is against the same period a year before.
+    Without a balance, the income rows already have its columns beside them, its day as balance_date.
     """
-    sheet = latest(balance, ["ts_code", "report_period"], ["announce_date"])
-    sheet = sheet.select("ts_code", "report_period", F.col("announce_date").alias("_announced"), "equity", "total_assets", "interest_bearing_debt")
-    rows = with_previous_year(income, ["ts_code"], ["revenue", "net_profit", "eps"]).join(sheet, ["ts_code", "report_period"], "left")
-    announced = later_date("announce_date", "_announced")
+    rows = with_previous_year(income, ["ts_code"], ["revenue", "net_profit", "eps"])
+    if balance is not None:
+        sheet = latest(balance, ["ts_code", "report_period"], ["announce_date"])
+        rows = rows.join(sheet.select("ts_code", "report_period", F.col("announce_date").alias("balance_date"), "equity", "total_assets", "interest_bearing_debt"), ["ts_code", "report_period"], "left")
+    announced = later_date("announce_date", "balance_date")
     return rows.select(
         "ts_code", "report_period", announced.alias("announce_date"), announced.alias("available_date"), "source",
         safe_divide("net_profit_attributable", "equity").alias("roe"), safe_divide("net_profit", "total_assets").alias("roa"),
