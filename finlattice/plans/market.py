@@ -178,7 +178,7 @@ def row_momentum(spark, d):
 
 @query("SELECT ts_code, last_day(trade_date) AS month, round(max_by(close, trade_date), 10) AS close FROM daily_prices GROUP BY ts_code, last_day(trade_date)")
 def month_end_prices(spark, d):
-    return S.month_end(V.daily_prices(spark, d), ["ts_code"], "close").withColumn("close", _r("close", 10))
+    return S.month_end(V.daily_prices(spark, d, dealt=True), ["ts_code"], "close").withColumn("close", _r("close", 10))
 
 
 @query("""WITH l AS (SELECT ts_code, max(trade_date) AS last FROM daily_prices GROUP BY 1), b AS (SELECT ts_code, max_by(close, trade_date) AS c, max_by(close, trade_date) FILTER (WHERE trade_date <= last - 30) AS b30,

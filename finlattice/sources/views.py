@@ -10,10 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_prices(spark, d) -> DataFrame:
-    """ts_code, trade_date, close, volume, amount: one row per part and ship day."""
+#: Lines that a task groups at once where lines are dealt by code.
+TASK_LINES = 500_000
+
+
+def daily_prices(spark, d, dealt: bool = False) -> DataFrame:
+    """ts_code, trade_date, close, volume, amount: one row per part and ship day.
+
+    If dealt, lines go by code to as many tasks as they need: a task's groups do not grow with the table, and what is grouped by code next needs no exchange.
+    """
+    lines = table(spark, d, "lineitem")
+    if dealt:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_LINES))
+        lines = lines.select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity").repartition(tasks, "l_partkey")
     return (
-        table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("ts_code"), F.col("l_shipdate").cast("date").alias("trade_date"))
+        lines.groupBy(F.col("l_partkey").alias("ts_code"), F.col("l_shipdate").cast("date").alias("trade_date"))
         .agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("volume"))
         .select("ts_code", "trade_date", (F.col("amount") / F.col("volume")).alias("close"), "volume", "amount")
     )

@@ -145,3 +145,12 @@ def test_plain_tables_are_split_as_they_are_parsed():
         plain += found is not None
         assert found is None or found == parser.grids(), html
     assert plain > 500 and vendor_pages._plain_grids("<table><tr><td>a&amp;b</td></tr></table>") is None
+
+
+def test_month_ends_are_grouped_in_bounded_tasks(spark, sf, monkeypatch):
+    lines = V.table(spark, sf, "lineitem").count()
+    expected = rows_of_sql(ORACLES["month_end_prices"], sf)
+    monkeypatch.setattr(V, "TASK_LINES", 100, raising=False)
+    found = QUERIES["month_end_prices"](spark, sf)
+    assert found.rdd.getNumPartitions() == -(-lines // 100)
+    assert rows_of_spark(found) == expected
