@@ -13,8 +13,9 @@ then probed, each by binary search in the other's sorted shingles, and the candi
 3. To begin with, one partner a document: in each list the likeliest of the few before it (by size and by sketch) and of these the one
    of most lists.  The occurrences of these pairs are counted over all their short lists; those that occur in H are probed, in the long
    lists alone, and the links found give components.  As long as that finds links and lists of several components are long, it is done
-   again among these, with partners of other components: so a large group of near copies becomes one component in a few rounds of linear work.
-4. Lists whose documents are all in one component have nothing more to tell.  The others are merged in full: pairs of different components
+   again among the long ones, with partners of other components: so a large group of near copies becomes one component in a few rounds of linear work,
+   and later rounds read the rows of long lists alone.
+4. Lists whose documents are all in one component have nothing more to tell (short ones are told apart after the first round only).  The others are merged in full: pairs of different components
    and possible size, whose sketches (parities of 512 places) differ in no more bits than the sets may differ in, are counted over all lists, and
    those that occur often enough are probed in the same way.  A list longer than `tile` is cut into tiles of pairs of blocks.
 
@@ -226,9 +227,9 @@ def _list_rows(lists_of: DataFrame) -> DataFrame:
     return lists_of.select("*", F.explode("lists").alias("token")).drop("lists")
 
 
-def _several(placed: DataFrame) -> DataFrame:
+def _several(rows: DataFrame) -> DataFrame:
     """token, length of the lists that hold several components."""
-    lists = _list_rows(placed).groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("x"), F.max("component").alias("y"))
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("x"), F.max("component").alias("y"))
     return keep(lists.where("x <> y").select("token", "length"), "several")
 
 
@@ -349,9 +350,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -
     per_doc = shared.groupBy("doc_id").agg(F.collect_set("token").alias("lists"))
     lists_of = keep(per_doc.hint("merge").join(reps.select("doc_id", "n", "sketch"), "doc_id").select("doc_id", "n", "sketch", "lists"), "lists")
 
-    placed, links, done, several, most = lists_of.withColumn("component", F.col("doc_id")), None, None, None, 0
+    placed, links, done, shorter, longer, crowd, most = lists_of.withColumn("component", F.col("doc_id")), None, None, None, None, None, 0
+    rows = _list_rows(placed)
     while True:
-        rows = _list_rows(placed) if several is None else _list_rows(placed).join(several.select("token").hint("merge"), "token")
         near = rows.repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id")
         pairs = near.mapInArrow(_nearest(percent), "u long, v long").groupBy("u", "v").agg(F.count(F.lit(1)).alias("lists"))
         pairs = pairs if done is None else pairs.join(done.unionAll(done.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
@@ -362,16 +363,27 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = 4096) -
         links, done = (new, tried) if links is None else (links.unionAll(new), done.unionAll(tried))
         found = keep(components(links), "components")
         placed = lists_of.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several, n_new = _several(placed), new.count()
+        n_new = new.count()
         most = max(most, n_new)
+        if shorter is None:
+            several = _several(_list_rows(placed.select("doc_id", "lists", "component")))
+            shorter, longer = several.where(F.col("length") <= _LONG), several.where(F.col("length") > _LONG)
+        else:
+            longer = _several(crowd.join(placed.select("doc_id", "component").hint("merge"), "doc_id"))
+        several = shorter.unionAll(longer)
         if 20 * n_new <= most or not _crowded(several):  # what rounds no longer find is left to the search among components
             break
+        if crowd is None:  # only long lists are gone through again; they never come to hold several components once they hold one
+            tokens_of = longer.select("token")
+            few = tokens_of.count() <= _MOST_BROADCAST
+            crowd = keep(_list_rows(lists_of.select("doc_id", "lists")).join(F.broadcast(tokens_of) if few else tokens_of.hint("merge"), "token"), "crowd")
+        rows = crowd.join(longer.select("token").hint("merge"), "token").join(placed.drop("lists").hint("merge"), "doc_id")
     rest = keep(_candidates(placed, several, percent, tile).join(done, ["u", "v"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = keep(probe(docs, rest, width, percent, levels), "links")
         found = components(links.unionAll(more))
     found = keep(found, "components")
-    drop(tokens, lists_of, several, rest)
+    drop(tokens, lists_of, several, rest, *([] if crowd is None else [crowd]))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = table.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -245,6 +245,17 @@ def test_jaccard_counts_before_it_probes(spark, monkeypatch):
     assert all(r.component_id == r.doc_id for r in jaccard.join(df, 3, 90).collect())
 
 
+def test_later_rounds_of_jaccard_read_long_lists_only(spark, monkeypatch):
+    rows = chained(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tags, read, keep, list_rows = [], [], jaccard.keep, jaccard._list_rows
+    monkeypatch.setattr(jaccard, "_LONG", 1)
+    monkeypatch.setattr(jaccard, "keep", lambda kept, tag: tags.append(tag) or keep(kept, tag))
+    monkeypatch.setattr(jaccard, "_list_rows", lambda lists_of: read.append(1) or list_rows(lists_of))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 3, 90).collect()} == brute_components(rows, 3, 90)
+    assert tags.count("met") >= 2 and len(read) == 4  # for the first round, for the lists of several components, for the long ones and for the search among components
+
+
 @pytest.mark.parametrize("width,percent,tile", [(3, 90, 4096), (5, 80, 3)])
 def test_jaccard_by_brute_force(spark, docs, width, percent, tile):
     rng = random.Random(9)
