@@ -16,8 +16,9 @@ then probed, each by binary search in the other's sorted shingles, and the candi
    again among the long ones, with partners of other components: so a large group of near copies becomes one component in a few rounds of linear work,
    and later rounds read the rows of long lists alone.
 4. Lists whose documents are all in one component have nothing more to tell (short ones are told apart after the first round only).  The others are merged in full: pairs of different components
-   and possible size, whose sketches (parities of 512 places) differ in no more bits than the sets may differ in, are counted over all lists, and
-   those that occur often enough are probed in the same way.  A list longer than `tile` is cut into tiles of pairs of blocks.
+   and possible size, whose sketches (parities of 1,024 places) differ in no more bits than the sets may differ in, are counted over all lists, and
+   those that occur often enough are probed in the same way.  Lists of one smallest document meet in one task, which sums a pair over its lists.
+   A list longer than `tile` is cut into tiles of pairs of blocks.
 
 Every link between different components is found, so components are exact; links inside a component
 are not counted.  Defined results: a null or empty text, or one without a word, has no shingles and is
@@ -39,10 +40,12 @@ from ._rolling import Words, mix
 from ._tables import drop, keep, sorted_groups, text_batches, without
 from .components import components
 
-_BITS = 512  # of a sketch
+_BITS = 1024  # of a sketch
 _BEFORE = 4  # earlier documents of a list that one is compared with at first
-_LONG = 64  # mean length of lists of several components beyond which partners are sought once more
+_LONG = 12  # length of lists of several components, and mean length of all of them, beyond which partners are sought once more
+_AT_HOME = 64  # length of lists up to which a task gets all of those with one smallest document
 _MOST_BROADCAST = 1_000_000  # rows of (id, keys)
+_PAIRS_TOGETHER = 1 << 18  # occurrences of pairs that a task sums at once
 _WORD_BITS = 16  # words are counted by so many bits of their hashes
 
 
@@ -164,13 +167,22 @@ def _shared_lists(percent: int):
     return run
 
 
-_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("nu", pa.int64()), ("nv", pa.int64())])
+_PAIRS = ["u", "v", "nu", "nv", "shared"]
 
 
-def _pair_batch(doc: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+def _pair_rows(doc: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A column per occurrence of a pair, with the rows of _PAIRS."""
     first = doc[i] < doc[j]
     u, v = np.where(first, i, j), np.where(first, j, i)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[u], doc[v], n[u], n[v])], schema=_PAIRS)
+    return np.stack((doc[u], doc[v], n[u], n[v], np.ones(len(i), np.int64)))
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Each pair of the parts once, with its occurrences in all of them."""
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.lexsort(rows[:4])]
+    starts = np.flatnonzero(np.concatenate(([True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0))))
+    return np.vstack((rows[:4, starts], np.add.reduceat(rows[4], starts)))
 
 
 def _nearest(percent: int):
@@ -200,9 +212,14 @@ def _nearest(percent: int):
 
 
 def _merged(percent: int):
-    """Of whole lists or tiles, sorted by n inside: every pair of different components that may be similar, once per list."""
+    """Of whole lists or tiles, sorted by n inside: every pair of different components that may be similar, with its occurrences.
+
+    Occurrences are summed over the lists of a task; a row leaves it once for each _PAIRS_TOGETHER occurrences that do not shrink by half.
+    """
 
     def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
         for table in sorted_groups(batches, "list"):
             group = np.unique(np.array(table.column("list").combine_chunks().cast(pa.large_binary()).to_pylist(), object), return_inverse=True)[1]
             doc, n, own, component = (table.column(c).to_numpy() for c in ("doc_id", "n", "own", "component"))
@@ -217,8 +234,18 @@ def _merged(percent: int):
                     break
                 i = rows[(component[rows] != component[rows + step]) & (~tiled[rows] | (own[rows] != own[rows + step]))]
                 i = i[_differ(sketches, i, i + step) * (100 + percent) <= (100 - percent) * (n[i] + n[i + step])]
-                if len(i):
-                    yield _pair_batch(doc, n, i, i + step)
+                if not len(i):
+                    continue
+                held.append(_pair_rows(doc, n, i, i + step))
+                size += len(i)
+                if size >= _PAIRS_TOGETHER:
+                    held = [_summed(held)]
+                    size = held[0].shape[1]
+                    if 2 * size > _PAIRS_TOGETHER:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=_PAIRS)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], names=_PAIRS)
 
     return run
 
@@ -228,9 +255,9 @@ def _list_rows(lists_of: DataFrame) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """token, length of the lists that hold several components."""
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("x"), F.max("component").alias("y"))
-    return keep(lists.where("x <> y").select("token", "length"), "several")
+    """token, length, first (smallest document) of the lists that hold several components."""
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("doc_id").alias("first"), F.min("component").alias("x"), F.max("component").alias("y"))
+    return keep(lists.where("x <> y").select("token", "length", "first"), "several")
 
 
 def _crowded(several: DataFrame) -> bool:
@@ -240,15 +267,21 @@ def _crowded(several: DataFrame) -> bool:
 
 
 def _candidates(placed: DataFrame, several: DataFrame, percent: int, tile: int) -> DataFrame:
-    """u, v, shared: pairs of different components that occur together in enough short lists."""
+    """u, v, shared: pairs of different components that occur together in enough short lists.
+
+    A pair's lists mostly have one smallest document and meet in the task of that one, which sums the pair; rows of a task stay bounded,
+    as a document has so many short lists and longer lists go by themselves.
+    """
     blocks = F.ceil(F.col("length") / tile).cast("int").alias("blocks")
-    rows = _list_rows(placed).join(several.select("token", blocks).hint("merge"), "token")
+    home = F.when(F.col("length") <= _AT_HOME, F.col("first")).otherwise(F.col("token")).alias("home")
+    rows = _list_rows(placed).join(several.select("token", blocks, home).hint("merge"), "token")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile_name = F.concat(F.least("own", "other"), F.lit("/"), F.greatest("own", "other"))
     name = F.concat_ws("/", F.col("token").cast("string"), F.when(F.col("blocks") > 1, tile_name)).cast("binary")
-    rows = rows.select(name.alias("list"), "doc_id", "n", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch", "component")
-    pairs = rows.repartition("list").sortWithinPartitions("list", "n", "doc_id").mapInArrow(_merged(percent), "u long, v long, nu long, nv long")
-    counts = pairs.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
+    by = F.when(F.col("blocks") > 1, F.xxhash64(name)).otherwise(F.col("home"))  # tiles of a list are tasks of their own
+    rows = rows.select(name.alias("list"), "doc_id", "n", "own", (F.col("own") != F.col("other")).alias("tiled"), "sketch", "component", by.alias("home"))
+    pairs = rows.repartition("home").drop("home").sortWithinPartitions("list", "n", "doc_id").mapInArrow(_merged(percent), "u long, v long, nu long, nv long, shared long")
+    counts = pairs.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
     return counts.where(_often_enough(percent)).select("u", "v", "shared")
 
 

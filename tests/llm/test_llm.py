@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import rows_of_spark, rows_of_sql
 
@@ -256,6 +257,45 @@ def test_later_rounds_of_jaccard_read_long_lists_only(spark, monkeypatch):
     assert tags.count("met") >= 2 and len(read) == 4  # for the first round, for the lists of several components, for the long ones and for the search among components
 
 
+def test_a_task_of_jaccard_sums_a_pair_over_its_lists(monkeypatch):
+    """Near copies that meet in many lists leave a task as one row with all their occurrences, however often rows are summed."""
+    sketch = jaccard.sketch(np.arange(1000, dtype=np.uint64))
+    rows = [(b"%03d" % k, doc, 1000, 0, False, sketch, doc) for k in range(60) for doc in range(1, 6)]
+    names = ["list", "doc_id", "n", "own", "tiled", "sketch", "component"]
+    batches = lambda: pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names).to_batches(max_chunksize=37)
+    for together in (1 << 18, 100, 7):
+        monkeypatch.setattr(jaccard, "_PAIRS_TOGETHER", together)
+        found = [tuple(r.values()) for batch in jaccard._merged(80)(batches()) for r in batch.to_pylist()]
+        shared = {}
+        for u, v, nu, nv, n in found:
+            assert (nu, nv) == (1000, 1000)
+            shared[u, v] = shared.get((u, v), 0) + n
+        assert shared == {(u, v): 60 for u in range(1, 6) for v in range(u + 1, 6)}
+        assert together == 7 or len(found) == 10
+
+
+def test_lists_of_one_smallest_document_meet_in_a_task(spark, monkeypatch):
+    sketch = jaccard.sketch(np.arange(100, dtype=np.uint64))
+    rows = [(doc, 100, bytearray(sketch), list(range(40 * (doc // 3), 40 * (doc // 3) + 40)), doc) for doc in range(30)]
+    placed = spark.createDataFrame(rows, "doc_id long, n long, sketch binary, lists array<long>, component long")
+    made, merged = spark.sparkContext.accumulator(0), jaccard._merged
+
+    def counted(percent):
+        run = merged(percent)
+
+        def rows_of(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows_of
+
+    monkeypatch.setattr(jaccard, "_merged", counted)
+    got = jaccard._candidates(placed, jaccard._several(jaccard._list_rows(placed)), 80, 4096).collect()
+    assert {(r.u, r.v): r.shared for r in got} == {(u, v): 40 for u in range(30) for v in range(u + 1, 30) if u // 3 == v // 3}
+    assert made.value == len(got)
+
+
 @pytest.mark.parametrize("width,percent,tile", [(3, 90, 4096), (5, 80, 3)])
 def test_jaccard_by_brute_force(spark, docs, width, percent, tile):
     rng = random.Random(9)
