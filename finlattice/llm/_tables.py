@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def bounded(spark: SparkSession) -> None:
     """Hand texts to Python in batches of bounded size, however long they are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

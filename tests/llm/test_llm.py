@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from oracle import rows_of_spark, rows_of_sql
 
-from finlattice.llm._tables import keep
+from finlattice.llm._tables import bounded, keep
 from finlattice.llm import bpe, components, html, jaccard, language, licenses, packing, quality, queries, repeats, vectors, warc
 
 CLASHING = "row long, n long, length long, chunk int, component long, kept boolean, score double, keys string, digest string, label_ string"
@@ -615,6 +615,13 @@ def test_language_rejection_is_calibrated(spark, sf):
     assert sum(r.rejected for r in held) <= 0.02 * len(held)
 
 
+def test_texts_reach_python_in_batches_of_4_mb(spark):
+    texts = spark.range(0, 60, 1, 1).selectExpr("id doc_id", "repeat('word and word ', 30000) text")
+    bounded(spark)
+    sizes = [r.size for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"]) for b in batches), "size long").collect()]
+    assert sum(sizes) > 20 << 20 and max(sizes) < 6 << 20
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
